@@ -7,10 +7,16 @@ table).  The incomplete beta and gamma functions use NumPy array recurrences.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# executors receive these helpers with the task, they need not be installed there
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _TINY = 1e-300
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
@@ -112,31 +118,31 @@ def pearson_two_sided(r, n):
     return np.where(ok, np.where(rr >= 1, 0.0, out), np.nan)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_sf(z: pd.Series) -> pd.Series:
     return pd.Series(normal_upper(z))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def student_sf(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(student_upper(t, df))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_sf(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
     return pd.Series(f_upper(f, df1, df2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(chi2_upper(x, df))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def beta_inc(x: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(beta_regularised(x, a, b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series(pearson_two_sided(r, n))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,13 +26,18 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it back.
+    """Write ``df`` once to the cluster's checkpoint folder and read it back.
 
     The folder comes from ``spark.checkpoint.dir``; a temporary one is used
-    only where the session names none (single-machine tests).
+    only where the session names none (single-machine tests).  A written table
+    survives lost executors, can be pruned by column and has a known size, so
+    joins to it are planned from that size.
     """
-    context = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="cohortveil-"))
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,6 @@
 """Queries of the example study, one or more per operator."""
 
 from .registry import ORACLES, QUERIES
-from . import aggregates, gateway_checks, views_and_filters  # noqa: F401
+from . import aggregates, differencing, gateway_checks, statistics, views_and_filters  # noqa: F401
 
 __all__ = ["ORACLES", "QUERIES"]
