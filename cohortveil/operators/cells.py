@@ -158,14 +158,12 @@ def key_sets(dims, widest: int = 3, narrowest: int = 0) -> list[tuple[str, ...]]
     return [c for k in range(narrowest, widest + 1) for c in combinations(dims, k)]
 
 
-def sweep_cells(ws: Workspace, view: str, column: str, dims=None, widest: int = 3,
-                filters=(), degrees=(1, 2)) -> DataFrame:
-    """All group-bys of a measure in one job.
+def sweep_persons(ws: Workspace, view: str, column: str, dims=None, widest: int = 3,
+                  filters=(), degrees=(1,)) -> DataFrame:
+    """Per-person sums for every group-by: grouping, dims…, person, _n, _c1….
 
     Rows are first summed per person and finest dimension combination, then
     expanded into grouping sets, so the expansion never touches raw rows.
-    Columns: grouping (text), dims… (NULL outside the set), n, n_persons,
-    s1…, dominance1….
     """
     dims = sorted(dims or ws.study.view(view).dims)
     names = {k: f"_c{k}" for k in degrees}
@@ -176,14 +174,29 @@ def sweep_cells(ws: Workspace, view: str, column: str, dims=None, widest: int =
                                    *(F.col(d) for d in dims), F.col(PERSON))
                .agg(F.grouping_id(*dims, PERSON).alias("_gid"), F.sum("_n").alias("_n"),
                     *(F.sum(c).alias(c) for c in names.values())))
-    terms = [t for c in names.values() for t in share_terms(c)]
-    out = persons.groupBy("_gid", *dims).agg(
-        F.sum("_n").alias("n"), F.count(F.lit(1)).alias("n_persons"), *terms)
-    bit = lambda i: F.col("_gid").bitwiseAND(F.lit(1 << (len(dims) - i))) == 0
-    label = F.concat_ws("+", *(F.when(bit(i), F.lit(d)) for i, d in enumerate(dims)))
-    return out.select(label.alias("grouping"), *dims, "n", "n_persons",
-                      *(F.col(f"{c}_total").alias(f"s{k}") for k, c in names.items()),
-                      *(share(c).alias(f"dominance{k}") for k, c in names.items()))
+    inside = lambda i: F.col("_gid").bitwiseAND(F.lit(1 << (len(dims) - i))) == 0
+    label = F.concat_ws("+", *(F.when(inside(i), F.lit(d)) for i, d in enumerate(dims)))
+    return persons.select(label.alias("grouping"), *dims, PERSON, "_n", *names.values())
+
+
+def swept_cells(persons: DataFrame, dims) -> DataFrame:
+    """Cells of every group-by from :func:`sweep_persons`."""
+    dims = sorted(dims)
+    names = [c for c in persons.columns if c.startswith("_c")]
+    out = persons.groupBy("grouping", *dims).agg(
+        F.sum("_n").alias("n"), F.count(F.lit(1)).alias("n_persons"),
+        *(t for c in names for t in share_terms(c)))
+    return out.select("grouping", *dims, "n", "n_persons",
+                      *(F.col(f"{c}_total").alias(f"s{c[2:]}") for c in names),
+                      *(share(c).alias(f"dominance{c[2:]}") for c in names))
+
+
+def sweep_cells(ws: Workspace, view: str, column: str, dims=None, widest: int = 3,
+                filters=(), degrees=(1, 2)) -> DataFrame:
+    """All group-bys of a measure in one job: grouping (text), dims… (NULL outside
+    the set), n, n_persons, s1…, dominance1…."""
+    dims = sorted(dims or ws.study.view(view).dims)
+    return swept_cells(sweep_persons(ws, view, column, dims, widest, filters, degrees), dims)
 
 
 def measure_configs(ws: Workspace) -> list[dict]:
