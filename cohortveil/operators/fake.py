@@ -1,0 +1,231 @@
+"""Stand-in tables made from a study definition alone.
+
+Row numbers come from ``spark.range`` or from any frame of row ids; every value
+is an expression of the row number, the seed and the declaration.  No data
+value is read.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..study import Study, StudyError, split_ref
+from .views import Workspace, band_by_edges
+
+# Stamps of generated keys and the range of unbounded numbers.
+PERSON_STAMP, KEY_STAMP = "SHADOW-P-", "SHADOW-K-"
+FALLBACK = (0.0, 100.0)
+
+
+@dataclass(frozen=True)
+class FakePlan:
+    """How every column is generated: table.column → description."""
+
+    kinds: dict[str, str]
+    owners: dict[str, tuple[str, str]]
+    how: dict[str, str] = field(default_factory=dict)
+    fallbacks: tuple[str, ...] = ()
+
+
+def declared_kinds(study: Study) -> dict[str, str]:
+    """table.column → cat, int, bool or num, from every view that uses it.
+
+    A dimension or internal filter decides; a measure alone means a number.
+    """
+    out: dict[str, str] = {}
+    for view in study.views.values():
+        source = {**view.columns, **view.unit_columns}
+        for kinds in (view.dims, view.internal_filters):
+            for column, kind in kinds.items():
+                ref = source[column]
+                if isinstance(ref, str):
+                    if out.get(ref, kind) != kind:
+                        raise StudyError(f"{ref} is declared {out[ref]} and {kind}")
+                    out[ref] = kind
+    for view in study.views.values():
+        source = {**view.columns, **view.unit_columns}
+        for column in (*view.measures, *view.internal_measures):
+            refs = [source[column]] if isinstance(source[column], str) else source[column].refs()[:1]
+            for ref in refs:
+                out.setdefault(ref, "num")
+    return out
+
+
+def numeric_bounds(study: Study, column: str, ranges: dict) -> tuple[tuple[float, float], bool]:
+    if column in ranges:
+        return ranges[column], False
+    edges = study.bands.get(column)
+    if edges is not None:
+        values = [*edges.lower, *edges.upper]
+        return (min(values), max(values)), False
+    return FALLBACK, True
+
+
+def key_owners(study: Study) -> dict[str, tuple[str, str]]:
+    """Foreign key table.column → the table.column owning its values."""
+    out = {}
+    for view in study.views.values():
+        for join in view.joins:
+            right, left = (join.table, join.right), split_ref(join.left)
+            # a left-joined fact points back at the base key
+            own, ref = (left, right) if join.how == "left" else (right, left)
+            if out.get(f"{ref[0]}.{ref[1]}", own) != own:
+                raise StudyError(f"{ref} has two owners")
+            out[f"{ref[0]}.{ref[1]}"] = own
+    return out
+
+
+def spread(seed: int, salt: str, row: Column, size: int) -> Column:
+    """A number in [0, size) fixed by seed, column and row."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), row), F.lit(size))
+
+
+def cover(pool: list, seed: int, salt: str, row: Column) -> Column:
+    """Every pool value at least once, then values picked by hash."""
+    values = F.array(*(F.lit(v) for v in pool))
+    place = F.when(row < len(pool), row).otherwise(spread(seed, salt, row, len(pool)))
+    return F.element_at(values, (place + 1).cast("int"))
+
+
+def key_text(stamp: str, table: str, number: Column) -> Column:
+    return F.concat(F.lit(f"{stamp}{table}-"), F.lpad(number.cast("string"), 12, "0"))
+
+
+def fake_tables(spark: SparkSession, study: Study, rows: dict[str, int], seed: int = 0,
+                ranges: dict | None = None, derive: dict[str, tuple[str, tuple]] | None = None,
+                row_ids: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], FakePlan]:
+    """Tables of the declared shape.
+
+    ``rows``: row count per table.  ``row_ids`` may give a frame with a long
+    column ``id`` (0-based, dense) instead.  ``derive`` maps a banded column to
+    (source column, labels) with the source's declared edges.
+    """
+    kinds, owners = declared_kinds(study), key_owners(study)
+    how: dict[str, str] = {}
+    fallbacks: list[str] = []
+    owned = {f"{t}.{c}" for t, c in owners.values()}
+    out = {}
+    for table, columns in study.tables.items():
+        base = (row_ids or {}).get(table)
+        base = base.select(F.col("id").alias("_row")) if base is not None else spark.range(
+            rows[table]).select(F.col("id").alias("_row"))
+        row, made = F.col("_row"), []
+        for column in columns:
+            ref = f"{table}.{column}"
+            domain, kind = study.domain(column), kinds.get(ref)
+            if ref in owners:
+                owner, owner_column = owners[ref]
+                number = F.when(row < rows[owner], row).otherwise(spread(seed, ref, row, rows[owner]))
+                value, how[ref] = key_text(KEY_STAMP, owner, number), f"key of {owner}.{owner_column}"
+            elif ref in owned:
+                value, how[ref] = key_text(KEY_STAMP, table, row), "generated key"
+            elif study.tables[table][column] == "DI":
+                value, how[ref] = key_text(PERSON_STAMP, table, row), "generated identifier"
+            elif domain is not None:
+                value, how[ref] = cover(list(domain), seed, ref, row), "declared domain"
+            elif kind == "bool":
+                value, how[ref] = cover([True, False], seed, ref, row), "declared bool"
+            elif kind in ("int", "num"):
+                (lo, hi), fell = numeric_bounds(study, column, ranges or {})
+                if fell:
+                    fallbacks.append(ref)
+                if kind == "int":
+                    value = (F.lit(int(lo)) + spread(seed, ref, row, int(hi) - int(lo) + 1)).cast("int")
+                else:
+                    value = F.round(F.lit(float(lo)) + spread(seed, ref, row, 1_000_001) / 1_000_000.0 * (hi - lo), 2)
+                how[ref] = f"within {lo:g}..{hi:g}"
+            else:
+                value, how[ref] = F.concat(F.lit(f"{column}-"), spread(seed, ref, row, 1000).cast("string")), "placeholder"
+            made.append(value.alias(column))
+        frame = base.select(*made)
+        for banded, (source, labels) in (derive or {}).items():
+            if banded in columns and source in columns:
+                frame = frame.withColumn(banded, band_by_edges(F.col(source), study.bands[source], labels, strict=True))
+                how[f"{table}.{banded}"] = f"banded from {source}"
+        out[table] = frame
+    return out, FakePlan(kinds, owners, how, tuple(fallbacks))
+
+
+def violations(tables: dict[str, DataFrame], study: Study, ranges: dict | None = None) -> DataFrame:
+    """Values no declaration accounts for: table, column, nulls, outside.
+
+    One aggregate per table.
+    """
+    kinds, owners = declared_kinds(study), key_owners(study)
+    owned = {f"{t}.{c}" for t, c in owners.values()}
+    out = None
+    for table, columns in study.tables.items():
+        sums = []
+        for column in columns:
+            ref, c = f"{table}.{column}", F.col(column)
+            domain, kind = study.domain(column), kinds.get(ref)
+            if ref in owners or ref in owned:
+                ok = c.startswith(KEY_STAMP)
+            elif study.tables[table][column] == "DI":
+                ok = c.startswith(PERSON_STAMP)
+            elif domain is not None:
+                ok = c.isin(list(domain))
+            elif kind == "bool":
+                ok = c.isNotNull()
+            elif kind in ("int", "num"):
+                (lo, hi), _ = numeric_bounds(study, column, ranges or {})
+                ok = c.between(lo, hi)
+            else:
+                ok = c.startswith(f"{column}-")
+            sums += [F.sum(F.when(c.isNull(), 1).otherwise(0)).alias(f"n_{column}"),
+                     F.sum(F.when(c.isNotNull() & ~ok, 1).otherwise(0)).alias(f"o_{column}")]
+        one = tables[table].agg(*sums)
+        part = one.select(F.lit(table).alias("table"), F.inline(F.array(*(F.struct(
+            F.lit(c).alias("column"), F.coalesce(f"n_{c}", F.lit(0)).alias("nulls"),
+            F.coalesce(f"o_{c}", F.lit(0)).alias("outside")) for c in columns))))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def leaked_persons(ws: Workspace) -> DataFrame:
+    """Public view columns holding a generated person key: view, column, rows."""
+    stamps = {PERSON_STAMP} | {KEY_STAMP + split_ref(v.person)[0] for v in ws.study.views.values()} | {
+        KEY_STAMP + o[0] for f, o in key_owners(ws.study).items()
+        if any(v.person == f for v in ws.study.views.values())}
+    out = None
+    for name in sorted(ws.study.views):
+        df = ws.public(name)
+        texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
+        leak = lambda c: F.col(c).rlike("^(" + "|".join(sorted(stamps)) + ")")
+        one = df.agg(*(F.sum(F.when(leak(c), 1).otherwise(0)).alias(c) for c in texts))
+        part = one.select(F.lit(name).alias("view"), F.inline(F.array(*(
+            F.struct(F.lit(c).alias("column"), F.coalesce(c, F.lit(0)).alias("rows")) for c in texts))))
+        out = part if out is None else out.unionByName(part)
+    return out.where("rows > 0")
+
+
+def fake_workspace(tables: dict[str, DataFrame], study: Study) -> Workspace:
+    """The study over stand-in tables; its views are built as for real ones."""
+    return Workspace(study, tables)
+
+
+def provenance(plan: FakePlan, study: Study, seed: int) -> dict:
+    """Manifest of how every column was made."""
+    return {"study": study.name, "seed": seed, "columns": dict(sorted(plan.how.items())),
+            "fallback_range": sorted(plan.fallbacks)}
+
+
+def write_fake(tables: dict[str, DataFrame], study: Study, plan: FakePlan, folder: str, seed: int = 0,
+               fmt: str = "parquet") -> None:
+    """Write tables, public views and a one-row JSON manifest."""
+    bad = violations(tables, study).where("nulls > 0 or outside > 0")
+    if not bad.isEmpty():
+        raise StudyError("stand-in tables hold values outside their declaration")
+    import json
+
+    ws = fake_workspace(tables, study)
+    for name, df in tables.items():
+        df.write.mode("overwrite").format(fmt).save(f"{folder}/base/{name}")
+    for name in study.views:
+        ws.public(name).write.mode("overwrite").format(fmt).save(f"{folder}/views/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    spark.createDataFrame([(json.dumps(provenance(plan, study, seed), sort_keys=True),)], "value string").coalesce(
+        1).write.mode("overwrite").text(f"{folder}/manifest")

@@ -1,6 +1,7 @@
 """Queries of the example study, one or more per operator."""
 
 from .registry import ORACLES, QUERIES
-from . import aggregates, differencing, gateway_checks, model_fits, statistics, views_and_filters  # noqa: F401
+from . import (aggregates, differencing, gateway_checks, model_fits, statistics,  # noqa: F401
+               text_and_audit, views_and_filters)
 
 __all__ = ["ORACLES", "QUERIES"]
