@@ -10,7 +10,7 @@ from cohortveil.operators import fake as H
 from cohortveil.operators import gateway as G
 from cohortveil.operators import release_audit as O
 from cohortveil.operators import textjobs as T
-from cohortveil.plans.staged import run_batch
+from cohortveil.plans.staged import Plan, Stage, run_batch, run_plan
 from cohortveil.session import cut
 from cohortveil.specs import Filter, Measure, QuerySpec
 from cohortveil.studies import shop
@@ -18,7 +18,7 @@ from cohortveil.study import Policy
 
 from .gateway_checks import HOLED, POLICY, SUM_CELLS, holed, infinite, whale
 from .registry import query
-from .sqltext import SALES, cells, half_up, ring
+from .sqltext import SALES, cells, complementary, half_up, ring
 
 MEAN_REGION = QuerySpec("sales", Measure("mean", "o_totalprice"), ("r_name",))
 # Endings that turn conversation turns into requests.
@@ -261,17 +261,16 @@ def t14(spark, d):
 
 
 @query("T15_hidden_stages", """SELECT DISTINCT user_id AS run, event_type AS stage FROM events
-EXCEPT SELECT DISTINCT user_id, event_type FROM events WHERE value > 20""")
+EXCEPT SELECT DISTINCT user_id, event_type FROM events WHERE value > 45""")
 def t15(spark, d):
     events = read(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_type").alias("stage"), "value")
-    return T.hidden_stages(events.select("run", "stage").distinct(), events.where("value > 20").select("run", "stage").distinct())
+    return T.hidden_stages(events.select("run", "stage").distinct(), events.where("value > 45").select("run", "stage").distinct())
 
 
 SIZES_SQL = f"""{SALES}, small AS (SELECT n_name || '|' || c_mktsegment AS level, COUNT(DISTINCT person) AS size FROM sales GROUP BY 1 HAVING COUNT(DISTINCT person) < 10)"""
 
 
-@query("T16_stated_sizes", f"""WITH {SIZES_SQL}, n AS (SELECT DISTINCT conv_id, turn, unnest(string_split_regex(text, '[^0-9]+')) AS w FROM conversations
-  WHERE FALSE)
+@query("T16_stated_sizes", f"""WITH {SIZES_SQL}
 SELECT e.event_id, s.level, s.size FROM events e JOIN small s ON CAST(e.user_id % 40 AS BIGINT) = s.size""")
 def t16(spark, d):
     """Notes that mention a number next to a long hexadecimal id."""
@@ -331,11 +330,15 @@ def one_segment(t):
 
 
 @query("O5_composable_pairs", f"""WITH {SALES}, t AS (SELECT person, n_name, CASE WHEN person % 50 = 0 THEN c_mktsegment ELSE 'BUILDING' END AS seg FROM sales),
-a AS (SELECT n_name, COUNT(DISTINCT person) AS k, COUNT(DISTINCT CASE WHEN seg = 'BUILDING' THEN person END) AS b FROM t GROUP BY n_name)
+a AS (SELECT n_name, COUNT(DISTINCT person) AS k, COUNT(DISTINCT CASE WHEN seg = 'BUILDING' THEN person END) AS b, COUNT(DISTINCT seg) AS segs FROM t GROUP BY n_name)
 SELECT 'nation-segment|' || n_name || '|BUILDING' AS cohort_a, 'nation|' || n_name AS cohort_b, CAST(k - b AS BIGINT) AS n_persons
-FROM a WHERE b >= 10 AND k - b < 10""")
+FROM a WHERE b >= 10 AND k - b < 10 AND segs <> 2""")
 def o5(spark, d):
-    """Cells of two released tables whose difference isolates a few customers."""
+    """Cells of two released tables whose difference isolates a few customers.
+
+    A nation with exactly one other cell loses BUILDING to complementary
+    suppression, so it has no such pair.
+    """
     ws = shop.workspace(spark, d, customer=one_segment)
     one = G.release(ws, QuerySpec("sales", Measure("count"), ("n_name",))).released
     two = G.release(ws, QuerySpec("sales", Measure("count"), BY)).released
@@ -428,6 +431,34 @@ BATCH = [
 ]
 
 
+PLAN = Plan("Which segments order more?", (
+    Stage("base", "mean order by region", MEAN_REGION),
+    Stage("fine", "mean order by segment and status in one nation", QuerySpec(
+        "sales", Measure("mean", "o_totalprice"), ("c_mktsegment", "o_orderstatus"), (Filter("n_name", "==", "NATION_7"),)),
+        after="base", statuses=("released",), exclude_sparse="c_mktsegment"),
+    Stage("retry", "only if nothing came out", MEAN_REGION, after="fine", statuses=("denied",)),
+))
+
+
+@query("P2_plan_stages", f"""WITH {SALES}, k AS (SELECT c_mktsegment, COUNT(DISTINCT person) AS p FROM sales WHERE n_name = 'NATION_7' GROUP BY 1),
+c AS (SELECT s.c_mktsegment, s.o_orderstatus, COUNT(*) AS n, COUNT(DISTINCT person) < 10 AS out FROM sales s JOIN k ON k.c_mktsegment = s.c_mktsegment
+  WHERE n_name = 'NATION_7' AND k.p >= 10 GROUP BY ALL),
+base AS (SELECT * FROM c), {complementary('base', ['c_mktsegment', 'o_orderstatus'])[0]}
+SELECT 'base' AS stage, 'released' AS status, COUNT(DISTINCT r_name) AS n_rows, CAST('' AS VARCHAR) AS excluded FROM sales
+UNION ALL SELECT 'fine', CASE WHEN bool_or(out) THEN 'redacted' ELSE 'released' END, SUM(CASE WHEN out THEN 0 ELSE 1 END),
+  (SELECT coalesce(string_agg(c_mktsegment, ',' ORDER BY c_mktsegment), '') FROM k WHERE p < 10) FROM {complementary('base', ['c_mktsegment', 'o_orderstatus'])[1]}
+UNION ALL SELECT 'retry', 'skipped', 0, '' FROM region WHERE r_regionkey = 0""")
+def p2(spark, d):
+    out = None
+    for r in run_plan(shop.workspace(spark, d), PLAN):
+        rows = (r.released.agg(F.count(F.lit(1)).alias("n_rows")) if r.released is not None
+                else spark.range(1).select(F.lit(0).cast("bigint").alias("n_rows")))
+        part = rows.select(F.lit(r.id).alias("stage"), F.lit(r.status).alias("status"), "n_rows",
+                           F.lit(",".join(r.excluded)).alias("excluded"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("P3_batch_ledger", f"""WITH {SALES}, a AS (SELECT COUNT(DISTINCT person) AS k, COUNT(DISTINCT CASE WHEN balance >= 0 THEN person END) AS s FROM sales WHERE n_name = 'NATION_3'),
 g AS (SELECT SUM(CASE WHEN p >= 10 THEN 1 ELSE 0 END) AS kept FROM (SELECT COUNT(DISTINCT person) AS p FROM sales GROUP BY n_name, o_orderstatus, o_orderpriority))
 SELECT CAST(1 AS BIGINT) AS seq, CAST(k AS BIGINT) AS persons_total, 'released' AS status FROM a
