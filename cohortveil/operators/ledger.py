@@ -118,7 +118,7 @@ def sparse_levels(ws: Workspace, view: str, dim: str, filters: tuple[Filter, ...
     domain = ws.study.domain(dim)
     if domain is None:
         raise StudyError(f"{dim!r} declares no levels")
-    spark = ws.tables[ws.study.view(view).base].sparkSession
+    spark = ws.spark(view)
     levels = spark.createDataFrame([(v, i) for i, v in enumerate(domain)], "level string, position int")
     counts = ws.per_person(view, (dim,), filters).groupBy(F.col(dim).cast("string").alias("level")).agg(
         F.count(F.lit(1)).alias("k"))

@@ -18,7 +18,7 @@ from ..session import cut
 from ..specs import Filter
 from ..study import PERSON
 from .cells import combination_persons, long_values
-from .predicates import ALL_DIM, ALL_VALUE, conjunction, selected_values
+from .predicates import ALL_DIM, ALL_VALUE, conjunction, matches, selected_values
 from .views import Workspace
 
 
@@ -126,16 +126,26 @@ class CohortIndex:
         distinct = self.sizes.select("combo", *sorted(kinds))
         values = long_values(distinct, view, kinds, ("combo",))
         mine = cohorts.where(F.col("view") == view)
-        chosen = selected_values(mine, values.select("view", "dim", "kind", "value").distinct())
-        everything = mine.select("cohort_id", F.lit(ALL_DIM).alias("dim"), F.lit(ALL_VALUE).alias("value"))
-        hits = chosen.where("chosen").select("cohort_id", "dim", "value").unionByName(everything)
-        spots = values.select("combo", "dim", "value").unionByName(
-            distinct.select("combo", F.lit(ALL_DIM).alias("dim"), F.lit(ALL_VALUE).alias("value")))
-        need = mine.select("cohort_id", (F.size(F.array_distinct("predicates.column")) + 1).alias("need"))
-        # a combination belongs to a cohort when all its filtered dimensions hit
-        met = (spots.join(hits, ["dim", "value"]).groupBy("combo", "cohort_id")
-               .agg(F.count(F.lit(1)).alias("met")))
-        self.members = cut(met.join(need, "cohort_id").where("met = need").select("combo", "cohort_id"))
+        counts = cut(values.groupBy("view", "dim", "kind", "value").agg(F.count(F.lit(1)).alias("combos")))
+        hits = cut(selected_values(mine, counts).where("chosen").select("cohort_id", "dim", "value"))
+        # each cohort is looked up by its most selective filter, the others are
+        # then evaluated on the combinations found; no filter means every combination
+        weight = (mine.select("cohort_id", F.explode("predicates.column").alias("dim")).distinct()
+                  .join(hits.join(counts.select("dim", "value", "combos"), ["dim", "value"])
+                        .groupBy("cohort_id", "dim").agg(F.sum("combos").alias("w")), ["cohort_id", "dim"], "left"))
+        anchor = weight.groupBy("cohort_id").agg(F.min_by("dim", F.coalesce("w", F.lit(0))).alias("dim"))
+        doors = hits.join(anchor, ["cohort_id", "dim"], "left_semi").unionByName(
+            mine.where(F.size("predicates") == 0).select(
+                "cohort_id", F.lit(ALL_DIM).alias("dim"), F.lit(ALL_VALUE).alias("value")))
+        doors = doors.join(mine.select("cohort_id", "predicates"), "cohort_id")
+        held = F.create_map(*(x for d in sorted(kinds) for x in (F.lit(d), F.col(d).cast("string"))))
+        spots = distinct.select("combo", held.alias("held"))
+        spots = spots.select("combo", "held", F.explode("held").alias("dim", "value")).unionByName(
+            spots.select("combo", "held", F.lit(ALL_DIM).alias("dim"), F.lit(ALL_VALUE).alias("value")))
+        kind_of = F.create_map(*(F.lit(x) for d, k in sorted(kinds.items()) for x in (d, k)))
+        holds = F.forall("predicates", lambda p: matches(
+            F.element_at(F.col("held"), p["column"]), F.element_at(kind_of, p["column"]), p["op"], p["values"]))
+        self.members = cut(spots.join(doors, ["dim", "value"]).where(holds).select("combo", "cohort_id"))
         self.sizes = self.sizes.select("combo", "n_persons")
 
     def cohort_sizes(self) -> DataFrame:

@@ -25,14 +25,35 @@ def rollup_term(source) -> Column:
     return F.sum(F.when(hit, F.lit(1)).otherwise(F.lit(0))).cast("bigint")
 
 
+class LazyTables(dict):
+    """Tables loaded, and checked against the study, when first touched."""
+
+    def __init__(self, study: Study, load):
+        super().__init__()
+        self._study, self._load = study, load
+
+    def __missing__(self, name: str) -> DataFrame:
+        df = self._load(name)
+        absent = set(self._study.tables.get(name, {})) - set(df.columns)
+        if absent:
+            raise StudyError(f"table {name!r} lacks {sorted(absent)}")
+        self[name] = df
+        return df
+
+
 class Workspace:
     """A study bound to DataFrames; builds every view lazily."""
 
-    def __init__(self, study: Study, tables: dict[str, DataFrame]):
-        study.check_tables(tables)
+    def __init__(self, study: Study, tables: dict[str, DataFrame], checked: bool = False):
+        """``checked`` tables may be loaded on first use; see :class:`LazyTables`."""
+        if not checked:
+            study.check_tables(tables)
         self.study = study
         self.tables = tables
 
+    def spark(self, view: str):
+        return self.tables[self.study.view(view).base].sparkSession
+
     # -- building blocks ---------------------------------------------------
     def _source(self, table: str, refs: set[str]) -> DataFrame:
         """Only the needed columns of a table, under their flat names."""

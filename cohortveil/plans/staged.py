@@ -132,7 +132,7 @@ def run_batch(ws: Workspace, specs: list[QuerySpec], policy: Policy | None = Non
     persons_total, cost, spent, status, reason.
     """
     policy = policy or Policy()
-    spark = ws.tables[next(iter(ws.tables))].sparkSession
+    spark = ws.spark(specs[0].view)
     cohorts = [cohort_of(s) for s in specs]
     close: set[frozenset] = set()
     for view in sorted({s.view for s in specs}):

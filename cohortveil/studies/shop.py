@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.views import Workspace
+from ..operators.views import LazyTables, Workspace
 from ..sources.tables import load_table
 from ..study import BandEdges, CountIf, Join, Study, SumIf, View
 
@@ -108,25 +108,31 @@ def study(**domains: tuple) -> Study:
         free_text=frozenset({"free_text", "props"}))
 
 
-def derive(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def money(c: str):
+    return F.col(c).cast(MONEY).alias(c)
+
+
+def derive(name: str, table: DataFrame) -> DataFrame:
     """Coarsen timestamps and money into the declared columns."""
-    out = dict(tables)
-    money = lambda c: F.col(c).cast(MONEY).alias(c)
-    out["orders"] = tables["orders"].select(
-        "o_orderkey", "o_custkey", "o_orderstatus", money("o_totalprice"), "o_orderpriority",
-        F.year("o_orderdate").alias("order_year"), F.month("o_orderdate").alias("order_month"),
-        (F.col("o_orderpriority") == "1-URGENT").alias("is_urgent"))
-    out["customer"] = tables["customer"].select(
-        "c_custkey", "c_name", "c_nationkey", money("c_acctbal"),
-        F.floor("c_acctbal").cast("int").alias("balance"), "c_mktsegment")
-    out["lineitem"] = tables["lineitem"].select(
-        "l_orderkey", money("l_quantity"), money("l_extendedprice"), money("l_discount"),
-        "l_returnflag", "l_linestatus", F.year("l_shipdate").alias("ship_year"))
-    out["events"] = tables["events"].select(
-        "event_id", "user_id", "event_type", money("value"),
-        F.floor(F.hour("ts") / 6).cast("int").alias("hour_band"),
-        F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day"), "props")
-    return out
+    if name == "orders":
+        return table.select(
+            "o_orderkey", "o_custkey", "o_orderstatus", money("o_totalprice"), "o_orderpriority",
+            F.year("o_orderdate").alias("order_year"), F.month("o_orderdate").alias("order_month"),
+            (F.col("o_orderpriority") == "1-URGENT").alias("is_urgent"))
+    if name == "customer":
+        return table.select(
+            "c_custkey", "c_name", "c_nationkey", money("c_acctbal"),
+            F.floor("c_acctbal").cast("int").alias("balance"), "c_mktsegment")
+    if name == "lineitem":
+        return table.select(
+            "l_orderkey", money("l_quantity"), money("l_extendedprice"), money("l_discount"),
+            "l_returnflag", "l_linestatus", F.year("l_shipdate").alias("ship_year"))
+    if name == "events":
+        return table.select(
+            "event_id", "user_id", "event_type", money("value"),
+            F.floor(F.hour("ts") / 6).cast("int").alias("hour_band"),
+            F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("day"), "props")
+    return table
 
 
 # The stored column types, so that no file is opened to infer them.
@@ -150,7 +156,10 @@ TABLES = ("orders", "customer", "nation", "region", "lineitem", "events")
 
 def workspace(spark: SparkSession, folder: str, declared: Study | None = None, **changed) -> Workspace:
     """The study over parquet files of a folder; ``changed`` replaces tables."""
-    tables = derive({n: load_table(spark, f"{folder}/{n}.parquet", schema=SCHEMAS[n]) for n in TABLES})
-    for name, change in changed.items():
-        tables[name] = change(tables[name])
-    return Workspace(declared or study(), tables)
+    declared = declared or study()
+
+    def load(name):
+        df = derive(name, load_table(spark, f"{folder}/{name}.parquet", schema=SCHEMAS[name]))
+        return changed[name](df) if name in changed else df
+
+    return Workspace(declared, LazyTables(declared, load), checked=True)

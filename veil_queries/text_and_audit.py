@@ -125,7 +125,7 @@ def t7(spark, d):
 
 @query("T8_snapshot_manifest")
 def t8(spark, d):
-    return T.snapshot_manifest(shop.workspace(spark, d).tables)
+    return T.snapshot_manifest({n: shop.workspace(spark, d).tables[n] for n in shop.TABLES})
 
 
 KEY = b"audit key of the example study"
