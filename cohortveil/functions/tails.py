@@ -19,8 +19,19 @@ from pyspark.sql.types import DoubleType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _TINY = 1e-300
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erfc = np.vectorize(math.erfc, otypes=[float])
+
+
+def _each(fn, x):
+    x = np.asarray(x, dtype=float)
+    return np.array([fn(v) for v in x.ravel()], dtype=float).reshape(x.shape)
+
+
+def _lgamma(x):
+    return _each(math.lgamma, x)
+
+
+def _erfc(x):
+    return _each(math.erfc, x)
 
 
 def _lentz(first, terms, steps: int):

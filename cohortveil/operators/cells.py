@@ -167,8 +167,10 @@ def sweep_persons(ws: Workspace, view: str, column: str, dims=None, widest: int
     """
     dims = sorted(dims or ws.study.view(view).dims)
     names = {k: f"_c{k}" for k in degrees}
+    # only shares are read off higher powers here, so those add up as doubles
+    term = lambda c, k: power(c.cast("double") if k > 1 else c, k)
     finest = ws.per_person(view, dims, tuple(filters), (column,),
-                           lambda col: {names[k]: power(col(column), k) for k in degrees})
+                           lambda col: {names[k]: term(col(column), k) for k in degrees})
     sets = key_sets(dims, widest)
     persons = (finest.groupingSets([[F.col(d) for d in s] + [F.col(PERSON)] for s in sets],
                                    *(F.col(d) for d in dims), F.col(PERSON))

@@ -1,4 +1,8 @@
-"""ANOVA, Bartlett, Jarque-Bera and series diagnostics from finalised cells."""
+"""ANOVA, Bartlett, Jarque-Bera and series diagnostics from finalised cells.
+
+Finalised cells are written out once; what follows reads that small table, never
+the rows behind it.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import jarque_bera, jarque_bera_p
 from ..functions.tails import chi2_sf, f_sf
+from ..session import cut
 from ..specs import MAX_LAGS, MIN_WINDOWS, FactorSpec, Measure, QuerySpec, SeriesSpec
 from ..study import Policy
 from .cells import cells, moment_cells
@@ -23,8 +28,8 @@ def finalised_groups(ws: Workspace, spec: FactorSpec, policy: Policy) -> DataFra
     """Per-level n, mean, sum_sq as released, plus ``withheld``."""
     spec.check(ws.study)
     table = gaussian_tables(ws, spec.view, spec.response, [spec.factor], spec.filters, policy)
-    return table.select(spec.factor, "mean", "sum_sq", "n",
-                        (F.col("fails_mean") | F.col("fails_sum_sq")).alias("withheld"))
+    return cut(table.select(spec.factor, "mean", "sum_sq", "n",
+                            (F.col("fails_mean") | F.col("fails_sum_sq")).alias("withheld")))
 
 
 def anova_problems(groups: DataFrame) -> DataFrame:
@@ -147,7 +152,7 @@ def series_windows(ws: Workspace, spec: SeriesSpec, policy: Policy) -> DataFrame
     spec.check(ws.study)
     request = QuerySpec(spec.view, Measure(spec.stat, spec.response), (spec.time,), spec.filters)
     judged = judge(cells(ws, request), (spec.time,), policy, ws.study).withColumn("withheld", fails())
-    return shape(finalise(judged, (spec.time,), policy), spec.stat)
+    return cut(shape(finalise(judged, (spec.time,), policy), spec.stat))
 
 
 def series_problems(windows: DataFrame, time: str) -> DataFrame:
