@@ -138,14 +138,19 @@ def marginals(ws: Workspace, views=None) -> DataFrame:
     """Distinct persons behind every value of every filterable dimension.
 
     view, dim, kind, value, n_persons.  Rows collapse to distinct dimension
-    combinations per person before they are unpivoted.
+    combinations per person before they are unpivoted; the unpivoted rows name
+    their dimension by number until they are counted.
     """
     out = None
     for name in sorted(views or ws.study.views):
-        kinds = ws.study.view(name).filter_kinds()
-        part = (long_values(combination_persons(ws, name, sorted(kinds)), name, kinds, (PERSON,))
-                .distinct().groupBy("view", "dim", "kind", "value")
-                .agg(F.count(F.lit(1)).alias("n_persons")))
+        kinds = sorted(ws.study.view(name).filter_kinds().items())
+        rows = combination_persons(ws, name, [d for d, _ in kinds])
+        values = F.array(*(F.col(d).cast("string") for d, _ in kinds))
+        counted = (rows.select(PERSON, F.posexplode(values).alias("_d", "value")).distinct()
+                   .groupBy("_d", "value").agg(F.count(F.lit(1)).alias("n_persons")))
+        label = lambda i: F.element_at(F.array(*(F.lit(k[i]) for k in kinds)), F.col("_d") + 1)
+        part = counted.select(F.lit(name).alias("view"), label(0).alias("dim"), label(1).alias("kind"),
+                              "value", "n_persons")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -214,9 +214,9 @@ def provenance(plan: FakePlan, study: Study, seed: int) -> dict:
 
 
 def write_fake(tables: dict[str, DataFrame], study: Study, plan: FakePlan, folder: str, seed: int = 0,
-               fmt: str = "parquet") -> None:
+               fmt: str = "parquet", ranges: dict | None = None) -> None:
     """Write tables, public views and a one-row JSON manifest."""
-    bad = violations(tables, study).where("nulls > 0 or outside > 0")
+    bad = violations(tables, study, ranges).where("nulls > 0 or outside > 0")
     if not bad.isEmpty():
         raise StudyError("stand-in tables hold values outside their declaration")
     import json

@@ -222,21 +222,25 @@ def _mean(eta: Column, family: Column) -> Column:
     return F.when(family == "binomial", clipped).when(family == "poisson", expo).otherwise(eta)
 
 
-def fit(cells: DataFrame, study: Study, positions: DataFrame | None = None
-        ) -> tuple[DataFrame, DataFrame]:
+def fit(cells: DataFrame, study: Study, positions: DataFrame | None = None,
+        families: set[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Fit every estimable model in a table of cells.
 
     Returns (designed cells with fitted values, solutions: model_id, beta, cov,
     estimable).  Models of all families advance together; a model that has
     converged leaves the loop with its solution.  ``positions`` is passed when
-    the preconditions were already checked on these cells.
+    the preconditions were already checked on these cells, ``families`` when
+    they are known.
     """
     if positions is None:
         positions = cut(level_positions(cells, study))
         bad = preconditions(cells, positions).select("model_id").distinct()
         cells = cells.join(bad, "model_id", "left_anti")
-    rows = cut(design(cells, positions))
-    families = {r["family"] for r in rows.select("family").distinct().collect()}   # three at most
+    if families is None:
+        families = {r["family"] for r in cells.select("family").distinct().collect()}   # three at most
+    rows = design(cells, positions)
+    if families - {"gaussian"}:
+        rows = cut(rows)          # read once per step
     done = []
     if "gaussian" in families:
         gaussian = rows.where(F.col("family") == "gaussian").select(
@@ -364,7 +368,7 @@ def fit_released(released: DataFrame, spec: GlmSpec, study: Study) -> Model:
     problems = preconditions(cells, positions).collect()   # a few per term of one model
     if problems:
         return Model("denied", tuple(sorted(r["problem"] for r in problems)))
-    fitted, solved = fit(cells, study, positions)
+    fitted, solved = fit(cells, study, positions, {spec.family})
     if solved.where("estimable").isEmpty():
         return Model("denied", ("terms are aliased or the fit did not converge",))
     summary = summaries(fitted, not partial)
