@@ -28,6 +28,11 @@ def plain(v):
     return v
 
 
+def kinds_of(names, rows):
+    """Column → Python types of its values, before any conversion."""
+    return {n: {type(r[i]).__name__ for r in rows if r[i] is not None} for i, n in enumerate(names)}
+
+
 def rows_of(names, rows):
     order = sorted(range(len(names)), key=lambda i: names[i])
     return sorted((tuple(plain(r[i]) for i in order) for r in rows), key=repr)
@@ -43,18 +48,24 @@ def connect(sf_dir):
 def compare(spark, con, sf_dir, name, fn, sql):
     start = time.time()
     df = fn(spark, sf_dir)
-    got = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    raw = [tuple(r) for r in df.collect()]
+    got = rows_of(df.columns, raw)
     spent = time.time() - start
     if sql is None:
         return f"ROWS {len(got)}", spent, None
     start = time.time()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
-    want = rows_of(names, cur.fetchall())
+    other = cur.fetchall()
+    want = rows_of(names, other)
     took = time.time() - start
     if sorted(names) != sorted(df.columns):
         return f"COLUMNS {sorted(df.columns)} vs {sorted(names)}", spent, took
     if got == want:
+        a, b = kinds_of(df.columns, raw), kinds_of(names, other)
+        odd = {n: (a[n], b[n]) for n in a if a[n] != b[n]}
+        if odd:
+            return f"TYPES {odd}", spent, took
         return (f"ok {len(got)}" if got else "EMPTY"), spent, took
     diff = [(g, w) for g, w in zip(got, want) if g != w][:2]
     return f"DIFF {len(got)} vs {len(want)}: {diff}", spent, took
