@@ -60,26 +60,26 @@ def share(c: str) -> Column:
 
 
 def _correlation_cells(pp: DataFrame, keys: list[str]) -> DataFrame:
+    """r and the largest change of r when one person is left out.
+
+    Every person row meets the totals of its cell once; both the value and the
+    witness come out of that one aggregate.
+    """
     names = ["_n", "_x", "_y", "_xx", "_yy", "_xy"]
-    totals = pp.groupBy(*keys).agg(*(F.sum(c).alias("t" + c) for c in names),
-                                   F.count(F.lit(1)).alias("n_persons"))
+    totals = pp.groupBy(*keys).agg(*(F.sum(c).alias("t" + c) for c in names))
     full = pearson(*(F.col("t" + c) for c in names))
     rest = pearson(*(F.col("t" + c) - F.col(c) for c in names))
     moved = F.when(F.col("t_n") - F.col("_n") >= 3, F.abs(full - rest))
     moved = F.coalesce(F.when(~F.isnan(moved), moved), F.lit(INFINITY))
     if keys:
         other = totals.select(*(F.col(k).alias("t_" + k) for k in keys), *("t" + c for c in names))
-        on = [F.col(k).eqNullSafe(F.col("t_" + k)) for k in keys]
-        joined = pp.join(other, on)
-        worst = joined.groupBy(*keys).agg(F.max(moved).alias("influence"))
-        worst = worst.select(*(F.col(k).alias("w_" + k) for k in keys), "influence")
-        out = totals.join(worst, [F.col(k).eqNullSafe(F.col("w_" + k)) for k in keys], "left")
+        joined = pp.join(other, [F.col(k).eqNullSafe(F.col("t_" + k)) for k in keys])
     else:
         # one row of totals: read as a scalar subquery, not joined
         one = totals.select(F.struct(*("t" + c for c in names)).alias("t")).scalar()
         joined = pp.withColumn("_t", one).select(*names, "_t.*")
-        worst = joined.agg(F.max(moved).alias("influence")).scalar()
-        out = totals.withColumn("influence", worst)
+    out = joined.groupBy(*keys).agg(F.max(moved).alias("influence"), F.count(F.lit(1)).alias("n_persons"),
+                                    *(F.max("t" + c).alias("t" + c) for c in names))
     return out.select(*keys, full.alias("value"), F.coalesce("t_n", F.lit(0)).alias("n"), "n_persons",
                       F.coalesce("influence", F.lit(INFINITY)).alias("influence"))
 

@@ -136,11 +136,19 @@ def t9(spark, d):
     return read(spark, d, "events").select("event_id", T.keyed_mac(F.col("props"), KEY).alias("mac"))
 
 
+CHAIN = ("user_id", "day", "block")
+
+
+def chain_keys():
+    return (F.col("user_id"), F.to_date("ts").alias("day"), F.floor(F.col("event_id") / 1000).alias("block"))
+
+
 def audit_chains(spark, d):
-    """A keyed chain per user and day, with some rows altered and some removed."""
+    """A keyed chain per user, day and block of a thousand event ids, with some
+    rows altered and some removed.  A chain holds a thousand rows at most."""
     events = read(spark, d, "events").select(
-        "user_id", F.to_date("ts").alias("day"), "event_id", "event_type", F.col("value").cast("string").alias("body"))
-    rows = events.groupBy("user_id", "day").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "body"))).alias("r"))
+        *chain_keys(), "event_id", "event_type", F.col("value").cast("string").alias("body"))
+    rows = events.groupBy(*CHAIN).agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type", "body"))).alias("r"))
     start = F.struct(F.lit("genesis").alias("mac"), F.array().cast(
         "array<struct<id:bigint,event_id:bigint,body:string,prev_mac:string,mac:string>>").alias("out"))
 
@@ -151,37 +159,37 @@ def audit_chains(spark, d):
                        body.alias("body"), s["mac"].alias("prev_mac"), mac.alias("mac"))
         return F.struct(mac.alias("mac"), F.array_append(s["out"], row).alias("out"))
 
-    chained = rows.select("user_id", "day", F.inline(F.aggregate("r", start, step)["out"]))
+    chained = rows.select(*CHAIN, F.inline(F.aggregate("r", start, step)["out"]))
     altered = F.when(F.col("event_id") % 50 == 0, F.concat("body", F.lit("0"))).otherwise(F.col("body"))
     return chained.where(F.col("event_id") % 77 != 0).withColumn("body", altered)
 
 
-@query("T10_verified_chain", """WITH o AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id,
-  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) - 1 AS id FROM events),
+@query("T10_verified_chain", """WITH o AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id // 1000 AS block, event_id,
+  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE), event_id // 1000 ORDER BY event_id) - 1 AS id FROM events),
 k AS (SELECT * FROM o WHERE event_id % 77 <> 0)
-SELECT k.user_id, k.day, k.id, k.event_id % 50 <> 0 AS mac_ok, k.id = 0 OR p.id IS NOT NULL AS link_ok
-FROM k LEFT JOIN k p ON p.user_id = k.user_id AND p.day = k.day AND p.id = k.id - 1""")
+SELECT k.user_id, k.day, k.block, k.id, k.event_id % 50 <> 0 AS mac_ok, k.id = 0 OR p.id IS NOT NULL AS link_ok
+FROM k LEFT JOIN k p ON p.user_id = k.user_id AND p.day = k.day AND p.block = k.block AND p.id = k.id - 1""")
 def t10(spark, d):
     rows = cut(audit_chains(spark, d))
     body = F.concat_ws("|", "body", "prev_mac")
-    return T.verify_chain(rows, body, KEY, chain=("user_id", "day"))
+    return T.verify_chain(rows, body, KEY, chain=CHAIN)
 
 
-@query("T10_chain_verdicts", """WITH o AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id,
-  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) - 1 AS id FROM events),
+@query("T10_chain_verdicts", """WITH o AS (SELECT user_id, CAST(ts AS DATE) AS day, event_id // 1000 AS block, event_id,
+  row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE), event_id // 1000 ORDER BY event_id) - 1 AS id FROM events),
 k AS (SELECT * FROM o WHERE event_id % 77 <> 0),
-c AS (SELECT k.user_id, k.day, bool_and(k.event_id % 50 <> 0 AND (k.id = 0 OR p.id IS NOT NULL)) AS ok
- FROM k LEFT JOIN k p ON p.user_id = k.user_id AND p.day = k.day AND p.id = k.id - 1 GROUP BY ALL),
-m AS (SELECT user_id, day, arg_max(event_id, id) AS e FROM o GROUP BY ALL)
-SELECT c.user_id, c.day, c.ok AND m.e % 77 <> 0 AS intact FROM c JOIN m ON c.user_id = m.user_id AND c.day = m.day""")
+c AS (SELECT k.user_id, k.day, k.block, bool_and(k.event_id % 50 <> 0 AND (k.id = 0 OR p.id IS NOT NULL)) AS ok
+ FROM k LEFT JOIN k p ON p.user_id = k.user_id AND p.day = k.day AND p.block = k.block AND p.id = k.id - 1 GROUP BY ALL),
+m AS (SELECT user_id, day, block, arg_max(event_id, id) AS e FROM o GROUP BY ALL)
+SELECT c.user_id, c.day, c.block, c.ok AND m.e % 77 <> 0 AS intact FROM c JOIN m ON c.user_id = m.user_id AND c.day = m.day AND c.block = m.block""")
 def t10_verdict(spark, d):
     rows = cut(audit_chains(spark, d))
-    full = read(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("event_id").alias("event_id"))
-    last = rows.select("user_id", "day", "event_id", "mac")
-    marks = full.join(last, ["user_id", "day", "event_id"], "left").select(
-        "user_id", "day", F.coalesce("mac", F.lit("lost")).alias("mark"))
-    checked = T.verify_chain(rows, F.concat_ws("|", "body", "prev_mac"), KEY, chain=("user_id", "day"))
-    return T.chain_verdict(checked, rows, marks, ("user_id", "day"))
+    full = read(spark, d, "events").groupBy(*chain_keys()).agg(F.max("event_id").alias("event_id"))
+    last = rows.select(*CHAIN, "event_id", "mac")
+    marks = full.join(last, [*CHAIN, "event_id"], "left").select(
+        *CHAIN, F.coalesce("mac", F.lit("lost")).alias("mark"))
+    checked = T.verify_chain(rows, F.concat_ws("|", "body", "prev_mac"), KEY, chain=CHAIN)
+    return T.chain_verdict(checked, rows, marks, CHAIN)
 
 
 @query("T11_replay_compare", f"WITH {SALES} SELECT DISTINCT n_name, n_name NOT IN ('NATION_3', 'NATION_8') AS reproduced FROM sales")
