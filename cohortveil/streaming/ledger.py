@@ -20,8 +20,8 @@ def stream_budget(requests: DataFrame, budget: int, window: str = "24 hours") ->
     """Accept or refuse each arriving request within its user's budget.
 
     ``requests``: user, request_id, ts, cost.  A repeated request id inside the
-    window is dropped.  A user's spending is forgotten after a window without
-    requests.  Within a micro-batch a user's requests are taken by time.
+    window is dropped.  A user's spending is forgotten once event time has moved
+    a window past their last request.  Within a micro-batch a user's requests are taken by time.
     """
     hours = float(window.split()[0])
     idle = int(hours * 3600 * 1000)
@@ -30,9 +30,10 @@ def stream_budget(requests: DataFrame, budget: int, window: str = "24 hours") ->
         if state.hasTimedOut:
             state.remove()
             return
-        spent = state.get[0] if state.exists else 0
+        spent, latest = (state.get[0] if state.exists else 0), state.getCurrentWatermarkMs()
         for batch in batches:
             batch = batch.sort_values(["ts", "request_id"])
+            latest = max(latest, int(batch["ts"].max().timestamp() * 1000))
             accepted, running = [], []
             for cost in batch["cost"]:
                 fits = spent + int(cost) <= budget
@@ -42,8 +43,8 @@ def stream_budget(requests: DataFrame, budget: int, window: str = "24 hours") ->
             yield batch.assign(spent=running, accepted=accepted)[
                 ["user", "request_id", "ts", "cost", "spent", "accepted"]]
         state.update((spent,))
-        state.setTimeoutDuration(idle)
+        state.setTimeoutTimestamp(latest + idle)
 
     fresh = requests.withWatermark("ts", window).dropDuplicatesWithinWatermark(["request_id"])
     return fresh.groupBy("user").applyInPandasWithState(
-        charge, OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        charge, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
