@@ -244,7 +244,12 @@ def d10(spark, d):
     return L.budget(release_log(spark, d), Policy()).select("user", "seq", "spent", "over_budget")
 
 
-@query("D11_selection_ledger")
+@query("D11_selection_ledger", f"""WITH RECURSIVE {LOG_SQL}, o AS (SELECT "user", seq, bits,
+  row_number() OVER (PARTITION BY "user" ORDER BY seq) AS k FROM log),
+r AS (SELECT "user", seq, bits, k, CASE WHEN bits <= 4 THEN bits ELSE 0 END AS spent, bits <= 4 AS accepted FROM o WHERE k = 1
+ UNION ALL SELECT o."user", o.seq, o.bits, o.k, CASE WHEN r.spent + o.bits <= 4 THEN r.spent + o.bits ELSE r.spent END, r.spent + o.bits <= 4
+ FROM r JOIN o ON o."user" = r."user" AND o.k = r.k + 1)
+SELECT "user", seq, bits, accepted FROM r""")
 def d11(spark, d):
     return L.charge_selection(release_log(spark, d).select("user", "seq", "bits"), 4)
 

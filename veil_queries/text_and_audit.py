@@ -65,9 +65,27 @@ def t1(spark, d):
 SYNONYMS = shop.study().synonyms
 
 
-@query("T2_dimensions_named")
+def _dims_sql(synonyms: dict[str, str]) -> str:
+    """The same blanking of longer terms first, for ASCII text."""
+    steps, rest = [], "low0"
+    edge, end = "(^|[^a-z0-9_])", "($|[^a-z0-9_])"
+    order = sorted(synonyms, key=len, reverse=True)
+    for i, term in enumerate(order):
+        pattern = f"{edge}{term}(s|es)?{end}"
+        blank = rest
+        for _ in range(2):        # neighbours share the character between them
+            blank = f"regexp_replace({blank}, '{pattern}', '\\1#\\3', 'g')"
+        steps.append(f"s{i} AS (SELECT *, CASE WHEN regexp_matches({rest}, '{pattern}') THEN '{synonyms[term]}' END AS f{i}, "
+                     f"{blank} AS low{i + 1} FROM {'r0' if i == 0 else f's{i - 1}'})")
+        rest = f"low{i + 1}"
+    found = ", ".join(f"f{i}" for i in range(len(order)))
+    return (f"r0 AS (SELECT conv_id, turn, trim(low) AS low0 FROM requests), {', '.join(steps)} "
+            f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct([{found}])), ',') AS dims FROM s{len(order) - 1}")
+
+
+@query("T2_dimensions_named", f"WITH {REQUESTS_SQL}, {_dims_sql(shop.study().synonyms)}")
 def t2(spark, d):
-    return T.dimensions_named(requests(spark, d), SYNONYMS).drop("text")
+    return T.dimensions_named(requests(spark, d), SYNONYMS).select("conv_id", "turn", F.array_join("dims", ",").alias("dims"))
 
 
 @query("T2_dimensions_named_in_documents")
@@ -128,6 +146,13 @@ def t8(spark, d):
     return T.snapshot_manifest({n: shop.workspace(spark, d).tables[n] for n in shop.TABLES})
 
 
+@query("T8_snapshot_shape", """SELECT 'orders' AS "table", COUNT(*) AS rows, 8 AS n_columns FROM orders UNION ALL SELECT 'customer', COUNT(*), 6 FROM customer
+UNION ALL SELECT 'nation', COUNT(*), 3 FROM nation UNION ALL SELECT 'region', COUNT(*), 2 FROM region
+UNION ALL SELECT 'lineitem', COUNT(*), 7 FROM lineitem UNION ALL SELECT 'events', COUNT(*), 7 FROM events""")
+def t8_shape(spark, d):
+    return t8(spark, d).select("table", "rows", F.size("columns").alias("n_columns"))
+
+
 KEY = b"audit key of the example study"
 
 
