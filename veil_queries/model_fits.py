@@ -153,6 +153,15 @@ def m9(spark, d):
     return M.preconditions(long, M.level_positions(long, ws.study))
 
 
+@query("M10_binomial_summary", f"""WITH {SALES}, g AS (SELECT {ring('COUNT(*)')} AS n FROM sales GROUP BY r_name, c_mktsegment)
+SELECT 'binomial' AS family, 'logit' AS link, 'is_urgent' AS response, CAST(SUM(n) AS BIGINT) AS n, COUNT(*) AS n_cells,
+ CAST(COUNT(*) - 9 AS DOUBLE) AS df_resid FROM g""")
+def m10_shape(spark, d):
+    """Five regions and five segments: nine parameters."""
+    out = M.release_model(shop.workspace(spark, d), BINOM2).summary
+    return out.select("family", "link", "response", "n", "n_cells", "df_resid")
+
+
 @query("M10_model_tables")
 def m10(spark, d):
     return M.release_model(shop.workspace(spark, d), BINOM2).summary
@@ -181,6 +190,13 @@ def m11_table(spark, d):
     return S.anova_released(S.finalised_groups(shop.workspace(spark, d), ANOVA, POLICY), "ship_year")[0]
 
 
+@query("M11_anova_table", f"""WITH {ANOVA_SQL}
+SELECT 'ship_year' AS source, CAST(k - 1 AS BIGINT) AS df, round(ssb, 4) AS sum_sq, round(ssb / (k - 1), 4) AS mean_sq FROM a
+UNION ALL SELECT 'Residual', CAST(n - k AS BIGINT), round(ssw, 4), round(ssw / (n - k), 4) FROM a""")
+def m11_sums(spark, d):
+    return m11_table(spark, d).select("source", "df", "sum_sq", "mean_sq")
+
+
 @query("M12_bartlett", f"""WITH {ANOVA_SQL}
 SELECT k - 1 AS bartlett_df, round(((n - k) * ln(ssw / (n - k)) - logs) / (1 + (inv - 1.0 / (n - k)) / (3.0 * (k - 1))), 4) AS bartlett_chi2 FROM a""")
 def m12(spark, d):
@@ -275,6 +291,13 @@ def m20_best(spark, d):
     return out.select(*(F.round(c, 4).alias(c) for c in out.columns))
 
 
+@query("M20_series_quantities", f"""WITH {SERIES_SQL}, s AS (SELECT MAX(n) AS n, MAX(mean) AS mean, SUM(d*d) AS ss FROM dv)
+SELECT 'n_windows' AS quantity, CAST(n AS DOUBLE) AS value FROM s UNION ALL SELECT 'mean', round(mean, 4) FROM s
+UNION ALL SELECT 'sd', round(sqrt(ss / (n - 1)), 4) FROM s""")
+def m20_quantities(spark, d):
+    return S.series_diagnostics(_windows(spark, d), "day").where(F.col("quantity").isin("n_windows", "mean", "sd"))
+
+
 @query("M20_series_diagnostics")
 def m20_all(spark, d):
     return S.series_diagnostics(_windows(spark, d), "day")

@@ -211,18 +211,32 @@ def f10(spark, d):
     return selected_values(cohorts, values).drop("view")
 
 
-@query("V11_data_dictionary")
+def _dictionary_sql() -> str:
+    stored = {"order_year": "o_orderdate", "order_month": "o_orderdate", "is_urgent": "o_orderpriority",
+              "balance": "c_acctbal", "ship_year": "l_shipdate", "hour_band": "ts", "day": "ts"}
+    study, parts = shop.study(), []
+    for table, columns in study.tables.items():
+        for c, role in columns.items():
+            domain = ";".join(study.domain(c) or ())
+            parts.append(f"SELECT '{table}' AS \"table\", '{c}' AS \"column\", '{role}' AS role, "
+                         f"'{study.descriptions.get(c, '')}' AS description, '{domain}' AS domain, "
+                         f"COUNT({stored.get(c, c)}) AS filled FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+@query("V11_data_dictionary", _dictionary_sql())
 def v11(spark, d):
-    """Declared columns joined with how many distinct values the tables really hold."""
+    """Declared columns with how many values the tables really hold."""
     ws = shop.workspace(spark, d)
     counts = None
     for name in sorted(ws.study.tables):
         df, columns = ws.tables[name], sorted(ws.study.tables[name])
-        row = df.agg(*(F.approx_count_distinct(c).alias(c) for c in columns))
+        row = df.agg(*(F.count(c).alias(c) for c in columns))
         part = row.select(F.lit(name).alias("table"), F.inline(F.array(*(
-            F.struct(F.lit(c).alias("column"), F.col(c).alias("distinct_values")) for c in columns))))
+            F.struct(F.lit(c).alias("column"), F.col(c).alias("filled")) for c in columns))))
         counts = part if counts is None else counts.union(part)
-    return V.data_dictionary(spark, ws.study).join(counts, ["table", "column"], "left")
+    words = V.data_dictionary(spark, ws.study).join(counts, ["table", "column"])
+    return words.withColumn("domain", F.coalesce(F.array_join("domain", ";"), F.lit("")))
 
 
 __all__ = ["conjunction", "marginals"]
