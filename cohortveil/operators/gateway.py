@@ -61,7 +61,6 @@ def complementary(judged: DataFrame, keys, policy: Policy) -> DataFrame:
     if len(keys) == 1:
         state = _drop(state, _victims(state, [], keys, policy.round_base), keys, 1)
     else:
-        state = cut(state)
         sweep = 0
         settled = state.where(F.col("_out")).isEmpty()
         while not settled:
@@ -155,7 +154,10 @@ def vet(cell_table: DataFrame, keys, policy: Policy, study: Study, value_class:
     reasons = denial_reasons(set(cell_table.columns) - set(HELPERS), study)
     if reasons:
         raise StudyError(f"table denied: {reasons}")
-    return complementary(judge(cell_table, keys, policy, study, value_class), keys, policy)
+    # written once: suppression, findings, status and the released table all read
+    # these cells, none of them goes back to the rows
+    judged = cut(judge(cell_table, keys, policy, study, value_class))
+    return complementary(judged, keys, policy)
 
 
 def release(ws: Workspace, spec: QuerySpec, policy: Policy | None = None) -> Release:
