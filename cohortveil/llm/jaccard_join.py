@@ -265,3 +265,18 @@ def _links(documents: DataFrame, docs: DataFrame, placed: DataFrame, id_col: str
     spread = built.withColumn("meet", F.explode(pairs)).select("meet.pair", "meet.side", "node", "copies", "bits")
     return (spread.dropDuplicates(["pair", "node"]).repartition("pair").sortWithinPartitions("pair", "side", "node")
             .mapInArrow(lambda b: _compare(b, threshold), "member string, links bigint, root string"))
+
+
+def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
+    """The documents without all but one of each class, all columns kept.
+
+    The document of the least id stays; of several rows with that id, one.  A
+    class of rows without ids keeps one of them.
+    """
+    classes = near_duplicates(documents, id_col, text_col, threshold, target)
+    kept = classes.where(F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("kept_id")).distinct()
+    rows = documents.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    columns = documents.columns
+    return rows.groupBy(F.col(id_col).alias("kept_id")).agg(
+        F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row")).select("row.*")

@@ -51,6 +51,14 @@ def toxicity(spark, folder):
         (F.col("score") >= 0.7).cast("int").alias("predicted"), "offending")
 
 
+@query("op5_packing")
+def packing(spark, folder):
+    """Every piece of every document with its place."""
+    from .packing import pack
+
+    return pack(table(spark, folder, "documents"))
+
+
 @query("op8_jaccard_join")
 def jaccard_join(spark, folder):
     """Class, links and copies of every document."""
@@ -68,3 +76,31 @@ def language(spark, folder):
     model = lid.train(documents.where(fold(4) != 2))
     return lid.predict(documents.drop("lang"), model).select(
         "doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+_LINES_SQL = """
+WITH parts AS (
+  SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, site, unnest(range(len(lines))) AS place, trim(unnest(lines), ' ' || chr(9) || chr(13)) AS line FROM parts),
+marks AS (
+  SELECT line, min((coalesce(doc_id, 9223372036854775807), place)) AS keep
+  FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
+drops AS (
+  SELECT doc_id, list(place) AS gone FROM lines JOIN marks USING (line)
+  WHERE (coalesce(doc_id, 9223372036854775807), place) <> keep GROUP BY doc_id)
+SELECT d.doc_id,
+  CASE WHEN gone IS NULL THEN text
+       ELSE array_to_string([x[1] FOR x IN list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10)))))
+                             IF NOT list_contains(gone, x[2])], chr(10)) END AS text,
+  coalesce(len(gone), 0)::INT AS removed_lines
+FROM documents d LEFT JOIN drops ON d.doc_id = drops.doc_id
+"""
+
+
+@query("op10_line_dedup", _LINES_SQL)
+def line_dedup(spark, folder):
+    """Every document's text without cross-site boilerplate lines."""
+    from .line_spread import clean
+
+    return clean(table(spark, folder, "documents"), removed_col="removed_lines").select("doc_id", "text", "removed_lines")
