@@ -38,6 +38,14 @@ def decontamination(spark, folder):
     return find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op3_spot_signatures")
+def spot_signatures(spark, folder):
+    """Fingerprints of every text and of its edited text."""
+    from .spot_signatures import edited_fingerprints
+
+    return edited_fingerprints(table(spark, folder, "documents"))
+
+
 @query("op4_toxicity")
 def toxicity(spark, folder):
     """Score of every document; remainder 1 is held out of training."""
