@@ -38,6 +38,41 @@ def decontamination(spark, folder):
     return find(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+_FIXITY_SQL = """
+WITH raw AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, substr(md5(page_id::VARCHAR), 1, 2) AS draw FROM pages),
+body AS (
+  SELECT page_id, draw, 'WARC/1.0' || e || 'WARC-Type: response' || e || 'WARC-Record-ID: <urn:page:' || page_id || '>' || e
+    || 'WARC-Target-URI: ' || url || e || 'Content-Type: text/html' || e || 'Content-Length: ' || strlen(html) || e || e AS head,
+    html || e || e AS tail FROM raw, (SELECT chr(13) || chr(10) AS e)),
+hashed AS (
+  SELECT page_id, draw, (strlen(head) + strlen(tail))::BIGINT AS length, sha256(head || tail) AS ours,
+    sha256(head || CASE WHEN draw < '10' THEN translate(tail, '<', '(') ELSE tail END) AS theirs FROM body),
+placed AS (
+  SELECT *, (sum(length) OVER (ORDER BY page_id, ours))::BIGINT - length AS start FROM hashed)
+SELECT start // 67108864 AS file, start % 67108864 AS "offset", page_id AS id, length, ours AS expected,
+  CASE WHEN draw < 'f8' THEN theirs END AS found, CASE WHEN draw < 'f8' THEN 'changed' ELSE 'missing' END AS status
+FROM placed WHERE draw < '10' OR draw >= 'f8'
+"""
+
+
+@query("op2_warc_fixity", _FIXITY_SQL)
+def warc_fixity(spark, folder):
+    """Audit of the pages' archive against a replica with altered and lost records.
+
+    The replica is the archive itself, altered where the hash of the id begins with
+    0 and without the records where it begins with f8 to ff.
+    """
+    from .warc_fixity import audit, layout
+
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    draw = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
+    altered = F.when(draw < "10", F.translate("html", "<", "(")).otherwise(F.col("html"))
+    drawn = F.substring(F.md5(F.col("id").cast("string").cast("binary")), 1, 2)
+    replica = layout(pages.withColumn("html", altered)).where(drawn < "f8")
+    return audit(layout(pages), replica)
+
+
 @query("op3_spot_signatures")
 def spot_signatures(spark, folder):
     """Fingerprints of every text and of its edited text."""
@@ -67,6 +102,73 @@ def packing(spark, folder):
     return pack(table(spark, folder, "documents"))
 
 
+_URL_SQL = """
+WITH seen AS (
+  SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS parts,
+    DATE '2023-01-01' + ('0x' || substr(md5(page_id::VARCHAR), 1, 4))::INT % 730 AS fetched_on FROM pages),
+captures AS (
+  SELECT *, host || '/' || array_to_string(parts, '/') || CASE WHEN len(parts) > 0 THEN '/' ELSE '' END AS place FROM seen),
+named AS (
+  SELECT DISTINCT 'hosts' AS list, host AS rule, 'block' AS effect FROM captures WHERE host <> ''
+  UNION SELECT DISTINCT 'paths', host || '/' || parts[1] || '/', 'allow' FROM captures WHERE host <> '' AND len(parts) > 0),
+drawn AS (
+  SELECT *, ('0x' || substr(md5(rule), 1, 4))::INT % 500 AS a, ('0x' || substr(md5(rule), 5, 4))::INT % 300 + 1 AS b,
+    ('0x' || substr(md5(rule), 9, 4))::INT % 200 + 1 AS c FROM named),
+rules AS (
+  SELECT list, rule, effect, DATE '2023-01-01' + a AS valid_from, DATE '2023-01-01' + a + b AS valid_until FROM drawn
+  UNION ALL SELECT list, rule, effect, DATE '2023-01-01' + a + b + c, DATE '9999-12-31' FROM drawn),
+met AS (
+  SELECT page_id, url, fetched_on, r.*, row_number() OVER (PARTITION BY c.page_id, c.url
+      ORDER BY length(rule) DESC, effect = 'allow' DESC, list DESC, rule DESC) AS place_no
+  FROM captures c JOIN rules r ON fetched_on >= valid_from AND fetched_on < valid_until
+    AND (host = rule OR ends_with(host, '.' || rule) OR (contains(rule, '/') AND starts_with(place, rule))))
+SELECT c.page_id, c.fetched_on, coalesce(effect, 'none') AS verdict, rule, list, valid_from, valid_until
+FROM captures c LEFT JOIN (SELECT * FROM met WHERE place_no = 1) m ON c.page_id = m.page_id AND c.url = m.url
+"""
+
+
+@query("op6_url_lists", _URL_SQL)
+def url_lists(spark, folder):
+    """Every page judged by the list entries active on its day.
+
+    ``pages`` has neither fetch days nor lists; both are drawn from hashes: a day in
+    2023 or 2024 per page, and for every host and every host with its first path
+    segment a rule that is added, removed and added again.
+    """
+    from . import url_lists as lists
+
+    def drawn(text: F.Column, first: int) -> F.Column:
+        return F.conv(F.substring(F.md5(text.cast("string").cast("binary")), first, 4), 16, 10).cast("int")
+
+    origin = F.to_date(F.lit("2023-01-01"))
+    captures = table(spark, folder, "pages").select("page_id", "url").withColumn(
+        "fetched_on", F.date_add(origin, drawn(F.col("page_id"), 1) % 730))
+    seen = captures.select(lists.host_of(F.col("url")).alias("host"), lists.path_of(F.col("url")).alias("path")).where(
+        "host is not null")
+    head = F.split_part("path", F.lit("/"), F.lit(2))
+    hosts = seen.select(F.lit("hosts").alias("list"), F.col("host").alias("rule"), F.lit("block").alias("effect"))
+    paths = seen.where(head != "").select(F.lit("paths").alias("list"), F.concat("host", F.lit("/"), head, F.lit("/")).alias("rule"),
+                                          F.lit("allow").alias("effect"))
+    rules = hosts.union(paths).distinct()
+    rule = F.col("rule")
+    added = drawn(rule, 1) % 500
+    removed = added + drawn(rule, 5) % 300 + 1
+    again = removed + drawn(rule, 9) % 200 + 1
+    dated = F.array(*[F.struct(F.lit(action).alias("action"), F.date_add(origin, day).alias("day"))
+                      for action, day in (("add", added), ("remove", removed), ("add", again))])
+    entries = rules.withColumn("e", F.explode(dated)).select("list", "rule", "effect", "e.action", "e.day")
+    return lists.judge(captures, lists.intervals(entries)).drop("url")
+
+
+@query("op7_license_scan")
+def license_scan(spark, folder):
+    """Every license notice in every document."""
+    from .license_scan import scan
+
+    return scan(table(spark, folder, "documents"))
+
+
 @query("op8_jaccard_join")
 def jaccard_join(spark, folder):
     """Class, links and copies of every document."""
