@@ -193,8 +193,11 @@ def train(learnable: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             {"names": pa.array([names], pa.list_(pa.string())), "weights": pa.array([w.tobytes()], pa.binary()),
              "bias": pa.array([b.tobytes()], pa.binary()), "temperature": pa.array([t], pa.float64())})
 
-    row = sample.coalesce(1).mapInArrow(
-        fit, "names array<string>, weights binary, bias binary, temperature double").collect()[0]
+    fitted = sample.coalesce(1).mapInArrow(
+        fit, "names array<string>, weights binary, bias binary, temperature double").collect()
+    if not fitted:  # an empty table may have no task at all
+        return Model([], idf, np.zeros((DIMENSIONS, 0)), np.zeros(0), 1.0)
+    row = fitted[0]
     names = list(row.names)
     return Model(names, idf, np.frombuffer(bytes(row.weights)).reshape(DIMENSIONS, len(names)),
                  np.frombuffer(bytes(row.bias)), row.temperature)

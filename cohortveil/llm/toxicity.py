@@ -100,8 +100,8 @@ def _document_log_clean(logits: np.ndarray, document: np.ndarray, n: int) -> np.
     return -np.bincount(document, np.logaddexp(0.0, logits), n)
 
 
-def fit_bags(texts: list[str], toxic: np.ndarray, steps: int = 120, rate: float = 0.2,
-             lasso: float = 2e-4) -> Model:
+def fit_bags(texts: list[str], toxic: np.ndarray, steps: int = 160, rate: float = 0.2,
+             lasso: float = 3e-4) -> Model:
     """Minimise the documents' log loss under noisy-or plus an L1 penalty (Adam, proximal steps).
 
     Rare features are set aside first and the penalty keeps most weights at 0, so
@@ -174,7 +174,10 @@ def train(sample: DataFrame) -> Model:
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "bias": [model.bias]},
                                          pa.schema([("weights", pa.binary()), ("bias", pa.float64())]))
 
-    row = sample.coalesce(1).mapInArrow(fit, "weights binary, bias double").collect()[0]
+    rows = sample.coalesce(1).mapInArrow(fit, "weights binary, bias double").collect()
+    if not rows:  # an empty table may have no task at all
+        return fit_bags([], np.zeros(0, bool))
+    row = rows[0]
     return Model(np.frombuffer(bytes(row.weights), np.float32), row.bias)
 
 
