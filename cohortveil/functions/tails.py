@@ -19,6 +19,10 @@ from pyspark.sql.types import DoubleType
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _TINY = 1e-300
+# A step that changes less than this has settled; the most steps of an
+# expansion, over which its value is NaN; from this shape on the incomplete gamma
+# function is taken from its uniform asymptotic form.
+SETTLED, MOST_STEPS, LARGE_SHAPE = 1e-15, 1_000_000, 1e4
 
 
 def _each(fn, x):
@@ -34,21 +38,29 @@ def _erfc(x):
     return _each(math.erfc, x)
 
 
-def _lentz(first, terms, steps: int):
-    """Modified Lentz evaluation of first + a1/(b1 + a2/(b2 + …)) over arrays."""
+def _lentz(first, terms):
+    """Modified Lentz evaluation of first + a1/(b1 + a2/(b2 + …)) over arrays.
+
+    Runs until every element has settled; one that has not after ``MOST_STEPS``
+    is NaN.
+    """
     f = np.where(np.abs(first) < _TINY, _TINY, first)
     c, d = f.copy(), np.zeros_like(f)
-    for i in range(1, steps + 1):
+    moving = np.ones(f.shape, bool)
+    for i in range(1, MOST_STEPS + 1):
         a, b = terms(i)
         d = b + a * d
         d = 1.0 / np.where(np.abs(d) < _TINY, _TINY, d)
         c = b + a / c
         c = np.where(np.abs(c) < _TINY, _TINY, c)
-        f = f * c * d
-    return f
+        f = np.where(moving, f * c * d, f)
+        moving &= np.abs(c * d - 1) > SETTLED
+        if not moving.any():
+            break
+    return np.where(moving, np.nan, f)
 
 
-def beta_regularised(x, a, b, steps: int = 400):
+def beta_regularised(x, a, b):
     """I_x(a, b) elementwise, by whichever tail of the fraction converges fast."""
     x, a, b = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (x, a, b)))
     inside = (x > 0) & (x < 1) & (a > 0) & (b > 0)
@@ -65,7 +77,7 @@ def beta_regularised(x, a, b, steps: int = 400):
         return num, np.ones_like(z)
 
     # 1 + d1/(1 + d2/(1 + …)); the function is prefactor / fraction
-    fraction = _lentz(np.ones_like(z), terms, steps)
+    fraction = _lentz(np.ones_like(z), terms)
     log_front = (_lgamma(p + q) - _lgamma(p) - _lgamma(q)
                  + p * np.log(z) + q * np.log1p(-z) - np.log(p))
     tail = np.exp(log_front) / fraction
@@ -74,21 +86,38 @@ def beta_regularised(x, a, b, steps: int = 400):
     return np.where(np.isnan(x) | np.isnan(a) | np.isnan(b), np.nan, np.clip(out, 0, 1))
 
 
-def gamma_upper(a, x, steps: int = 500):
-    """Q(a, x): series below a + 1, continued fraction above."""
+def _gamma_upper_large(s, z):
+    """Q(s, z) for large s: a normal tail in a stretched variable, with two correction terms."""
+    ratio = z / s
+    off = ratio - 1
+    stretch = np.sign(off) * np.sqrt(2 * np.maximum(off - np.log(ratio), 0))
+    near = np.abs(stretch) < 0.05
+    away, e = np.where(near, 1.0, off), np.where(near, 1.0, stretch)
+    one = np.where(near, -1 / 3 + stretch / 12 - 2 * stretch ** 2 / 135 + stretch ** 3 / 864, 1 / away - 1 / e)
+    two = np.where(near, -1 / 540 - stretch / 288, 1 / e ** 3 - 1 / away ** 3 - 1 / away ** 2 - 1 / (12 * away))
+    rest = np.exp(-s * stretch ** 2 / 2) / np.sqrt(2 * np.pi * s) * (one + two / s)
+    return 0.5 * _erfc(stretch * np.sqrt(s / 2)) + rest
+
+
+def gamma_upper(a, x):
+    """Q(a, x): series below a + 1, continued fraction above, asymptotic form for large a."""
     a, x = np.broadcast_arrays(*(np.asarray(v, dtype=float) for v in (a, x)))
     ok = (a > 0) & (x > 0) & np.isfinite(a) & np.isfinite(x)
-    s, z = np.where(ok, a, 1.0), np.where(ok, x, 1.0)
+    large = ok & (a >= LARGE_SHAPE)
+    s, z = np.where(ok & ~large, a, 1.0), np.where(ok & ~large, x, 1.0)
     front = np.exp(s * np.log(z) - z - _lgamma(s))
     low = np.minimum(z, s + 1)                    # keep the series where it converges
     term = 1 / s
     total = term.copy()
-    for k in range(1, steps + 1):
+    for k in range(1, MOST_STEPS + 1):
         term = term * low / (s + k)
         total = total + term
+        if (term <= SETTLED * total).all():
+            break
     high = np.maximum(z, s + 1)
-    fraction = _lentz(high + 1 - s, lambda i: (-i * (i - s), high + 2 * i + 1 - s), steps)
+    fraction = _lentz(high + 1 - s, lambda i: (-i * (i - s), high + 2 * i + 1 - s))
     out = np.where(z < s + 1, 1 - front * total, front / fraction)
+    out = np.where(large, _gamma_upper_large(np.where(large, a, 1.0), np.where(large, x, 1.0)), out)
     out = np.where(ok, np.clip(out, 0, 1), np.where((x == 0) & (a > 0), 1.0, np.nan))
     return out
 

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..specs import Filter, Measure, QuerySpec
-from ..study import PERSON
+from ..study import PERSON, StudyError
 from .measures import INFINITY, PROCEDURES, dominance, pearson, power
-from .predicates import conjunction
+from .predicates import conjunction, not_null
 from .views import Workspace
 
 COUNT_COLUMNS = ("n", "n_persons")
@@ -35,6 +35,12 @@ def cells(ws: Workspace, spec: QuerySpec) -> DataFrame:
     """keys…, value (absent for a count), n, n_persons, dominance or influence."""
     spec.check(ws.study)
     proc, m, keys = PROCEDURES[spec.measure.fn], spec.measure, list(spec.keys)
+    if proc.witness == "influence":
+        rows = ws.unit(spec.view).where(conjunction(spec.filters)).where(not_null(proc.guards(m)))
+        centre = rows.agg(F.struct(*(F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(a)
+                                     for c, a in ((m.x, "x"), (m.y, "y"))))).scalar()
+        return _correlation_cells(ws.per_person(spec.view, keys, spec.filters, proc.guards(m),
+                                                lambda column: proc.parts(m, column, centre)), keys)
     pp = ws.per_person(spec.view, keys, spec.filters, proc.guards(m),
                        lambda column: proc.parts(m, column))
     size = [F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("n_persons")]
@@ -46,7 +52,7 @@ def cells(ws: Workspace, spec: QuerySpec) -> DataFrame:
         if proc.averaged:
             value = value / F.when(F.col("n") > 0, F.col("n"))
         return out.select(*keys, value.alias("value"), "n", "n_persons", share("_c").alias("dominance"))
-    return _correlation_cells(pp, keys)
+    raise StudyError(f"no cells for witness {proc.witness!r}")
 
 
 def share_terms(c: str) -> list[Column]:

@@ -13,7 +13,7 @@ from ..specs import QuerySpec
 from ..study import Policy, Study, StudyError
 from .cells import HELPERS, cells
 from .measures import PROCEDURES
-from .rules import cell_text, denial_reasons, fails, findings, judge, key_text
+from .rules import SEVERITY, cell_text, denial_reasons, fails, findings, judge, key_text
 from .views import Workspace
 
 SECONDARY = "secondary_suppression"
@@ -24,26 +24,29 @@ def rounded(c: Column, base: int) -> Column:
 
 
 def _victims(state: DataFrame, margin: list[str], keys, base: int) -> DataFrame:
-    """For margins that lack exactly one cell: the cell given up to protect it.
+    """For margins that lack exactly one cell: the keys of the cell given up to protect it.
 
-    The smallest count as released, ties by key text.
+    The smallest count as released, ties by key text, then by the keys themselves,
+    so that a missing key and an empty one stay two cells.
     """
     live = ~F.col("_out")
-    choice = F.struct(F.round(F.col("n") / F.lit(base)).alias("size"), cell_text(keys).alias("cell"))
+    choice = F.struct(F.round(F.col("n") / F.lit(base)).alias("size"), cell_text(keys).alias("cell"),
+                      F.struct(*(F.col(k).alias(f"v{i}") for i, k in enumerate(keys))).alias("keys"))
     return (state.groupBy(*margin)
             .agg(F.sum(F.col("_out").cast("int")).alias("_gone"),
                  F.min(F.when(live, choice)).alias("_choice"))
             .where((F.col("_gone") == 1) & F.col("_choice").isNotNull())
-            .select(F.col("_choice.cell").alias("_cell")).distinct())
+            .select(*(F.col(f"_choice.keys.v{i}").alias(f"_v{i}") for i in range(len(keys))), F.lit(True).alias("_hit"))
+            .distinct())
 
 
 def _drop(state: DataFrame, victims: DataFrame, keys, sweep: int) -> DataFrame:
-    marked = state.withColumn("_key", cell_text(keys)).join(
-        victims, F.col("_key") == F.col("_cell"), "left")
-    new = F.col("_cell").isNotNull() & ~F.col("_out")
-    return (marked.withColumn("_sweep", F.when(new, F.lit(sweep)).otherwise(F.col("_sweep")))
-            .withColumn("_out", F.col("_out") | F.col("_cell").isNotNull())
-            .drop("_key", "_cell"))
+    same = [F.col(k).eqNullSafe(F.col(f"_v{i}")) for i, k in enumerate(keys)]
+    marked = state.join(victims, same, "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    return (marked.withColumn("_sweep", F.when(hit & ~F.col("_out"), F.lit(sweep)).otherwise(F.col("_sweep")))
+            .withColumn("_out", F.col("_out") | hit)
+            .drop("_hit", *(f"_v{i}" for i in range(len(keys)))))
 
 
 def complementary(judged: DataFrame, keys, policy: Policy) -> DataFrame:
@@ -140,13 +143,18 @@ def review_decision(found: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Release:
-    """What a request yields.  All parts are lazy DataFrames."""
+    """What a request yields.
+
+    The cells were judged and written when the request ran; the parts are
+    DataFrames over that table.
+    """
 
     spec: QuerySpec
     vetted: DataFrame      # internal: every cell with witnesses and failed rules
-    released: DataFrame    # what leaves
+    released: DataFrame    # what leaves; empty unless it needs no review and is not denied
     findings: DataFrame    # rule, severity, suppressable, n_cells
-    status: DataFrame      # one row
+    status: DataFrame      # one row: the cells' status, the review decision, cells kept
+    outcome: DataFrame     # one row: released, redacted, review or denied, as enforced
 
 
 def vet(cell_table: DataFrame, keys, policy: Policy, study: Study, value_class: str) -> DataFrame:
@@ -160,14 +168,58 @@ def vet(cell_table: DataFrame, keys, policy: Policy, study: Study, value_class:
     return complementary(judged, keys, policy)
 
 
-def release(ws: Workspace, spec: QuerySpec, policy: Policy | None = None) -> Release:
-    """Run one request through the gateway."""
-    policy = policy or Policy()
-    proc = PROCEDURES[spec.measure.fn]
-    vetted = vet(cells(ws, spec), spec.keys, policy, ws.study, proc.value_class)
-    out = shape(finalise(vetted.where(~fails()), spec.keys, policy), spec.measure.fn)
+def kept_cells(vetted: DataFrame) -> Column:
+    """Number of cells that pass, as a scalar subquery."""
+    return vetted.agg(F.coalesce(F.sum(F.when(fails(), 0).otherwise(1)), F.lit(0))).scalar()
+
+
+def granularity_finding(vetted: DataFrame, policy: Policy) -> DataFrame:
+    """``too_granular`` when more cells pass than may leave without a person's review."""
+    return (vetted.agg(F.coalesce(F.sum(F.when(fails(), 0).otherwise(1)), F.lit(0)).cast("bigint").alias("n_cells"))
+            .where(F.col("n_cells") > policy.max_cells)
+            .select(F.lit("too_granular").alias("rule"), F.lit(SEVERITY["too_granular"]).alias("severity"),
+                    F.lit(False).alias("suppressable"), "n_cells"))
+
+
+def outcome_of(status: DataFrame) -> DataFrame:
+    """The status with the review decision enforced."""
+    return status.select(F.when(F.col("decision") == "deny", "denied").when(F.col("decision") == "human", "review")
+                         .otherwise(F.col("status")).alias("outcome"))
+
+
+def release_cells(cell_table: DataFrame, spec: QuerySpec, policy: Policy, study: Study) -> Release:
+    """Judge a request's cells and enforce the outcome.
+
+    A table that carries a column which must never leave is denied whole: no cell
+    is released and each reason is a finding that suppression cannot settle.
+    """
+    proc, keys = PROCEDURES[spec.measure.fn], spec.keys
+    reasons = denial_reasons(set(cell_table.columns) - set(HELPERS), study)
+    if reasons:
+        vetted = cut(cell_table.withColumn("failed_rules", F.array(*(F.lit(r) for r in reasons))))
+        counted = vetted.agg(F.count(F.lit(1)).alias("n_cells"))
+        found = counted.select(F.explode(F.array(*(F.lit(r) for r in reasons))).alias("rule"), F.lit("high").alias("severity"),
+                               F.lit(False).alias("suppressable"), "n_cells")
+        status = counted.select(F.lit("denied").alias("status"), F.lit("deny").alias("decision"),
+                                F.lit(0).cast("bigint").alias("n_cells"))
+        return Release(spec, vetted, vetted.where(F.lit(False)).drop(*HELPERS, "failed_rules", *study.identifier_columns(),
+                                                                     *study.free_text), found, status, outcome_of(status))
+    vetted = vet(cell_table, keys, policy, study, proc.value_class)
+    leaving = vetted.where(~fails() & (kept_cells(vetted) <= policy.max_cells))
+    out = shape(finalise(leaving, keys, policy), spec.measure.fn)
     check_columns(out, output_contract(spec))
-    return Release(spec, vetted, out, findings(vetted), status_of(vetted, policy))
+    status = status_of(vetted, policy)
+    found = findings(vetted).unionByName(granularity_finding(vetted, policy))
+    return Release(spec, vetted, out, found, status, outcome_of(status))
+
+
+def release(ws: Workspace, spec: QuerySpec, policy: Policy | None = None) -> Release:
+    """Run one request through the gateway.
+
+    More passing cells than ``policy.max_cells`` need a person's review: nothing is
+    released and the outcome is ``review``.
+    """
+    return release_cells(cells(ws, spec), spec, policy or Policy(), ws.study)
 
 
 def published_marginals(marginal_table: DataFrame, study: Study, policy: Policy) -> DataFrame:

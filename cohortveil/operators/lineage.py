@@ -58,7 +58,7 @@ def contribution_difference(ws: Workspace, quantity: str, view_a: str, a: tuple[
 
     def side(view, filters, sign):
         pp = ws.per_person(view, (), filters, (), lambda c: {"_s": c(columns[view])})
-        return pp.select(PERSON, (F.coalesce("_s", F.lit(0)) * sign).cast("decimal(38,6)").alias("_s"))
+        return pp.select(PERSON, (F.coalesce("_s", F.lit(0)) * sign).alias("_s"))
 
     both = side(view_a, a, 1).unionByName(side(view_b, b, -1))
     return (both.groupBy(PERSON).agg(F.sum("_s").alias("_d")).where(F.abs("_d") > 1e-6)
@@ -148,10 +148,21 @@ class CohortIndex:
         self.members = cut(spots.join(doors, ["dim", "value"]).where(holds).select("combo", "cohort_id"))
         self.sizes = self.sizes.select("combo", "n_persons")
 
-    def cohort_sizes(self) -> DataFrame:
-        """Distinct persons per cohort."""
-        return (self.members.join(self.persons, "combo").select("cohort_id", PERSON).distinct()
-                .groupBy("cohort_id").agg(F.count(F.lit(1)).alias("n_persons")))
+    def cohort_sizes(self, enough: int) -> DataFrame:
+        """Distinct persons per cohort; from ``enough`` on a lower bound may stand.
+
+        A combination's persons all belong to the cohort, so one that holds
+        ``enough`` settles the matter; persons are looked up for the other cohorts only.
+        """
+        most = cut(self.members.join(self.sizes, "combo").groupBy("cohort_id").agg(F.max("n_persons").alias("n_persons")))
+        open_ = most.where(F.col("n_persons") < enough).select("cohort_id")
+        exact = (self.members.join(open_, "cohort_id", "left_semi").join(self.persons, "combo").select("cohort_id", PERSON)
+                 .distinct().groupBy("cohort_id").agg(F.count(F.lit(1)).alias("n_persons")))
+        return most.where(F.col("n_persons") >= enough).unionByName(exact)
+
+    def releasable(self, delta: int, min_persons: int) -> DataFrame:
+        """Cohorts of at least ``min_persons``; sizes are exact below 2 · ``delta``."""
+        return cut(self.cohort_sizes(max(2 * delta, min_persons)).where(F.col("n_persons") >= min_persons))
 
 
 def exact_differences(index: CohortIndex, pairs: DataFrame, delta: int) -> DataFrame:
@@ -178,16 +189,37 @@ def exact_differences(index: CohortIndex, pairs: DataFrame, delta: int) -> DataF
     return few.unionByName(none).where(F.col("n_persons") < delta)
 
 
-def candidate_pairs(index: CohortIndex, cohort_ids: DataFrame, delta: int) -> DataFrame:
+def small_pairs(index: CohortIndex, sizes: DataFrame, delta: int) -> DataFrame:
+    """Pairs that may differ over fewer than ``delta`` persons and of which one has fewer.
+
+    The other one then has fewer than 2 · ``delta``.  Such a pair shares a person,
+    or its sizes add up to less than ``delta``: the first kind meets on persons, the
+    second on sizes.
+    """
+    compact = sizes.where(F.col("n_persons") < 2 * delta)
+    tokens = cut(index.members.join(compact, "cohort_id").join(index.persons, "combo")
+                 .select("cohort_id", F.col("n_persons").alias("n"), PERSON).distinct())
+    side = lambda df, p: df.withColumnsRenamed({"cohort_id": f"cohort_{p}", "n": f"n_{p}"})
+    sharing = (side(tokens, "a").join(side(tokens, "b"), PERSON)
+               .where((F.col("cohort_a") < F.col("cohort_b")) & (F.least("n_a", "n_b") < delta)).select("cohort_a", "cohort_b"))
+    small = sizes.where(F.col("n_persons") < delta - 1).select("cohort_id", F.col("n_persons").alias("n"))
+    fitting = side(small, "a").withColumn("n_b", F.explode(F.sequence(F.lit(1), F.lit(delta - 1) - F.col("n_a"))))
+    apart = fitting.join(side(small, "b").withColumn("n_b", F.col("n_b")), "n_b").where("cohort_a < cohort_b").select(
+        "cohort_a", "cohort_b")
+    return sharing.unionByName(apart).distinct()
+
+
+def candidate_pairs(index: CohortIndex, sizes: DataFrame, delta: int) -> DataFrame:
     """Pairs of cohorts that may differ over fewer than ``delta`` persons.
 
-    Complete by counting: persons fall into 2·delta slices, so such a pair
-    agrees on more than delta slices.  Cohorts are matched on equal slice
-    digests.  If all agreeing slices are empty, both cohorts touch fewer than
-    delta slices; those tiny cohorts are matched on their ``delta`` rarest
-    persons, of which two such cohorts must share one.  Every listed cohort
-    must hold at least ``delta`` persons.
+    ``sizes``: cohort_id, n_persons.  Complete by counting: persons fall into
+    2·delta slices, so such a pair agrees on more than delta slices.  Cohorts are
+    matched on equal slice digests.  If all agreeing slices are empty, both cohorts
+    touch fewer than delta slices; those confined cohorts are matched on their
+    ``delta`` rarest persons, of which two of at least delta persons must share one.
+    Pairs with a cohort of fewer than delta persons come from :func:`small_pairs`.
     """
+    cohort_ids = sizes.where(F.col("n_persons") >= delta).select("cohort_id")
     slices = 2 * delta
     place = F.pmod(F.xxhash64(PERSON), F.lit(slices))
     digests = index.persons.groupBy("combo", place.alias("slice")).agg(
@@ -207,7 +239,8 @@ def candidate_pairs(index: CohortIndex, cohort_ids: DataFrame, delta: int) -> Da
     order = W.partitionBy("cohort_id").orderBy("f", PERSON)
     prefix = (tokens.join(rarity, PERSON).withColumn("r", F.row_number().over(order))
               .where(F.col("r") <= delta).select("cohort_id", PERSON))
-    return cut(found.unionByName(pair(prefix, prefix, [PERSON])).distinct())
+    large = found.unionByName(pair(prefix, prefix, [PERSON]))
+    return cut(large.unionByName(small_pairs(index, sizes, delta)).distinct())
 
 
 def filtered_dims(cohorts: DataFrame, ws: Workspace, view: str) -> list[str]:
@@ -218,25 +251,28 @@ def filtered_dims(cohorts: DataFrame, ws: Workspace, view: str) -> list[str]:
     return [d for d in sorted(kinds) if row[d]]
 
 
-def close_pairs(ws: Workspace, view: str, cohorts: DataFrame, delta: int) -> DataFrame:
+def close_pairs(ws: Workspace, view: str, cohorts: DataFrame, delta: int,
+                min_persons: int | None = None) -> DataFrame:
     """All pairs of releasable cohorts of one view that differ over fewer than
     ``delta`` persons: cohort_a, cohort_b, n_persons.
 
-    Cohorts below ``delta`` persons cannot be released and are left out.
+    A cohort is releasable from ``min_persons`` on; without it, one bound serves
+    both purposes.
     """
+    min_persons = delta if min_persons is None else min_persons
     index = CohortIndex(ws, view, cohorts, filtered_dims(cohorts, ws, view))
-    large = cut(index.cohort_sizes().where(F.col("n_persons") >= delta))
-    return exact_differences(index, candidate_pairs(index, large, delta), delta)
+    return exact_differences(index, candidate_pairs(index, index.releasable(delta, min_persons), delta), delta)
 
 
 def survey(ws: Workspace, view: str, cohorts: DataFrame, marginal_table: DataFrame,
-           delta: int) -> DataFrame:
+           delta: int, min_persons: int | None = None) -> DataFrame:
     """Over all pairs of releasable cohorts: how many each check denies.
 
     Far pairs are only counted, never listed.
     """
+    min_persons = delta if min_persons is None else min_persons
     index = CohortIndex(ws, view, cohorts, filtered_dims(cohorts, ws, view))
-    large = cut(index.cohort_sizes().where(F.col("n_persons") >= delta))
+    large = index.releasable(delta, min_persons)
     close = cut(exact_differences(index, candidate_pairs(index, large, delta), delta))
     bounds = marginal_bounds(close, cohorts, marginal_table)
     total = large.agg(F.count(F.lit(1)).alias("n")).scalar()
@@ -261,7 +297,7 @@ def cross_view_differences(ws: Workspace, quantity: str, pairs: DataFrame, cohor
         combo = F.to_json(F.struct(*sorted(dims)), {"ignoreNullFields": "false"})
         parts.append(index.members.join(sums.withColumn("combo", combo), "combo")
                      .groupBy("cohort_id", PERSON)
-                     .agg(F.sum("_s").cast("decimal(38,6)").alias("_s")))
+                     .agg(F.sum("_s").alias("_s")))
     amount = cut(reduce(DataFrame.unionByName, parts))
     side = lambda p, sign: pairs.select("cohort_a", "cohort_b").join(
         amount.withColumnRenamed("cohort_id", f"cohort_{p}"), f"cohort_{p}").select(

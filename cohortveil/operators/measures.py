@@ -91,8 +91,12 @@ class Correlation:
     def guards(self, m) -> tuple[str, ...]:
         return (m.x, m.y)
 
-    def parts(self, m, column) -> dict[str, Column]:
+    def parts(self, m, column, centre: Column | None = None) -> dict[str, Column]:
+        """Sums of deviations from ``centre`` (x, y): products of values far from
+        zero would lose the spread they are meant to show."""
         x, y = column(m.x).cast("double"), column(m.y).cast("double")
+        if centre is not None:
+            x, y = x - centre["x"], y - centre["y"]
         return {"_x": x, "_y": y, "_xx": x * x, "_yy": y * y, "_xy": x * y}
 
     def configs(self, view: View):
@@ -113,10 +117,16 @@ PROCEDURES = {p.fn: p for p in (
 )}
 
 
+# Fixed value: a variance below this share of the second moment is rounding noise.
+LOST = 1e-12
+
+
 def pearson(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
-    """Pearson r from power sums; NULL when a variance is not positive."""
-    spread = (n * xx - x * x) * (n * yy - y * y)
-    return (n * xy - x * y) / F.sqrt(F.when(spread > 0, spread))
+    """Pearson r from power sums; NULL when a variance is zero or lost in rounding."""
+    vx, vy = n * xx - x * x, n * yy - y * y
+    seen = (vx > LOST * n * xx) & (vy > LOST * n * yy)
+    r = (n * xy - x * y) / (F.sqrt(F.when(seen, vx)) * F.sqrt(F.when(seen, vy)))
+    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 
 
 def dominance(largest: Column, magnitude: Column, total: Column) -> Column:

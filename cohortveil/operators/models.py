@@ -278,7 +278,9 @@ def _reweighted(base: DataFrame) -> list[DataFrame]:
         done.append(new.where("settled").drop("settled"))
         state = new.where(~F.col("settled")).drop("settled")
         if state.isEmpty():
-            break
+            return done
+    # still moving: a row all the same, so that no model is lost without a word
+    done.append(state.withColumn("estimable", F.lit(False)))
     return done
 
 
@@ -333,7 +335,7 @@ def coefficients(positions: DataFrame, solved: DataFrame, summary: DataFrame) ->
 
 @dataclass(frozen=True)
 class Model:
-    """status: released or denied with reasons; tables are None when denied."""
+    """status: released, review or denied, with reasons; tables are None unless released."""
 
     status: str
     reasons: tuple[str, ...]
@@ -353,6 +355,8 @@ def release_model(ws: Workspace, spec: GlmSpec, policy: Policy | None = None) ->
                         *(F.coalesce(F.bool_or(c), F.lit(False)).alias(c) for c in roles)).first()
     if verdict["k"] == 0 or any(verdict[r] for r in REQUIRED[spec.family]):
         return Model("denied", ("nothing released",))
+    if verdict["k"] > policy.max_cells:
+        return Model("review", ("too_granular",))
     released = table.select(*[c for c in table.columns if not c.startswith(("fails_", "raw_"))])
     if spec.family == "gaussian" and verdict["fails_sum_sq"]:
         released = released.drop("sum_sq")

@@ -96,29 +96,15 @@ def denial_reasons(columns, study: Study, has_counts: bool | None = None) -> lis
 def top_two(contrib: DataFrame, keys, c: str = "contribution") -> DataFrame:
     """Per cell: persons, total, largest and second largest contribution.
 
-    The two largest come from a per-slice ranking: persons are first split into
-    slices of a cell so that a cell holding most persons is ranked in parallel,
-    then the few survivors of each slice are ranked again.
+    The two largest come from a ranking whose limit Spark applies before the
+    shuffle, so a cell that holds most persons sends two rows per task.
     """
     keys = list(keys)
-    sliced = contrib.withColumn("_slice", F.pmod(F.xxhash64(PERSON), F.lit(64)))
-    slices = sliced.groupBy(*keys, "_slice").agg(
-        F.count(F.lit(1)).alias("_k"), F.sum(c).alias("_t"),
-        F.max(F.struct(F.col(c).alias("v"), F.col(PERSON).alias("p"))).alias("_first"))
-    near = [F.col(k).eqNullSafe(F.col("s_" + k)) for k in keys]
-    firsts = slices.select(*(F.col(k).alias("s_" + k) for k in keys),
-                           F.col("_slice").alias("s_slice"), F.col("_first.p").alias("s_p"))
-    others = sliced.join(firsts, [*near, F.col("_slice") == F.col("s_slice"),
-                                  F.col(PERSON) == F.col("s_p")], "left_anti")
-    seconds = others.groupBy(*keys, "_slice").agg(F.max(c).alias("_second"))
-    tops = (slices.select(*keys, F.col("_first.v").alias("v"))
-            .unionByName(seconds.select(*keys, F.col("_second").alias("v"))))
-    # at most 128 values per cell remain
-    ranked = tops.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("v"))))
-    best = ranked.where(F.col("_r") <= 2).groupBy(*keys).agg(
-        F.max(F.when(F.col("_r") == 1, F.col("v"))).alias("largest"),
-        F.max(F.when(F.col("_r") == 2, F.col("v"))).alias("second"))
-    total = slices.groupBy(*keys).agg(F.sum("_k").alias("persons"), F.sum("_t").alias("total"))
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc_nulls_last(c)))
+    best = (contrib.select(*keys, c).withColumn("_r", place).where(F.col("_r") <= 2).groupBy(*keys).agg(
+        F.max(F.when(F.col("_r") == 1, F.col(c))).alias("largest"),
+        F.max(F.when(F.col("_r") == 2, F.col(c))).alias("second")))
+    total = contrib.groupBy(*keys).agg(F.count(F.lit(1)).alias("persons"), F.sum(c).alias("total"))
     right = best.select(*(F.col(k).alias("b_" + k) for k in keys), "largest", "second")
     joined = (total.join(right, [F.col(k).eqNullSafe(F.col("b_" + k)) for k in keys]) if keys
               else total.withColumn("_b", best.select(F.struct("largest", "second")).scalar())
@@ -148,27 +134,40 @@ def cell_text(keys) -> Column:
     return F.concat_ws("|", *(key_text(k) for k in keys)) if keys else F.lit("total")
 
 
+# Fixed value: what a rule name from outside looks like.
+RULE_NAME = "^[a-z][a-z0-9_-]{0,39}$"
+
+
 def safe_rule_name(raw: Column) -> Column:
     """A rule name from outside, or ``unnamed`` unless it looks like one."""
     name = F.lower(F.trim(raw))
-    return F.when(name.rlike("^[a-z][a-z0-9_-]{0,39}$"), name).otherwise(F.lit("unnamed"))
+    return F.when(name.rlike(RULE_NAME), name).otherwise(F.lit("unnamed"))
 
 
 def apply_verdicts(cell_table: DataFrame, keys, verdicts: DataFrame) -> DataFrame:
-    """Join outside verdicts (cell, rule) to cells by key text.
+    """Join outside verdicts to cells.
 
-    ``rule`` is ``release`` or rule names separated by ``;``.  A cell without a
-    verdict is suppressed as ``checker_incomplete``, which denies the table.
+    ``verdicts`` has ``rule`` (``release`` or rule names separated by ``;``) and
+    either the key columns, matched null-safely, or ``cell``, the key text.  A text
+    that stands for several cells (a missing key beside an empty one) names none of
+    them.  A cell without a verdict is suppressed as ``checker_incomplete``, which
+    denies the table.
     """
-    answer = verdicts.select(F.col("cell").alias("_cell"), F.col("rule").alias("_rule"))
-    out = cell_table.withColumn("_key", cell_text(keys)).join(
-        answer, F.col("_key") == F.col("_cell"), "left")
+    if keys and set(keys) <= set(verdicts.columns):
+        answer = verdicts.select(*(F.col(k).alias(f"_v{i}") for i, k in enumerate(keys)), F.col("rule").alias("_rule"))
+        out = cell_table.join(answer, [F.col(k).eqNullSafe(F.col(f"_v{i}")) for i, k in enumerate(keys)], "left").drop(
+            *(f"_v{i}" for i in range(len(keys))))
+    else:
+        texts = cell_table.withColumn("_key", cell_text(keys))
+        plain = texts.groupBy("_key").agg(F.count(F.lit(1)).alias("_same")).where("_same = 1").select("_key")
+        answer = verdicts.select(F.col("cell").alias("_key"), F.col("rule").alias("_rule")).join(plain, "_key", "left_semi")
+        out = texts.join(answer, "_key", "left").drop("_key")
     named = F.transform(F.filter(F.split("_rule", ";"), lambda r: F.length(F.trim(r)) > 0),
                         safe_rule_name)
     failed = (F.when(F.col("_rule").isNull(), F.array(F.lit("checker_incomplete")))
               .when(F.col("_rule") == "release", F.array().cast("array<string>"))
               .otherwise(named))
-    return out.withColumn("failed_rules", failed).drop("_key", "_cell", "_rule")
+    return out.withColumn("failed_rules", failed).drop("_rule")
 
 
 def verdict_status(judged: DataFrame) -> DataFrame:

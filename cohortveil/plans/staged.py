@@ -77,10 +77,8 @@ class StageResult:
 
 
 def _decide(out) -> tuple[str, str]:
-    row = out.status.first()
-    if row["status"] == "denied":
-        return "denied", "nothing released"
-    return ("review", "too granular") if row["decision"] == "human" else (row["status"], "")
+    outcome = out.outcome.first()["outcome"]
+    return outcome, {"denied": "nothing released", "review": "too granular"}.get(outcome, "")
 
 
 def run_plan(ws: Workspace, plan: Plan, policy: Policy | None = None) -> list[StageResult]:
@@ -117,8 +115,7 @@ def run_plan(ws: Workspace, plan: Plan, policy: Policy | None = None) -> list[St
 def cohort_of(spec: QuerySpec) -> tuple[str, list]:
     """Cohort id and predicates of a request."""
     text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
-    predicates = [(c, op, [text(v) for v in (value if isinstance(value, tuple) else (value,))])
-                  for c, op, value in normal_form(spec.filters)]
+    predicates = [(column, op, [text(v) for v in values]) for column, op, values in normal_form(spec.filters)]
     return json.dumps([spec.view, predicates]), predicates
 
 
@@ -142,7 +139,7 @@ def run_batch(ws: Workspace, specs: list[QuerySpec], policy: Policy | None = Non
                                           f"cohort_id string, view string, predicates {PREDICATES}")
             # at most one row per pair of requests of the batch
             close |= {frozenset((r["cohort_a"], r["cohort_b"]))
-                      for r in close_pairs(ws, view, table, policy.delta).collect()}
+                      for r in close_pairs(ws, view, table, policy.delta, policy.min_persons).collect()}
     spent, seen, totals, tables, ledger = 0, [], [], [], []
     for seq, (spec, (cohort, _)) in enumerate(zip(specs, cohorts), 1):
         total, table = None, None

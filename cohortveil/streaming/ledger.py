@@ -23,8 +23,7 @@ def stream_budget(requests: DataFrame, budget: int, window: str = "24 hours") ->
     window is dropped.  A user's spending is forgotten once event time has moved
     a window past their last request.  Within a micro-batch a user's requests are taken by time.
     """
-    hours = float(window.split()[0])
-    idle = int(hours * 3600 * 1000)
+    idle = int(pd.Timedelta(window).total_seconds() * 1000)
 
     def charge(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:

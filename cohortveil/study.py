@@ -141,7 +141,6 @@ class Policy:
     budget: int = 20
     delta: int = 10
     selection_bits: int = 4
-    row_cap: int = 10_000
 
     def __post_init__(self):
         _need(self.min_persons >= 1, "min_persons must be at least 1")

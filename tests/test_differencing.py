@@ -73,6 +73,22 @@ def test_close_pairs_equal_brute_force(spark, seed, delta):
     assert got == want and want
 
 
+@pytest.mark.parametrize("least,delta", [(2, 6), (4, 4), (6, 3), (1, 9), (3, 20)])
+def test_no_releasable_cohort_is_lost_whatever_the_two_bounds(spark, least, delta):
+    rows, cohorts = case(2)
+    ws = clinic(spark, rows)
+    table = spark.createDataFrame([(c, "v", p) for c, p in cohorts.items()], f"cohort_id string, view string, predicates {PREDICATES}")
+    got = {(r["cohort_a"], r["cohort_b"]): r["n_persons"] for r in D.close_pairs(ws, "v", table, delta, least).collect()}
+    picked = {c: [selects(r, p) for r in rows] for c, p in cohorts.items()}
+    size = {c: len({r[0] for r, s in zip(rows, picked[c]) if s}) for c in cohorts}
+    want = {}
+    for a, b in itertools.combinations(sorted(cohorts), 2):
+        n = len({r[0] for r, x, y in zip(rows, picked[a], picked[b]) if x != y})
+        if min(size[a], size[b]) >= least and n < delta:
+            want[(a, b)] = n
+    assert got == want and want
+
+
 def test_tiny_cohorts_confined_to_few_slices_are_still_matched(spark):
     """Two small cohorts that disagree on every slice they touch."""
     delta = 5

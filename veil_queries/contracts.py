@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from cohortveil.operators import cells as C
-from cohortveil.operators import fake as H
 from cohortveil.operators import gateway as G
+from cohortveil.operators.declared import violations
 from cohortveil.operators.release_audit import egress
 from cohortveil.operators.rules import denial_reasons
 from cohortveil.plans.staged import cohort_of
@@ -20,7 +20,7 @@ from cohortveil.study import StudyError
 
 from .registry import query
 from .sqltext import SALES
-from .text_and_audit import PLAN, read, stand_in
+from .text_and_audit import PLAN, read
 
 
 def folder(spark) -> str:
@@ -52,20 +52,6 @@ def s3(spark, d):
     return back.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").cast("double").alias("total"))
 
 
-@query("S7_written_stand_in", """SELECT 'sales' AS view, COUNT(*) AS n FROM orders UNION ALL SELECT 'customer_sales', COUNT(*) FROM customer
-UNION ALL SELECT 'lines', COUNT(*) FROM lineitem UNION ALL SELECT 'clicks', COUNT(*) FROM events""")
-def s7(spark, d):
-    path = folder(spark)
-    tables, plan = stand_in(spark, d)
-    H.write_fake({n: cut(t) for n, t in tables.items()}, shop.study(), plan, path, 7,
-                 ranges={"o_totalprice": (1000.0, 500000.0)})
-    out = None
-    for view in sorted(shop.study().views):
-        part = spark.read.parquet(f"{path}/views/{view}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(view).alias("view"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 @query("V12_columns_by_role", """SELECT 'identifier' AS role, 'o_custkey' AS column, COUNT(o_custkey) AS filled FROM orders
 UNION ALL SELECT 'identifier', 'c_custkey', COUNT(c_custkey) FROM customer UNION ALL SELECT 'identifier', 'c_name', COUNT(c_name) FROM customer
 UNION ALL SELECT 'identifier', 'user_id', COUNT(user_id) FROM events UNION ALL SELECT 'sensitive', 'o_totalprice', COUNT(o_totalprice) FROM orders
@@ -153,32 +139,17 @@ def r28(spark, d):
                                                 F.col(c).alias("n_cells")) for c in out.columns))))
 
 
-@query("H4_stand_in_bounds", """SELECT 'balance' AS column, TRUE AS inside, COUNT(*) AS n FROM customer
-UNION ALL SELECT 'o_totalprice', TRUE, COUNT(*) FROM orders UNION ALL SELECT 'l_quantity', TRUE, COUNT(*) FROM lineitem""")
-def h4(spark, d):
-    """Numbers stay inside caller ranges, band edges or the reported fallback."""
-    tables, plan = stand_in(spark, d)
-    out = None
-    for table, column in (("customer", "balance"), ("orders", "o_totalprice"), ("lineitem", "l_quantity")):
-        (lo, hi), _ = H.numeric_bounds(shop.study(), column, {"o_totalprice": (1000.0, 500000.0)})
-        part = tables[table].agg(F.bool_and(F.col(column).between(lo, hi)).alias("inside"), F.count(F.lit(1)).alias("n")).select(
-            F.lit(column).alias("column"), "inside", "n")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query("H7_stand_in_provenance")
-def h7(spark, d):
-    """How every stand-in column was made, with its number of distinct values."""
-    tables, plan = stand_in(spark, d)
-    out = None
-    for table, df in tables.items():
-        one = df.agg(*(F.approx_count_distinct(c).alias(c) for c in df.columns))
-        part = one.select(F.inline(F.array(*(F.struct(
-            F.lit(f"{table}.{c}").alias("column"), F.lit(plan.how[f"{table}.{c}"]).alias("how"),
-            F.lit(f"{table}.{c}" in plan.fallbacks).alias("fallback"), F.col(c).alias("distinct_values")) for c in df.columns))))
-        out = part if out is None else out.unionByName(part)
-    return out
+@query("H5_value_violations", """WITH o AS (SELECT CAST(o_totalprice AS DECIMAL(12,2)) AS v FROM orders), c AS (SELECT c_mktsegment AS v FROM customer)
+SELECT 'orders' AS "table", 'o_totalprice' AS "column", CAST(SUM(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls,
+  CAST(SUM(CASE WHEN v NOT BETWEEN 1000 AND 300000 THEN 1 ELSE 0 END) AS BIGINT) AS outside FROM o
+UNION ALL SELECT 'customer', 'c_mktsegment', CAST(SUM(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS BIGINT),
+  CAST(SUM(CASE WHEN v NOT IN ('AUTOMOBILE','BUILDING','FURNITURE','HOUSEHOLD') THEN 1 ELSE 0 END) AS BIGINT) FROM c""")
+def h5(spark, d):
+    """Values of the given tables that a narrower declaration does not account for."""
+    ws = shop.workspace(spark, d, shop.study(c_mktsegment=("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD")))
+    tables = {name: ws.tables[name] for name in shop.TABLES}
+    bad = violations(tables, ws.study, {"o_totalprice": (1000, 300000)})
+    return bad.where(F.col("column").isin("o_totalprice", "c_mktsegment"))
 
 
 @query("P1_plan_cohorts", f"""WITH {SALES} SELECT 'base' AS stage, COUNT(DISTINCT person) AS n_persons FROM sales

@@ -171,6 +171,15 @@ def d9(spark, d):
     return D.close_pairs(shop.workspace(spark, d), "sales", cohorts(spark, d), DELTA)
 
 
+WIDE = 30
+
+
+@query("D9_close_pairs_wide", f"WITH {COHORT_SQL} SELECT * FROM diffs WHERE n_persons < {WIDE}")
+def d9_wide(spark, d):
+    """A bound far over the release threshold: cohorts between the two stay in."""
+    return D.close_pairs(shop.workspace(spark, d), "sales", cohorts(spark, d), WIDE, DELTA)
+
+
 @query("D9_survey", f"""WITH {COHORT_SQL}, pairs AS (SELECT cohort_a, cohort_b FROM close_pairs), {BOUND_SQL}
 SELECT (SELECT COUNT(*) FROM large) AS cohorts, (SELECT COUNT(*) FROM diffs) AS pairs,
   CAST(SUM(CASE WHEN bound < {DELTA} THEN 1 ELSE 0 END) AS BIGINT) AS marginal_denies,

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from cohortveil.operators import cells as C
 from cohortveil.operators import gateway as G
 from cohortveil.operators import rules as R
-from cohortveil.specs import Measure, QuerySpec
+from cohortveil.operators.models import release_model
+from cohortveil.specs import GlmSpec, Measure, QuerySpec
 from cohortveil.studies import shop
 from cohortveil.study import Policy
 
@@ -16,6 +19,8 @@ from .registry import query
 from .sqltext import (CLICKS, CUSTOMER_SALES, LINES, SALES, cells, complementary, half_up, ring, share)
 
 POLICY = Policy()
+# every cell of a fine table, for checks of the cells themselves
+EVERY_CELL = replace(POLICY, max_cells=10_000)
 BY_NATION_SEGMENT = ("n_name", "c_mktsegment")
 MEAN_ORDER = QuerySpec("sales", Measure("mean", "o_totalprice"), BY_NATION_SEGMENT)
 SUM_ORDER = QuerySpec("sales", Measure("sum", "o_totalprice"), BY_NATION_SEGMENT)
@@ -110,6 +115,43 @@ def r9(spark, d):
     return out.status
 
 
+@query("R9_review_enforced", f"""WITH {SALES}, t AS (
+  SELECT r_name, c_mktsegment, o_orderpriority, COUNT(DISTINCT person) AS p FROM sales GROUP BY ALL),
+k AS (SELECT CAST(SUM(CASE WHEN p >= 10 THEN 1 ELSE 0 END) AS BIGINT) AS kept FROM t)
+SELECT CASE WHEN kept > 100 THEN 'review' WHEN kept = 0 THEN 'denied' ELSE 'open' END AS outcome,
+  CASE WHEN kept > 100 THEN CAST(0 AS BIGINT) ELSE kept END AS n_released,
+  CASE WHEN kept > 100 THEN kept END AS n_too_granular FROM k""")
+def r9_enforced(spark, d):
+    """Over the bound nothing leaves, and a finding says why."""
+    out = G.release(shop.workspace(spark, d),
+                    QuerySpec("sales", Measure("count"), ("r_name", "c_mktsegment", "o_orderpriority")))
+    left = out.released.agg(F.count(F.lit(1)).alias("n_released"))
+    fine = out.findings.where("rule = 'too_granular'").agg(F.max("n_cells")).scalar()
+    return left.select(out.outcome.select("outcome").scalar().alias("outcome"), "n_released", fine.alias("n_too_granular"))
+
+
+@query("R9_model_review", f"""WITH {SALES}, t AS (
+  SELECT r_name, c_mktsegment, o_orderpriority, COUNT(DISTINCT person) AS p FROM sales GROUP BY ALL)
+SELECT CASE WHEN MIN(p) < 10 THEN 'denied' WHEN COUNT(*) > 100 THEN 'review' ELSE 'released' END AS status FROM t""")
+def r9_model(spark, d):
+    """The same cells asked for through a model need the same review."""
+    spec = GlmSpec("sales", "gaussian", "o_totalprice", ("r_name", "c_mktsegment", "o_orderpriority"))
+    status = release_model(shop.workspace(spark, d), spec).status
+    orders = shop.workspace(spark, d).tables["orders"]
+    return orders.agg(F.count(F.lit(1))).select(F.lit(status).alias("status"))
+
+
+@query("A7_offset_correlation", f"""WITH {SALES}
+SELECT n_name, round(corr(CAST(o_totalprice AS DOUBLE), CAST(c_acctbal AS DOUBLE)), 4) AS r FROM sales GROUP BY n_name""")
+def a7_offset(spark, d):
+    """Adding a thousand million to both columns changes no correlation."""
+    far = lambda c: (F.col(c) + 1_000_000_000).cast("decimal(14,2)")
+    ws = shop.workspace(spark, d, orders=lambda t: t.withColumn("o_totalprice", far("o_totalprice")),
+                        customer=lambda t: t.withColumn("c_acctbal", far("c_acctbal")))
+    table = C.cells(ws, QuerySpec("sales", Measure("corr", x="o_totalprice", y="c_acctbal"), ("n_name",)))
+    return table.select("n_name", F.round("value", 4).alias("r"))
+
+
 @query("R10_failed_rules", f"""WITH {SALES}, {SUM_CELLS}
 SELECT n_name, c_mktsegment, concat_ws(',', CASE WHEN dominance > 0.5 THEN 'dominance' END,
   CASE WHEN n_persons < 10 THEN 'small_cell' END,
@@ -155,8 +197,10 @@ _CTE, _LAST = complementary("base", ["n_name", "c_mktsegment"])
   SELECT n_name, c_mktsegment, COUNT(*) AS n, COUNT(DISTINCT person) < 10 AS out FROM sales GROUP BY ALL), {_CTE}
 SELECT n_name, c_mktsegment, {ring('n')} AS n FROM {_LAST} WHERE NOT out""")
 def r12(spark, d):
+    # every cell is looked at here, however many there are
     ws = shop.workspace(spark, d)
-    return G.release(ws, QuerySpec("sales", Measure("count"), BY_NATION_SEGMENT)).released
+    spec = QuerySpec("sales", Measure("count"), BY_NATION_SEGMENT)
+    return G.release(ws, spec, EVERY_CELL).released
 
 
 @query("R13_given_up_cell", f"""WITH {SALES}, t AS (SELECT n_name, c_mktsegment, COUNT(*) AS n FROM sales GROUP BY ALL)
@@ -194,14 +238,14 @@ SELECT n_name, c_mktsegment, value, {ring('n')} AS n FROM {_LAST17} WHERE NOT ou
 
 @query("R17_safe_release", FLAGSHIP_SQL)
 def r17(spark, d):
-    return G.release(shop.workspace(spark, d), MEAN_ORDER).released
+    return G.release(shop.workspace(spark, d), MEAN_ORDER, EVERY_CELL).released
 
 
 @query("R17_safe_release_sum_with_refunds", f"""WITH {SALES}, {SUM_CELLS}, base AS (
   SELECT n_name, c_mktsegment, value, n, n_persons < 10 OR dominance > 0.5 AS out FROM cells), {_CTE17}
 SELECT n_name, c_mktsegment, CAST(value AS DOUBLE) AS value, {ring('n')} AS n FROM {_LAST17} WHERE NOT out""")
 def r17_sum(spark, d):
-    return G.release(shop.workspace(spark, d, orders=whale), SUM_ORDER).released
+    return G.release(shop.workspace(spark, d, orders=whale), SUM_ORDER, EVERY_CELL).released
 
 
 TOP_TWO = """

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cohortveil.functions.stats import adjust_p_values
 from cohortveil.operators import cells as C
-from cohortveil.operators import fake as H
 from cohortveil.operators import gateway as G
 from cohortveil.operators import release_audit as O
 from cohortveil.operators import textjobs as T
@@ -280,12 +279,12 @@ def t12_weakest(spark, d):
 
 
 def private_names(spark, d):
-    """Openings of benchmark passages, standing for strings that must not leave."""
+    """Benchmark passages, standing for strings that must not leave."""
     bench = spark.read.schema("item_id bigint, text string").parquet(f"{d}/benchmark.parquet")
-    return bench.select(F.substring("text", 1, 24).alias("private"))
+    return bench.select(F.col("text").alias("private"))
 
 
-@query("T13_private_string_sweep", """WITH p AS (SELECT DISTINCT substr(text, 1, 24) AS private FROM benchmark)
+@query("T13_private_string_sweep", """WITH p AS (SELECT DISTINCT text AS private FROM benchmark)
 SELECT d.doc_id, p.private FROM documents d JOIN p ON length(p.private) >= 8 AND contains(d.text, p.private)""")
 def t13(spark, d):
     return T.sweep_private(read(spark, d, "documents"), "doc_id", private_names(spark, d))
@@ -402,62 +401,6 @@ def o6(spark, d):
     return checks.select("argmax", F.round("ratio", 6).alias("ratio"), F.round("spread", 6).alias("spread"), "monotone")
 
 
-# -- stand-in tables --------------------------------------------------------------------------
-
-def stand_in(spark, d):
-    """As many stand-in rows as the real tables have; no value of theirs is read."""
-    counts = {n: read(spark, d, n).count() for n in shop.TABLES}
-    return H.fake_tables(spark, shop.study(), counts, seed=7, ranges={"o_totalprice": (1000.0, 500000.0)},)
-
-
-@query("H1_stand_in_rows", """SELECT 'orders' AS name, COUNT(*) AS n FROM orders UNION ALL SELECT 'customer', COUNT(*) FROM customer
-UNION ALL SELECT 'lineitem', COUNT(*) FROM lineitem UNION ALL SELECT 'events', COUNT(*) FROM events
-UNION ALL SELECT 'nation', COUNT(*) FROM nation UNION ALL SELECT 'region', COUNT(*) FROM region""")
-def h1(spark, d):
-    tables, _ = stand_in(spark, d)
-    out = None
-    for name, df in tables.items():
-        part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query("H2_covering_draw", """SELECT 'c_mktsegment' AS c, 5 AS levels FROM region WHERE r_regionkey = 0
-UNION ALL SELECT 'o_orderpriority', 5 FROM region WHERE r_regionkey = 0 UNION ALL SELECT 'o_orderstatus', 3 FROM region WHERE r_regionkey = 0""")
-def h2(spark, d):
-    tables, _ = stand_in(spark, d)
-    one = lambda t, c: tables[t].agg(F.count_distinct(c).cast("int").alias("levels")).select(F.lit(c).alias("c"), "levels")
-    return one("customer", "c_mktsegment").unionByName(one("orders", "o_orderpriority")).unionByName(one("orders", "o_orderstatus"))
-
-
-@query("H3_generated_keys", """SELECT (SELECT COUNT(*) FROM customer) AS customers, (SELECT COUNT(*) FROM customer) AS ordering, CAST(0 AS BIGINT) AS orphans""")
-def h3(spark, d):
-    tables, _ = stand_in(spark, d)
-    keys = tables["customer"].select(F.col("c_custkey").alias("o_custkey"))
-    used = tables["orders"].select("o_custkey")
-    return keys.agg(F.count_distinct("o_custkey").alias("customers")).withColumn(
-        "ordering", used.agg(F.count_distinct("o_custkey").alias("k")).scalar()).withColumn(
-        "orphans", used.join(keys, "o_custkey", "left_anti").agg(F.count(F.lit(1)).alias("k")).scalar())
-
-
-@query("H5_stand_in_violations", """SELECT 'orders' AS "table", 'o_totalprice' AS "column", CAST(0 AS BIGINT) AS nulls, COUNT(*) AS outside FROM orders WHERE o_orderkey % 100 = 0""")
-def h5(spark, d):
-    """One value in a hundred pushed outside its declared bounds must be reported."""
-    tables, _ = stand_in(spark, d)
-    marked = read(spark, d, "orders").where(F.col("o_orderkey") % 100 == 0).count()
-    row = F.substring("o_orderkey", -12, 12).cast("bigint")
-    tables["orders"] = tables["orders"].withColumn("o_totalprice", F.when(row < marked, -1.0).otherwise(F.col("o_totalprice")))
-    bad = H.violations(tables, shop.study(), {"o_totalprice": (1000.0, 500000.0)})
-    return bad.where("nulls > 0 or outside > 0")
-
-
-@query("H6_stand_in_views")
-def h6(spark, d):
-    tables, _ = stand_in(spark, d)
-    ws = H.fake_workspace(tables, shop.study())
-    return ws.public("sales").groupBy("r_name", "o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
-
-
 # -- batches ----------------------------------------------------------------------------------
 
 BATCH = [
@@ -510,5 +453,3 @@ def p3(spark, d):
     _, ledger = run_batch(shop.workspace(spark, d), BATCH, Policy(budget=5))
     return ledger.select("seq", "persons_total", "status")
 
-
-__all__ = ["HOLED", "holed"]
