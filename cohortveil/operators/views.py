@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..specs import Filter
-from ..study import PERSON, BandEdges, CountIf, Study, StudyError, SumIf, View, split_ref
+from ..study import PERSON, BandEdges, Study, StudyError, SumIf, View, split_ref
 from .predicates import conjunction, not_null
 
 

@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from ..operators.gateway import release
 from ..operators.ledger import sparse_levels
-from ..operators.lineage import close_pairs
+from ..operators.lineage import close_pairs, contribution_difference
 from ..operators.textjobs import table_digest
 from ..operators.views import Workspace
 from ..session import cut
-from ..specs import Filter, QuerySpec, normal_form
+from ..specs import Filter, QuerySpec, cohort_predicates, normal_form
 from ..study import Policy, StudyError
 
 MAX_STAGES = 32
@@ -81,9 +81,93 @@ def _decide(out) -> tuple[str, str]:
     return outcome, {"denied": "nothing released", "review": "too granular"}.get(outcome, "")
 
 
-def run_plan(ws: Workspace, plan: Plan, policy: Policy | None = None) -> list[StageResult]:
-    """Run the stages in order; each released table is written out once."""
+def cohort_of(spec: QuerySpec) -> tuple[str, list]:
+    """Cohort id and predicates of a request."""
+    predicates = cohort_predicates(spec.filters)
+    return json.dumps([spec.view, predicates]), predicates
+
+
+class Session:
+    """What a user has been given so far, and what that rules out.
+
+    One unit is spent per released table.  A request is refused when it is over
+    the budget, when its person total is near an earlier one of the same measure,
+    or when its cohort is near an earlier released one: on the same view over
+    fewer than ``delta`` persons, on another view over the persons whose
+    contribution to the same declared quantity differs.  Equal predicates are the
+    same cohort on any view and rule nothing out.
+    """
+
+    def __init__(self, ws: Workspace, policy: Policy):
+        self.ws, self.policy = ws, policy
+        self.spent, self.totals, self.released = 0, [], []
+
+    def affords(self, units: int = 1) -> bool:
+        return self.spent + units <= self.policy.budget
+
+    def near_total(self, measure: str, total: int) -> bool:
+        """Whether the total is near an earlier one; it is remembered either way."""
+        near = any(m == measure and 0 < abs(t - total) < self.policy.delta for m, t in self.totals)
+        self.totals.append((measure, total))
+        return near
+
+    def quantity(self, spec: QuerySpec) -> str | None:
+        column = spec.measure.column
+        return self.ws.study.quantity_of(spec.view, column) if column else None
+
+    def near_cohort(self, spec: QuerySpec, close=None) -> bool:
+        """Whether an earlier released cohort is too close.
+
+        ``close(earlier, this)`` may answer for two cohort ids of one view; without
+        it the pair is settled by a job of its own.
+        """
+        cohort, predicates = cohort_of(spec)
+        for view, earlier, filters, quantity in self.released:
+            if normal_form(filters) == normal_form(spec.filters):
+                continue
+            if view == spec.view:
+                if close is not None:
+                    near = close(earlier, cohort)
+                else:
+                    table = self.ws.spark(view).createDataFrame(
+                        [(earlier, view, cohort_predicates(filters)), (cohort, view, predicates)],
+                        f"cohort_id string, view string, predicates {PREDICATES}")
+                    near = not close_pairs(self.ws, view, table, self.policy.delta, self.policy.min_persons).isEmpty()
+            else:
+                mine = self.quantity(spec)
+                near = mine is not None and mine == quantity and contribution_difference(
+                    self.ws, quantity, view, filters, spec.view, spec.filters).first()["n_persons"] < self.policy.delta
+            if near:
+                return True
+        return False
+
+    def record(self, spec: QuerySpec) -> None:
+        self.released.append((spec.view, cohort_of(spec)[0], spec.filters, self.quantity(spec)))
+
+    def request(self, spec: QuerySpec, close=None) -> tuple[str, str, int | None, DataFrame | None]:
+        """Run one request: status, reason, person total and the released table, written out."""
+        if not self.affords():
+            return "denied", "query_budget", None, None
+        self.spent += 1
+        out = release(self.ws, spec, self.policy)
+        total = int(out.vetted.agg(F.coalesce(F.sum("n_persons"), F.lit(0))).first()[0])
+        near = self.near_total(spec.measure_key(), total)
+        if near or self.near_cohort(spec, close):
+            return "denied", "differencing", total, None
+        status, reason = _decide(out)
+        if status not in ("released", "redacted"):
+            return status, reason, total, None
+        self.record(spec)
+        return status, reason, total, cut(out.released)
+
+
+def run_plan(ws: Workspace, plan: Plan, policy: Policy | None = None, session: Session | None = None) -> list[StageResult]:
+    """Run the stages in order under one session; each released table is written out once.
+
+    ``session`` carries on from earlier requests of the same user.
+    """
     policy = policy or Policy()
+    session = session or Session(ws, policy)
     done: dict[str, StageResult] = {}
     bits = policy.selection_bits
     for stage in plan.stages:
@@ -101,24 +185,12 @@ def run_plan(ws: Workspace, plan: Plan, policy: Policy | None = None) -> list[St
             bits -= len(excluded)
             spec = replace(spec, filters=spec.filters + tuple(
                 Filter(stage.exclude_sparse, "!=", level) for level in excluded))
-        out = release(ws, spec, policy)
-        status, reason = _decide(out)
-        if status in ("released", "redacted"):
-            table = cut(out.released)
-            done[stage.id] = StageResult(stage.id, status, reason, table,
-                                         table_digest(table).first()["digest"], excluded)
-        else:
-            done[stage.id] = StageResult(stage.id, status, reason, excluded=excluded)
+        status, reason, _, table = session.request(spec)
+        digest = None if table is None else table_digest(table).first()["digest"]
+        done[stage.id] = StageResult(stage.id, status, reason, table, digest, excluded)
     return [done[s.id] for s in plan.stages]
 
 
-def cohort_of(spec: QuerySpec) -> tuple[str, list]:
-    """Cohort id and predicates of a request."""
-    text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
-    predicates = [(column, op, [text(v) for v in values]) for column, op, values in normal_form(spec.filters)]
-    return json.dumps([spec.view, predicates]), predicates
-
-
 def run_batch(ws: Workspace, specs: list[QuerySpec], policy: Policy | None = None,
               user: str = "user") -> tuple[list[DataFrame | None], DataFrame]:
     """Run requests in order under one session: budget, totals, lineage, gateway.
@@ -140,27 +212,11 @@ def run_batch(ws: Workspace, specs: list[QuerySpec], policy: Policy | None = Non
             # at most one row per pair of requests of the batch
             close |= {frozenset((r["cohort_a"], r["cohort_b"]))
                       for r in close_pairs(ws, view, table, policy.delta, policy.min_persons).collect()}
-    spent, seen, totals, tables, ledger = 0, [], [], [], []
+    session, tables, ledger = Session(ws, policy), [], []
     for seq, (spec, (cohort, _)) in enumerate(zip(specs, cohorts), 1):
-        total, table = None, None
-        if spent >= policy.budget:
-            status, reason = "denied", "query_budget"
-        else:
-            spent += 1
-            out = release(ws, spec, policy)
-            total = int(out.vetted.agg(F.coalesce(F.sum("n_persons"), F.lit(0))).first()[0])
-            key = spec.measure_key()
-            near = any(k == key and 0 < abs(t - total) < policy.delta for k, t in totals)
-            totals.append((key, total))
-            if near or any(frozenset((c, cohort)) in close for c in seen):
-                status, reason = "denied", "differencing"
-            else:
-                status, reason = _decide(out)
-                if status in ("released", "redacted"):
-                    table = cut(out.released)
-                    seen.append(cohort)
+        status, reason, total, table = session.request(spec, lambda a, b: frozenset((a, b)) in close)
         tables.append(table)
-        ledger.append((user, seq, spec.measure_key(), cohort, total, 1, spent, status, reason))
+        ledger.append((user, seq, spec.measure_key(), cohort, total, 1, session.spent, status, reason))
     return tables, spark.createDataFrame(
         ledger, "user string, seq long, measure string, cohort_id string, persons_total long, "
                 "cost int, spent long, status string, reason string")

@@ -113,3 +113,38 @@ def test_unconverged_models_keep_a_row(spark, monkeypatch):
 
     out = reduce(lambda a, b: a.unionByName(b), M._reweighted(base)).collect()
     assert [(r["model_id"], r["estimable"]) for r in out] == [("m", False)]
+
+
+def two_views(spark, rows):
+    """Spending per visit and per person, over the same persons."""
+    from cohortveil.study import Join, SumIf
+
+    visits = spark.createDataFrame(rows, "person string, shop string, x double")
+    people = visits.select("person").distinct().withColumn("kind", F.lit("k"))
+    low = View(base="t", person="t.person", columns={"shop": "t.shop", "x": "t.x"}, dims={"shop": "cat"}, measures=("x",), population="people")
+    high = View(base="p", person="p.person", joins=(Join("t", "p.person", "person", "left"),),
+                columns={"kind": "p.kind", "total": SumIf("t.x", "t.shop", ("a", "b"))}, dims={"kind": "cat"}, measures=("total",),
+                population="people")
+    study = Study("two", {"t": {"person": "DI", "shop": "QI", "x": "S"}, "p": {"person": "DI", "kind": "QI"}}, {"low": low, "high": high},
+                  quantities={"spend": {"low": "x", "high": "total"}})
+    return Workspace(study, {"t": visits, "p": people})
+
+
+def test_sums_of_one_quantity_on_two_views(spark):
+    from cohortveil.plans.staged import Session
+    from cohortveil.specs import Filter
+
+    ws = two_views(spark, [(f"p{i}", "ab"[i % 2], 1.0 + i % 5) for i in range(60)])
+    low = lambda *f: QuerySpec("low", Measure("sum", "x"), (), f)
+    high = lambda *f: QuerySpec("high", Measure("sum", "total"), (), f)
+    session = Session(ws, POLICY)
+    assert session.request(low())[:2] == ("released", "")
+    # the same contributions under another predicate
+    assert session.request(high(Filter("kind", "==", "k")))[:2] == ("denied", "differencing")
+    # equal predicates are the same cohort
+    assert session.request(high())[:2] == ("released", "")
+    far = Session(ws, POLICY)
+    assert far.request(low(Filter("shop", "==", "a")))[0] == "released"
+    assert far.request(high())[0] == "released"  # thirty persons contribute to one side only
+    short = Session(ws, replace(POLICY, budget=1))
+    assert short.request(low())[0] == "released" and short.request(high())[:2] == ("denied", "query_budget")

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from cohortveil.operators import cells as C
 from cohortveil.specs import Filter, Measure, QuerySpec
 from cohortveil.studies import shop
-from cohortveil.study import PERSON
 
 from .registry import query
-from .sqltext import CLICKS, CUSTOMER_SALES, LINES, SALES, cells, half_up, share
+from .sqltext import CLICKS, CUSTOMER_SALES, LINES, SALES, cells, share
 
 
 def doubles(df, *columns):
@@ -220,5 +219,3 @@ def w4(spark, d):
     return doubles(df, "s1", "s2").withColumn("dominance1", F.round("dominance1", 9)).withColumn(
         "dominance2", F.round("dominance2", 9))
 
-
-__all__ = ["PERSON", "half_up"]

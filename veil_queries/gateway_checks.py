@@ -16,7 +16,7 @@ from cohortveil.study import Policy
 
 from .aggregates import SHOP_KINDS, WHALE, doubles, influence_sql, marginal_sql, whale
 from .registry import query
-from .sqltext import (CLICKS, CUSTOMER_SALES, LINES, SALES, cells, complementary, half_up, ring, share)
+from .sqltext import (CLICKS, CUSTOMER_SALES, LINES, SALES, cells, complementary, ring, share)
 
 POLICY = Policy()
 # every cell of a fine table, for checks of the cells themselves
@@ -405,5 +405,3 @@ def r27(spark, d):
                      (Filter("order_year", "==", 2001), Filter("order_month", ">=", 8)))
     return G.release(shop.workspace(spark, d), spec).status
 
-
-__all__ = ["doubles", "half_up"]

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cohortveil.functions import scans, stats, tails
+from cohortveil.functions import stats, tails
 from cohortveil.sources.logs import audit_since
 from cohortveil.studies import shop
 
-from .differencing import audit_rows
 from .registry import query
 from .sqltext import CLICKS, SALES
 
@@ -140,4 +139,40 @@ def s6(spark, d):
     return kept.select("id", F.col("accounting.cost").alias("cost"))
 
 
-__all__ = ["audit_rows", "scans"]
+# -- tails whose closed forms SQL can state ---------------------------------------------------
+
+def balances(spark, d):
+    """Customers with a statistic between 0 and about 2.2."""
+    rows = spark.read.schema(shop.SCHEMAS["customer"]).parquet(f"{d}/customer.parquet")
+    return rows.select("c_custkey", (F.abs("c_acctbal") / 4500).alias("t"))
+
+
+BALANCES = "b AS (SELECT c_custkey, abs(c_acctbal) / 4500 AS t FROM customer)"
+# terms of the power series of the error function; the 33rd is below 1e-15 for t < 2.5
+NORMAL_SERIES = "list_sum([(CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END) * pow(t, 2 * k + 1) / (pow(2, k) * factorial(k::INTEGER) * (2 * k + 1)) FOR k IN range(33)])"
+
+
+@query("X1_normal_closed_form", f"""WITH {BALANCES} SELECT c_custkey, round(0.5 - {NORMAL_SERIES} / sqrt(2 * pi()), 9) AS p FROM b""")
+def x1_closed(spark, d):
+    return balances(spark, d).select("c_custkey", F.round(tails.normal_sf("t"), 9).alias("p"))
+
+
+@query("X2_student_closed_form", f"""WITH {BALANCES} SELECT c_custkey, round(0.5 - atan(t) / pi(), 9) AS one, round(0.5 - t / (2 * sqrt(2 + t * t)), 9) AS two FROM b""")
+def x2_closed(spark, d):
+    """One and two degrees of freedom."""
+    return balances(spark, d).select("c_custkey", F.round(tails.student_sf("t", F.lit(1.0)), 9).alias("one"),
+                                     F.round(tails.student_sf("t", F.lit(2.0)), 9).alias("two"))
+
+
+@query("X3_f_closed_form", f"""WITH {BALANCES} SELECT c_custkey, round(pow(1 + 2 * t / 7, -3.5), 9) AS p FROM b""")
+def x3_closed(spark, d):
+    """Two and seven degrees of freedom."""
+    return balances(spark, d).select("c_custkey", F.round(tails.f_sf("t", F.lit(2.0), F.lit(7.0)), 9).alias("p"))
+
+
+@query("X5_beta_closed_form", f"""WITH {BALANCES} SELECT c_custkey, round(1 - pow(1 - t / 3, 5), 9) AS one, round(pow(t / 3, 4), 9) AS four FROM b""")
+def x5_closed(spark, d):
+    """I_x(1, b) and I_x(a, 1)."""
+    x = F.col("t") / 3
+    return balances(spark, d).select("c_custkey", F.round(tails.beta_inc(x, F.lit(1.0), F.lit(5.0)), 9).alias("one"),
+                                     F.round(tails.beta_inc(x, F.lit(4.0), F.lit(1.0)), 9).alias("four"))

@@ -1,4 +1,4 @@
-"""Text jobs, release audits, stand-in tables and batches."""
+"""Text jobs, release audits and batches."""
 
 from __future__ import annotations
 
@@ -15,9 +15,9 @@ from cohortveil.specs import Filter, Measure, QuerySpec
 from cohortveil.studies import shop
 from cohortveil.study import Policy
 
-from .gateway_checks import HOLED, POLICY, SUM_CELLS, holed, infinite, whale
+from .gateway_checks import POLICY, SUM_CELLS, infinite, whale
 from .registry import query
-from .sqltext import SALES, cells, complementary, half_up, ring
+from .sqltext import CUSTOMER_SALES, SALES, cells, complementary, half_up, ring
 
 MEAN_REGION = QuerySpec("sales", Measure("mean", "o_totalprice"), ("r_name",))
 # Endings that turn conversation turns into requests.
@@ -453,3 +453,45 @@ def p3(spark, d):
     _, ledger = run_batch(shop.workspace(spark, d), BATCH, Policy(budget=5))
     return ledger.select("seq", "persons_total", "status")
 
+
+CROSS = [
+    QuerySpec("sales", Measure("sum", "o_totalprice"), ("r_name",)),
+    QuerySpec("customer_sales", Measure("sum", "total_price"), ("r_name",), (Filter("c_mktsegment", "!=", "none"),)),
+    QuerySpec("customer_sales", Measure("sum", "total_price"), ("c_mktsegment",), (Filter("r_name", "==", "ASIA"),)),
+    QuerySpec("customer_sales", Measure("sum", "total_price"), ("r_name",)),
+]
+
+
+@query("P3_cross_view_denial", f"""WITH {SALES}, {CUSTOMER_SALES},
+one AS (SELECT person, SUM(o_totalprice) AS s FROM sales GROUP BY person),
+two AS (SELECT person, total_price AS s, r_name FROM customer_sales),
+d AS (SELECT COUNT(CASE WHEN abs(coalesce(one.s, 0) - coalesce(two.s, 0)) > 1e-6 THEN 1 END) AS same,
+  COUNT(CASE WHEN abs(coalesce(one.s, 0) - CASE WHEN r_name = 'ASIA' THEN coalesce(two.s, 0) ELSE 0 END) > 1e-6 THEN 1 END) AS asia
+  FROM one FULL JOIN two ON one.person = two.person)
+SELECT CAST(1 AS BIGINT) AS seq, 'released' AS status FROM d
+UNION ALL SELECT 2, CASE WHEN same < 10 THEN 'denied' ELSE 'released' END FROM d
+UNION ALL SELECT 3, CASE WHEN asia < 10 THEN 'denied' ELSE 'released' END FROM d
+UNION ALL SELECT 4, 'released' FROM d""")
+def p3_cross(spark, d):
+    """Sums of one quantity on two views: other predicates over the same contributions
+    are refused, equal predicates and far cohorts are not."""
+    _, ledger = run_batch(shop.workspace(spark, d), CROSS)
+    return ledger.select("seq", "status")
+
+
+REFUSED = Plan("Two cohorts that nearly coincide", (
+    Stage("one", "mean order by region in one nation", BATCH[0]),
+    Stage("two", "the same without the few in debt", QuerySpec("sales", Measure("mean", "o_totalprice"), ("r_name",), (
+        Filter("n_name", "==", "NATION_3"), Filter("balance", ">=", 0))), after="one", statuses=("released", "redacted")),
+))
+
+
+@query("P2_plan_refused_stage", f"""WITH {SALES}, a AS (SELECT COUNT(DISTINCT person) AS k, COUNT(DISTINCT CASE WHEN balance >= 0 THEN person END) AS s FROM sales WHERE n_name = 'NATION_3')
+SELECT 'one' AS stage, 'released' AS status, '' AS reason FROM a
+UNION ALL SELECT 'two', CASE WHEN k - s < 10 THEN 'denied' ELSE 'released' END, CASE WHEN k - s < 10 THEN 'differencing' ELSE '' END FROM a""")
+def p2_refused(spark, d):
+    """A plan keeps the same ledger as single requests."""
+    out = run_plan(shop.workspace(spark, d), REFUSED)
+    orders = read(spark, d, "orders").agg(F.count(F.lit(1)))
+    return orders.select(F.inline(F.array(*(F.struct(F.lit(r.id).alias("stage"), F.lit(r.status).alias("status"),
+                                                     F.lit(r.reason).alias("reason")) for r in out))))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortveil.operators import views as V
-from cohortveil.operators.predicates import conjunction, selected_values
-from cohortveil.operators.cells import long_values, marginals
+from cohortveil.operators.predicates import selected_values
+from cohortveil.operators.cells import long_values
 from cohortveil.sources.tables import json_rows, load_tables
 from cohortveil.specs import Filter, check_filters
 from cohortveil.studies import shop
@@ -238,5 +238,3 @@ def v11(spark, d):
     words = V.data_dictionary(spark, ws.study).join(counts, ["table", "column"])
     return words.withColumn("domain", F.coalesce(F.array_join("domain", ";"), F.lit("")))
 
-
-__all__ = ["conjunction", "marginals"]
