@@ -20,7 +20,6 @@ class is named by its least id.  An empty table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -214,8 +213,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     members = cut(members)
     keyed = members.where("size > 0").select("member", F.explode("keys").alias("key"))
     groups = keyed.groupBy("key").agg(F.min("member").alias("first"), F.count("*").alias("n")).where("n > 1")
-    edges = keyed.join(groups, "key").where("member <> first").select(
-        F.col("member").alias("a"), F.col("first").alias("b")).distinct()
+    # a member is tied to the least head of its groups, and its other heads to that one:
+    # about one edge per member, however many trees it is met in
+    heads = keyed.join(groups, "key").groupBy("member").agg(F.min("first").alias("b"), F.collect_set("first").alias("heads"))
+    edges = heads.select(F.col("member").alias("a"), "b").union(heads.select(F.explode("heads").alias("a"), "b").distinct())
     near = components(edges).withColumnRenamed("label", "place")
     counts = near.groupBy("place").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = (near.join(counts, "place").join(members.select(F.col("member").alias("node"), "copies", "least"), "node")
