@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..specs import Filter, Measure, QuerySpec
-from ..study import PERSON, StudyError
+from ..study import PERSON, StudyError, split_ref
 from .measures import INFINITY, PROCEDURES, dominance, pearson, power
-from .predicates import conjunction, not_null
+from .predicates import conjunction
 from .views import Workspace
 
 COUNT_COLUMNS = ("n", "n_persons")
@@ -36,9 +36,7 @@ def cells(ws: Workspace, spec: QuerySpec) -> DataFrame:
     spec.check(ws.study)
     proc, m, keys = PROCEDURES[spec.measure.fn], spec.measure, list(spec.keys)
     if proc.witness == "influence":
-        rows = ws.unit(spec.view).where(conjunction(spec.filters)).where(not_null(proc.guards(m)))
-        centre = rows.agg(F.struct(*(F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(a)
-                                     for c, a in ((m.x, "x"), (m.y, "y"))))).scalar()
+        centre = {"x": _centre(ws, spec.view, m.x), "y": _centre(ws, spec.view, m.y)}
         return _correlation_cells(ws.per_person(spec.view, keys, spec.filters, proc.guards(m),
                                                 lambda column: proc.parts(m, column, centre)), keys)
     pp = ws.per_person(spec.view, keys, spec.filters, proc.guards(m),
@@ -55,6 +53,18 @@ def cells(ws: Workspace, spec: QuerySpec) -> DataFrame:
     raise StudyError(f"no cells for witness {proc.witness!r}")
 
 
+def _centre(ws: Workspace, view: str, column: str) -> Column:
+    """A value near a column's values, as a scalar subquery.
+
+    Any such value will do, so a plain column is averaged over its own table,
+    without filters or joins; a derived one over the view.
+    """
+    v = ws.study.view(view)
+    source = {**v.columns, **v.unit_columns}[column]
+    rows, name = (ws.unit(view), column) if not isinstance(source, str) else (ws.tables[split_ref(source)[0]], split_ref(source)[1])
+    return rows.agg(F.coalesce(F.avg(F.col(name).cast("double")), F.lit(0.0))).scalar()
+
+
 def share_terms(c: str) -> list[Column]:
     """Aggregates of one per-person contribution column needed for its share."""
     return [F.sum(c).alias(f"{c}_total"), F.max(F.abs(c)).alias(f"{c}_largest"),

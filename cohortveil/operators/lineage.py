@@ -209,7 +209,7 @@ def small_pairs(index: CohortIndex, sizes: DataFrame, delta: int) -> DataFrame:
     return sharing.unionByName(apart).distinct()
 
 
-def candidate_pairs(index: CohortIndex, sizes: DataFrame, delta: int) -> DataFrame:
+def candidate_pairs(index: CohortIndex, sizes: DataFrame, delta: int, least: int = 1) -> DataFrame:
     """Pairs of cohorts that may differ over fewer than ``delta`` persons.
 
     ``sizes``: cohort_id, n_persons.  Complete by counting: persons fall into
@@ -217,7 +217,8 @@ def candidate_pairs(index: CohortIndex, sizes: DataFrame, delta: int) -> DataFra
     matched on equal slice digests.  If all agreeing slices are empty, both cohorts
     touch fewer than delta slices; those confined cohorts are matched on their
     ``delta`` rarest persons, of which two of at least delta persons must share one.
-    Pairs with a cohort of fewer than delta persons come from :func:`small_pairs`.
+    Pairs with a cohort of fewer than delta persons come from :func:`small_pairs`;
+    there are none if every cohort holds ``least`` and that is delta or more.
     """
     cohort_ids = sizes.where(F.col("n_persons") >= delta).select("cohort_id")
     slices = 2 * delta
@@ -240,7 +241,9 @@ def candidate_pairs(index: CohortIndex, sizes: DataFrame, delta: int) -> DataFra
     prefix = (tokens.join(rarity, PERSON).withColumn("r", F.row_number().over(order))
               .where(F.col("r") <= delta).select("cohort_id", PERSON))
     large = found.unionByName(pair(prefix, prefix, [PERSON]))
-    return cut(large.unionByName(small_pairs(index, sizes, delta)).distinct())
+    if least < delta:
+        large = large.unionByName(small_pairs(index, sizes, delta))
+    return cut(large.distinct())
 
 
 def filtered_dims(cohorts: DataFrame, ws: Workspace, view: str) -> list[str]:
@@ -261,7 +264,7 @@ def close_pairs(ws: Workspace, view: str, cohorts: DataFrame, delta: int,
     """
     min_persons = delta if min_persons is None else min_persons
     index = CohortIndex(ws, view, cohorts, filtered_dims(cohorts, ws, view))
-    return exact_differences(index, candidate_pairs(index, index.releasable(delta, min_persons), delta), delta)
+    return exact_differences(index, candidate_pairs(index, index.releasable(delta, min_persons), delta, min_persons), delta)
 
 
 def survey(ws: Workspace, view: str, cohorts: DataFrame, marginal_table: DataFrame,
@@ -273,7 +276,7 @@ def survey(ws: Workspace, view: str, cohorts: DataFrame, marginal_table: DataFra
     min_persons = delta if min_persons is None else min_persons
     index = CohortIndex(ws, view, cohorts, filtered_dims(cohorts, ws, view))
     large = index.releasable(delta, min_persons)
-    close = cut(exact_differences(index, candidate_pairs(index, large, delta), delta))
+    close = cut(exact_differences(index, candidate_pairs(index, large, delta, min_persons), delta))
     bounds = marginal_bounds(close, cohorts, marginal_table)
     total = large.agg(F.count(F.lit(1)).alias("n")).scalar()
     cheap = F.coalesce(F.sum(F.when(F.col("bound") < delta, 1).otherwise(0)), F.lit(0)).cast("bigint")
