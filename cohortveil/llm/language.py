@@ -22,10 +22,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sampling import first_by_hash, texts_of
 from .textarrays import chunks, fold_table
 
 #: Places of the hashed n-grams, and their lengths.
@@ -167,11 +167,7 @@ def train(learnable: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     df = np.zeros(DIMENSIONS)
     df[list(found)] = list(found.values())
     idf = np.log((1 + total) / (1 + df)) + 1
-    # ids are ranked without their texts; texts are fetched for the chosen ids alone
-    order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (rows.select("lang", "id").withColumn("turn", F.row_number().over(order))
-              .where(f"turn <= {SAMPLE_PER_LANGUAGE}").select("lang", "id").distinct())
-    sample = rows.join(chosen, ["lang", "id"]).groupBy("lang", "id").agg(F.min("text").alias("text"))
+    sample = texts_of(rows, first_by_hash(rows, "lang", F.lit(SAMPLE_PER_LANGUAGE)), "lang")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = sorted((r["lang"], r["id"] or "", r["text"]) for b in batches for r in b.to_pylist())
@@ -193,7 +189,7 @@ def train(learnable: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             {"names": pa.array([names], pa.list_(pa.string())), "weights": pa.array([w.tobytes()], pa.binary()),
              "bias": pa.array([b.tobytes()], pa.binary()), "temperature": pa.array([t], pa.float64())})
 
-    fitted = sample.coalesce(1).mapInArrow(
+    fitted = sample.mapInArrow(
         fit, "names array<string>, weights binary, bias binary, temperature double").collect()
     if not fitted:  # an empty table may have no task at all
         return Model([], idf, np.zeros((DIMENSIONS, 0)), np.zeros(0), 1.0)

@@ -20,10 +20,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .sampling import first_by_hash, texts_of
 from .textarrays import Words, chunks, mix
 
 #: Places of the hashed weight table.
@@ -156,17 +156,14 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, id_col: str = "doc_
     label = F.col(label_col).cast("int")
     wanted = (labels.select(F.col(id_col).alias("id"), label.alias("toxic"))
               .where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic")))
-    # only ids are ranked; texts are fetched for the winners alone
-    order = W.partitionBy("toxic").orderBy(F.xxhash64(F.col("id").cast("string")), "id")
     known = documents.select(F.col(id_col).alias("id")).where("id is not null").distinct()
-    picked = (wanted.join(known, "id", "left_semi").withColumn("place", F.row_number().over(order))
-              .where(f"place <= if(toxic = 1, {SAMPLE_TOXIC}, {SAMPLE_CLEAN})").select("id", "toxic"))
-    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.join(picked, "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
+    limit = F.when(F.col("toxic") == 1, SAMPLE_TOXIC).otherwise(SAMPLE_CLEAN)
+    chosen = first_by_hash(wanted.join(known, "id", "left_semi"), "toxic", limit)
+    return texts_of(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), chosen, "toxic")
 
 
 def train(sample: DataFrame) -> Model:
-    """Fit in one task on the bounded sample (columns id, toxic, text)."""
+    """Fit in one task on the bounded sample (columns id, toxic, text; one partition)."""
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted((r["id"], r["toxic"], r["text"] or "") for b in batches for r in b.to_pylist())
@@ -174,7 +171,7 @@ def train(sample: DataFrame) -> Model:
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.tobytes()], "bias": [model.bias]},
                                          pa.schema([("weights", pa.binary()), ("bias", pa.float64())]))
 
-    rows = sample.coalesce(1).mapInArrow(fit, "weights binary, bias double").collect()
+    rows = sample.mapInArrow(fit, "weights binary, bias double").collect()
     if not rows:  # an empty table may have no task at all
         return fit_bags([], np.zeros(0, bool))
     row = rows[0]
