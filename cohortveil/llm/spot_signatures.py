@@ -30,6 +30,8 @@ from ..session import cut
 
 #: Content words of a chain, and the least similarity of a pair.
 CHAIN, THRESHOLD = 3, 0.8
+#: Hexadecimal digits of a signature in a fingerprint: hashes have 32 bits.
+DIGITS = 8
 # Anchor words of English, German, French and Spanish.
 ANCHORS = """
 a an and are as at be but by for from had has have he in is it not of on or that the they this to was were which with
@@ -60,19 +62,19 @@ def signatures(text: Column) -> Column:
     def sets(held: Column) -> Column:
         def chain(w: Column, i: Column) -> Column:
             following = [F.substring_index(F.get(held, i + k), "~", -1) for k in range(1, CHAIN)]
-            return F.when(w.contains("~"), F.xxhash64(w, *following))
+            return F.when(w.contains("~"), F.hash(w, *following))
 
         found = F.array_sort(F.array_distinct(F.array_compact(F.transform(held, chain))))
-        start = F.when(F.size(held) > 0, F.xxhash64(F.lit("start"), F.array_join(F.slice(held, 1, CHAIN), " "))).otherwise(
-            F.xxhash64(F.lit("whole"), F.sha2(whole, 256)))
+        start = F.when(F.size(held) > 0, F.hash(F.lit("start"), F.array_join(F.slice(held, 1, CHAIN), " "))).otherwise(
+            F.hash(F.lit("whole"), F.sha2(whole, 256)))
         return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(start)))
 
     return let(words, sets)
 
 
 def fingerprint(signatures_: Column) -> Column:
-    """The set as text: its sorted hashes, 16 hexadecimal digits each."""
-    return F.array_join(F.transform(signatures_, lambda h: F.lpad(F.hex(h), 16, "0")), "")
+    """The set as text: its sorted hashes, ``DIGITS`` hexadecimal digits each."""
+    return F.array_join(F.transform(signatures_, lambda h: F.lpad(F.hex(h.cast("bigint") + (1 << 31)), DIGITS, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -119,12 +121,13 @@ def classes(sets: DataFrame) -> DataFrame:
 
 
 def successors(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, body, next_id, next_body, copies) of the distinct (id, text): who comes next, the last wraps around.
+    """(id, body, size, next_id, next_body) of the distinct (id, text): who comes next, the last wraps around.
 
     Only ids and hashes are ordered: range partitions, with the first row of each
     partition handed to the one before it.
     """
-    slim = rows.groupBy(F.col(id_col).alias("id"), body(F.col(text_col)).alias("body")).agg(F.count("*").alias("copies"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    slim = rows.groupBy(F.col(id_col).alias("id"), F.xxhash64(text).alias("body")).agg(F.max(F.length(text)).alias("size"))
     order = [F.col("id").asc_nulls_last(), F.col("body")]
     parts = _ranged(slim, (), order)
     # one row per partition, as many as shuffle partitions
@@ -135,41 +138,34 @@ def successors(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     inside = W.partitionBy("_part").orderBy(*order)
     placed = parts.withColumn("next", F.lead(F.struct(F.col("id").isNull().alias("late"), "id", "body")).over(inside))
     met = placed.join(heads, "_part").withColumn("next", F.coalesce("next", "following", "very_first"))
-    return met.select("id", "body", "copies", F.col("next.id").alias("next_id"), F.col("next.body").alias("next_body"))
-
-
-def body(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    return met.select("id", "body", "size", F.col("next.id").alias("next_id"), F.col("next.body").alias("next_body"))
 
 
 def edited_fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of every text and of its edited text, with likenesses.
 
     The edited text replaces the last floor(n / 2) code points by the first as many
-    (or all) of the next document's.  Texts are shuffled by id once; a next
-    document sends only the head that is asked for, and its own set.
+    (or all) of the next document's.  Whole texts are shuffled by id once, for both
+    joins; a next document sends only the head that is asked for, and its own set.
     """
+    # a key that is never null, so that both joins and the step between share one partitioning
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.withColumn("body", F.xxhash64("text"))
+    texts = texts.select("id", "text", name("id").alias("name"), F.xxhash64("text").alias("body"))
     chain = cut(successors(documents, id_col, text_col))
-    distinct = texts.dropDuplicates(["id", "body"])
     # what each document asks of its successor
-    asked = chain.select("next_id", "next_body", F.col("id").alias("for_id"), F.col("body").alias("for_body"))
-    sizes = distinct.select(F.col("id").alias("size_id"), F.col("body").alias("size_body"),
-                            F.floor(F.length("text") / 2).cast("int").alias("half"))
-    asked = asked.join(sizes, asked.for_id.eqNullSafe(sizes.size_id) & (asked.for_body == sizes.size_body)).drop(
-        "size_id", "size_body")
-    own = distinct.join(asked, distinct.id.eqNullSafe(asked.next_id) & (distinct.body == asked.next_body)).select(
-        "for_id", "for_body", F.expr("substring(text, 1, half)").alias("head"), signatures(F.col("text")).alias("next_set"))
-    copies = chain.select(F.col("id").alias("c_id"), F.col("body").alias("c_body"), "copies")
-    met = (distinct.join(own, distinct.id.eqNullSafe(own.for_id) & (distinct.body == own.for_body))
-           .join(copies, distinct.id.eqNullSafe(F.col("c_id")) & (distinct.body == F.col("c_body"))))
-    n = F.length("text")
-    edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.col("head"))
-    rows = met.select("id", n.cast("bigint").alias("n_chars"), "text", edited.alias("edited"), "next_set", "copies")
-    sets = rows.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), signatures(F.col("text")).alias("own_set"),
-                       signatures(F.col("edited")).alias("edited_set"), "next_set", "copies")
-    return sets.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+    asked = chain.select(name("next_id").alias("name"), F.col("next_body").alias("body"), name("id").alias("for_name"),
+                         F.col("body").alias("for_body"), F.floor(F.col("size") / 2).cast("int").alias("half"))
+    sent = texts.join(asked, ["name", "body"]).select(
+        F.col("for_name").alias("name"), F.col("for_body").alias("body"), F.expr("substring(text, 1, half)").alias("head"),
+        signatures(F.col("text")).alias("next_set"))
+    # a successor that stands in several equal rows answers once
+    met = texts.join(sent.dropDuplicates(["name", "body"]), ["name", "body"])
+    kept = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))")
+    rows = met.select("id", "text", F.concat(kept, "head").alias("edited"), "next_set")
+    sets = rows.select("id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+                       signatures(F.col("text")).alias("own_set"), signatures(F.col("edited")).alias("edited_set"), "next_set")
+    return sets.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(F.col("own_set")).alias("fingerprint"),
         fingerprint(F.col("edited_set")).alias("edited_fingerprint"),
         likeness(F.col("own_set"), F.col("edited_set")).alias("near_edited"),

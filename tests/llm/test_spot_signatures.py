@@ -47,7 +47,7 @@ def test_digest_equals_brute_force(spark, sf):
             assert abs(r.near_edited - jaccard(a, b)) < 1e-12
         if a and c:
             assert abs(r.near_next - jaccard(a, c)) < 1e-12
-        assert seen.setdefault(texts[i], r.fingerprint) == r.fingerprint and len(r.fingerprint) == 16 * max(1, len(a))
+        assert seen.setdefault(texts[i], r.fingerprint) == r.fingerprint and len(r.fingerprint) == S.DIGITS * max(1, len(a))
 
 
 def test_signatures_of_special_texts(spark):
