@@ -15,7 +15,8 @@ pairs and none has to fit into one task.
 Edge cases: texts without words (null and empty ones too) have no set; equal ones
 are copies of each other and link to nothing else.  A text of one to four words
 has one n-gram of all its words.  Repeated rows are copies.  Null ids are kept; a
-class is named by its least id.  An empty table gives an empty result.
+class is named by its least id.  Null and repeated ids can give several classes one
+name; ``class_key`` tells them apart.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,8 +89,18 @@ def _sketch(texts: list[str], depth: int) -> tuple[list[str], np.ndarray, np.nda
     return names, size, keys
 
 
+def _whole(text_col: str) -> Column:
+    """Hash of a whole text; with the id it tells one document from all but its repeated rows."""
+    return F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
+
+
+def _least() -> Column:
+    """The least (id, whole) of a group; null ids come last."""
+    return F.min(F.struct(F.col("id").isNull().alias("late"), "id", "whole"))
+
+
 def sketches(documents: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
-    """(id, member, size, keys): the member is the name of the document's n-gram set."""
+    """(id, member, size, keys, whole): the member is the name of the document's n-gram set, ``whole`` its text's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,10 +115,10 @@ def sketches(documents: DataFrame, id_col: str, text_col: str, depth: int) -> Da
     kind = documents.schema[id_col].dataType
     schema = (T.StructType().add("id", kind).add("member", "string").add("size", "integer")
               .add("keys", T.ArrayType(T.LongType())).add("whole", "string"))
-    rows = documents.select(F.col(id_col), F.col(text_col), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    rows = documents.select(F.col(id_col), F.col(text_col), _whole(text_col))
     # a text without words is named by its own hash
     return rows.mapInArrow(run, schema).selectExpr(
-        "id", "if(size = 0, concat('-', whole), member) as member", "size", "keys")
+        "id", "if(size = 0, concat('-', whole), member) as member", "size", "keys", "whole")
 
 
 def linked_pairs(sets: list[np.ndarray], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -200,15 +211,24 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
-    """One row per document: its id, class id, links and copies.
+    """One row per document: its id, class id, links, copies and class key.
 
     ``links`` counts the other documents at or over the threshold, equal sets
     included; a class is a connected component of links, named by its least id;
-    ``copies`` counts the documents with an equal set.
+    ``copies`` counts the documents with an equal set; ``class_key`` is the class's
+    own name, also where several classes have one least id or none.
     """
+    docs, named = _classified(documents, id_col, text_col, threshold, target)
+    return docs.select("id", "member").join(named, "member").select(
+        F.col("id").alias(id_col), F.col("least.id").alias("class_id"), "links", "copies", F.col("label").alias("class_key"))
+
+
+def _classified(documents: DataFrame, id_col: str, text_col: str, threshold: float,
+                target: float) -> tuple[DataFrame, DataFrame]:
+    """The sketches, and (member, label, least, links, copies): the label names the class, ``least`` its first document."""
     depth = prefix_depth(threshold, target)
     docs = cut(sketches(documents, id_col, text_col, depth))
-    members = docs.groupBy("member").agg(F.count("*").alias("copies"), F.min("id").alias("least"),
+    members = docs.groupBy("member").agg(F.count("*").alias("copies"), _least().alias("least"),
                                          F.first("keys").alias("keys"), F.max("size").alias("size"))
     members = cut(members)
     keyed = members.where("size > 0").select("member", F.explode("keys").alias("key"))
@@ -228,12 +248,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     named = (members.select("member", "copies", "least")
              .join(classes.withColumnRenamed("node", "member"), "member", "left")
              .withColumn("label", F.coalesce("label", "member")))
-    least = named.groupBy("label").agg(F.min("least").alias("class_id"))
+    least = named.groupBy("label").agg(F.min("least").alias("least"))
     # one label can stand for very many members: only minima meet, and joins may be split
-    named = named.join(least, "label").join(totals, "member", "left").selectExpr(
-        "member", "class_id", "coalesce(near, 0) + copies - 1 as links", "copies")
-    return docs.select("id", "member").join(named, "member").select(
-        F.col("id").alias(id_col), "class_id", "links", "copies")
+    return docs, named.drop("least").join(least, "label").join(totals, "member", "left").selectExpr(
+        "member", "label", "least", "coalesce(near, 0) + copies - 1 as links", "copies")
 
 
 def _links(documents: DataFrame, docs: DataFrame, placed: DataFrame, id_col: str, text_col: str,
@@ -241,8 +259,8 @@ def _links(documents: DataFrame, docs: DataFrame, placed: DataFrame, id_col: str
     """(member, links, root) found in every pair of blocks; a member's rows add up."""
     # one document per member is read again for its whole set
     chosen = placed.select("least", "node", "place", "block", "blocks", "copies")
-    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    source = source.join(chosen, source.id.eqNullSafe(chosen.least))
+    source = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), _whole(text_col).alias("whole"))
+    source = source.join(chosen, source.id.eqNullSafe(chosen.least.id) & (source.whole == chosen.least.whole))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,12 +268,9 @@ def _links(documents: DataFrame, docs: DataFrame, placed: DataFrame, id_col: str
             for at, held in chunks(texts):
                 values, first = shingle_sets(Words(held), WIDTH)
                 bits = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                # an id may stand for several texts: only the one that has the member's set counts
-                own = pa.array([name == node for name, node in zip(
-                    _names(values, first), batch.column(1).slice(at, len(held)).to_pylist())], pa.bool_())
                 yield pa.RecordBatch.from_arrays(
                     [*(c.slice(at, len(held)) for c in batch.columns[1:]), pa.array(bits, pa.binary())],
-                    names=["node", "place", "block", "blocks", "copies", "bits"]).filter(own)
+                    names=["node", "place", "block", "blocks", "copies", "bits"])
 
     built = source.select("text", "node", "place", "block", "blocks", "copies").mapInArrow(
         sets, "node string, place string, block int, blocks int, copies bigint, bits binary")
@@ -272,12 +287,13 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
              threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """The documents without all but one of each class, all columns kept.
 
-    The document of the least id stays; of several rows with that id, one.  A
-    class of rows without ids keeps one of them.
+    The document of the least id stays (null ids last, several texts of one id in
+    the order of their hashes); of its repeated rows, one.
     """
-    classes = near_duplicates(documents, id_col, text_col, threshold, target)
-    kept = classes.where(F.col("class_id").eqNullSafe(F.col(id_col))).select(F.col(id_col).alias("kept_id")).distinct()
-    rows = documents.join(kept, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
-    columns = documents.columns
-    return rows.groupBy(F.col(id_col).alias("kept_id")).agg(
-        F.min(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("row")).select("row.*")
+    docs, named = _classified(documents, id_col, text_col, threshold, target)
+    kept = named.groupBy("label").agg(F.first("least").alias("least")).select(
+        F.col("least.id").alias("kept_id"), F.col("least.whole").alias("kept_whole"))
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    rows = documents.select(F.struct(*columns).alias("row"), F.col(id_col).alias("own_id"), _whole(text_col).alias("own_whole"))
+    rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_whole") == F.col("kept_whole")), "left_semi")
+    return rows.groupBy("own_id", "own_whole").agg(F.min("row").alias("row")).select("row.*")

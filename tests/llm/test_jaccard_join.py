@@ -100,6 +100,22 @@ def test_odd_documents_and_none(odd_documents, no_documents):
     assert J.near_duplicates(no_documents).count() == 0 and J.keep_one(no_documents).count() == 0
 
 
+def test_one_row_of_every_class_stays_with_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    texts = [" ".join(words(rng, 40)) for _ in range(9)]
+    near = texts[0].rsplit(" ", 1)[0] + " other"
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[2]), (1, near),  # a null id in the class of 1
+            (4, texts[3]), (4, texts[4]), (4, texts[5] + "!"), (5, texts[5]), (6, texts[6]), (6, texts[6]),
+            (None, ""), (None, None), (None, "%%"), (7, "%%")]
+    docs = spark.createDataFrame([(a, b, None, None, None) for a, b in rows], DOCS).repartition(3)
+    kept = sorted(((r.doc_id, r.text or "") for r in J.keep_one(docs).collect()), key=str)
+    assert kept == sorted([(1, near), (None, texts[1]), (None, texts[2]), (4, texts[3]), (4, texts[4]), (4, texts[5] + "!"),
+                           (6, texts[6]), (None, ""), (7, "%%")], key=str)
+    found = J.near_duplicates(docs).collect()
+    assert len(found) == len(rows) and len({r.class_key for r in found}) == len(kept)
+    assert sorted((r.links, r.copies) for r in found if r.class_id is None) == [(0, 1)] + [(1, 2)] * 4
+
+
 def test_components_of_long_chains(spark):
     chain = [(f"{i:04d}", f"{i + 1:04d}") for i in range(0, 60)] + [("a", "b"), ("c", "b"), ("z", "z"), (None, "q")]
     out = {r.node: r.label for r in components(spark.createDataFrame(chain, "a string, b string")).collect()}
