@@ -12,7 +12,8 @@ placed once, in parallel, by their ranks.
 
 Edge cases: a null text is an empty one and still has the end token.  Only
 documents longer than ``capacity`` are cut: all their pieces but the first are
-full.  Very long texts are tokenised whole.  Equal texts and repeated rows are
+full.  Very long texts are tokenised whole.  An added token of the file that stands
+literally in a text is that one token, as in the library.  Equal texts and repeated rows are
 packed once per row (each row's pieces carry its id).  An empty table gives an
 empty result.
 """
@@ -76,6 +77,20 @@ def _encoding(path: str):
     return tiktoken.Encoding("byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def _added(path: str) -> tuple[re.Pattern | None, dict[str, int]]:
+    """Pattern and ids of the tokens that the file adds to its vocabulary."""
+    from tokenizers import Tokenizer
+
+    held = Tokenizer.from_file(path).get_added_tokens_decoder()
+    if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in held.values()):
+        raise ValueError(f"added tokens of {path} are not plain strings")
+    ids = {t.content: i for i, t in held.items()}
+    # the longest first: of several that begin at one place the library takes it
+    longest = sorted(ids, key=len, reverse=True)
+    return re.compile(f"({'|'.join(map(re.escape, longest))})") if ids else None, ids
+
+
 class _Remembered(dict):
     """Ids, as little-endian bytes, of the parts of a text that follow a space."""
 
@@ -101,7 +116,7 @@ def _memory(path: str) -> _Remembered:
 
 
 def token_bytes(text: str, path: str) -> bytes:
-    """Ids of a text as unsigned little-endian 32-bit numbers, without the end token.
+    """Ids of a text without added tokens as unsigned little-endian 32-bit numbers, without the end token.
 
     No token crosses a space, except in runs of white space; texts without such
     runs are looked up part by part.
@@ -113,6 +128,14 @@ def token_bytes(text: str, path: str) -> bytes:
     return b"".join([_bytes(memory.encode(first)), *map(memory.__getitem__, rest)])
 
 
+def text_bytes(text: str, path: str) -> bytes:
+    """As ``token_bytes``, for any text: it is split at added tokens first, and they give their own ids."""
+    pattern, added = _added(path)
+    if pattern is None or not pattern.search(text):
+        return token_bytes(text, path)
+    return b"".join(_bytes([added[part]]) if part in added else token_bytes(part, path) for part in pattern.split(text) if part)
+
+
 def pieces(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY,
            path: str | None = None, end: int = END) -> DataFrame:
     """One row per piece: document id, number, first token, tokens, CRC-32 of the ids."""
@@ -125,7 +148,7 @@ def pieces(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             row, piece, start, length, crc = ([] for _ in range(5))
             for i, text in enumerate(batch.column(1)):
-                ids = token_bytes(text.as_py() or "", path) + tail
+                ids = text_bytes(text.as_py() or "", path) + tail
                 total = len(ids) // 4
                 at = 0
                 number = -(-total // capacity)

@@ -64,6 +64,24 @@ def test_ids_equal_those_of_tokenizers(spark):
         assert P.token_bytes(text, path) == struct.pack(f"<{len(ids)}I", *ids), repr(text)
 
 
+def test_added_tokens_in_texts_are_those_of_tokenizers(spark):
+    from tokenizers import Tokenizer
+
+    rng = random.Random(4)
+    mark = "<|endoftext|>"
+    texts = ["a <|endoftext|> b", mark, mark * 3, f" {mark}", f"{mark} ", f"\n{mark}\n\n x  {mark}y", "<|endoftext|", f"<{mark}>", f"é{mark}'s"]
+    texts += ["".join(rng.choice([mark, " ", "  ", "\n", "ab", "'ll", "é", "<|", "|>", "12"]) for _ in range(rng.randrange(20)))
+              for _ in range(500)]
+    held = Tokenizer.from_file(P.tokenizer_path())  # as it is: added tokens in texts are recognised
+    want = [e.ids for e in held.encode_batch(texts, add_special_tokens=False)]
+    assert want[0] == [64, 220, 50256, 275]
+    rows = P.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = want[r.doc_id] + [2]
+        assert r.length == len(ids) and r.ids_crc32 == zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)), texts[r.doc_id]
+
+
 def test_pieces_and_places_of_the_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = P.pack(docs).collect()
