@@ -11,7 +11,7 @@ days; verdicts return to the captures by an equality join that Spark may split.
 
 Edge cases: a URL that is null or has no host, and a capture without a date, is
 judged by nothing: verdict ``none``.  Entries with a null rule, list, action or date
-are ignored.  Of several entries of one rule on one day a removal wins; adding an
+are ignored.  The host of a rule is read in lower case, its path as it stands.  Of several entries of one rule on one day a removal wins; adding an
 active rule again starts a new interval.  Ties between rules go to allowing ones,
 then to the last list by name.  Repeated captures are judged each.
 """
@@ -53,12 +53,14 @@ def intervals(entries: DataFrame) -> DataFrame:
     ``entries`` has list, rule, effect (block or allow), action (add or remove) and
     day.  A rule has at most one entry per day once reduced, which bounds the window.
     """
+    place = F.split("rule", "/", 2)
+    folded = F.concat_ws("/", F.lower(F.get(place, F.lit(0))), F.get(place, F.lit(1)))
     daily = (entries.where("list is not null and rule is not null and action is not null and day is not null")
-             .groupBy("list", "rule", "day")
+             .withColumn("rule", folded).groupBy("list", "rule", "day")
              .agg(F.max("action").alias("action"), F.max("effect").alias("effect")))
     following = F.lead("day").over(W.partitionBy("list", "rule").orderBy("day"))
     return (daily.withColumn("valid_until", F.coalesce(following, F.to_date(F.lit(FOREVER)))).where("action = 'add'")
-            .select("list", F.lower("rule").alias("rule"), "effect", F.col("day").alias("valid_from"), "valid_until"))
+            .select("list", "rule", "effect", F.col("day").alias("valid_from"), "valid_until"))
 
 
 def judge(captures: DataFrame, rules: DataFrame, url_col: str = "url", day_col: str = "fetched_on") -> DataFrame:

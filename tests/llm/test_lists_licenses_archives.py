@@ -37,6 +37,20 @@ def test_lists_as_of_the_fetch(spark):
     assert {r.verdict for r in U.judge(frame, rules.limit(0)).collect()} == {"none"}
 
 
+def test_rules_keep_the_case_of_paths_only(spark):
+    entries = [("a", "Example.COM/Docs/", "block", "add", day(0)), ("a", "example.com/Docs/", "block", "remove", day(10)),
+               ("b", "Whole.org", "block", "add", day(0)), ("b", "whole.ORG", "block", "remove", day(10)),
+               ("b", "WHOLE.org", "block", "add", day(20))]
+    rules = U.intervals(spark.createDataFrame(entries, "list string, rule string, effect string, action string, day date"))
+    assert sorted((r.rule, r.valid_from, r.valid_until.year) for r in rules.collect()) == [
+        ("example.com/Docs/", day(0), 2024), ("whole.org", day(0), 2024), ("whole.org", day(20), 9999)]
+    urls = [("https://EXAMPLE.com/Docs/x", 5, "block"), ("https://example.com/docs/x", 5, "none"),
+            ("https://example.com/Docs/x", 10, "none"), ("http://www.Whole.org/A", 5, "block"),
+            ("http://whole.org/A", 12, "none"), ("http://whole.org/a", 20, "block")]
+    frame = spark.createDataFrame([(u, day(d), w) for u, d, w in urls], "url string, fetched_on date, want string")
+    assert all(r.verdict == r.want for r in U.judge(frame, rules).collect())
+
+
 def plain_lcs(a, b):
     line = [0] * (len(b) + 1)
     for x in a:
