@@ -10,8 +10,9 @@ similarity is taken.
 DataFrame functions only, no Python on the executors.
 
 Edge cases: a null text is an empty one.  A text with words but no anchored chain
-takes its first words as its one signature; a text without words takes the hash of
-the whole text, so only equal texts are alike.  Chains at the end of a text are
+takes all runs of ``CHAIN`` words as its signatures, and its printed fingerprint is one
+hash of that whole set; with fewer words than a run, all of them are its one signature.
+A text without words takes the hash of the whole text, so only equal texts are alike.  Chains at the end of a text are
 shorter.  Repeated rows (same id and text) are one member and come out as often as
 they came in; several texts under one id follow each other in the order of their
 hashes.  Null ids come last.  Long texts count whole.
@@ -47,7 +48,12 @@ def let(value: Column, then) -> Column:
 
 
 def signatures(text: Column) -> Column:
-    """Sorted distinct hashes of a text's signatures; never empty.
+    """Sorted distinct hashes of a text's signatures; never empty."""
+    return marked_signatures(text)["set"]
+
+
+def marked_signatures(text: Column) -> Column:
+    """The struct (set, anchored): a text's signatures, and whether they are anchored chains.
 
     Anchors are folded into the content word that follows: "the house of the big"
     becomes "the~house", "of~the~big", and a chain starts at every marked word.
@@ -65,15 +71,21 @@ def signatures(text: Column) -> Column:
             return F.when(w.contains("~"), F.hash(w, *following))
 
         found = F.array_sort(F.array_distinct(F.array_compact(F.transform(held, chain))))
-        start = F.when(F.size(held) > 0, F.hash(F.lit("start"), F.array_join(F.slice(held, 1, CHAIN), " "))).otherwise(
+        short = F.when(F.size(held) > 0, F.hash(F.lit("start"), F.array_join(held, " "))).otherwise(
             F.hash(F.lit("whole"), F.sha2(whole, 256)))
-        return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(start)))
+        starts = F.slice(held, F.lit(1), F.greatest(F.size(held) - (CHAIN - 1), F.lit(0)))
+        runs = F.transform(starts, lambda w, i: F.hash(F.lit("run"), w, *[F.get(held, i + k) for k in range(1, CHAIN)]))
+        other = F.when(F.size(held) >= CHAIN, F.array_sort(F.array_distinct(runs))).otherwise(F.array(short))
+        return let(found, lambda f: F.struct(
+            F.when(F.size(f) > 0, f).otherwise(other).alias("set"), (F.size(f) > 0).alias("anchored")))
 
     return let(words, sets)
 
 
-def fingerprint(signatures_: Column) -> Column:
-    """The set as text: its sorted hashes, ``DIGITS`` hexadecimal digits each."""
+def fingerprint(signatures_: Column, anchored: Column | None = None) -> Column:
+    """The set as text: its sorted hashes, ``DIGITS`` hexadecimal digits each; one hash of them all if not anchored."""
+    if anchored is not None:
+        signatures_ = F.when(anchored | (F.size(signatures_) == 1), signatures_).otherwise(F.array(F.hash(signatures_)))
     return F.array_join(F.transform(signatures_, lambda h: F.lpad(F.hex(h.cast("bigint") + (1 << 31)), DIGITS, "0")), "")
 
 
@@ -164,9 +176,9 @@ def edited_fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col:
     kept = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))")
     rows = met.select("id", "text", F.concat(kept, "head").alias("edited"), "next_set")
     sets = rows.select("id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                       signatures(F.col("text")).alias("own_set"), signatures(F.col("edited")).alias("edited_set"), "next_set")
+                       marked_signatures(F.col("text")).alias("own"), marked_signatures(F.col("edited")).alias("changed"), "next_set")
     return sets.select(
-        F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(F.col("own_set")).alias("fingerprint"),
-        fingerprint(F.col("edited_set")).alias("edited_fingerprint"),
-        likeness(F.col("own_set"), F.col("edited_set")).alias("near_edited"),
-        likeness(F.col("own_set"), F.col("next_set")).alias("near_next"))
+        F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(F.col("own.set"), F.col("own.anchored")).alias("fingerprint"),
+        fingerprint(F.col("changed.set"), F.col("changed.anchored")).alias("edited_fingerprint"),
+        likeness(F.col("own.set"), F.col("changed.set")).alias("near_edited"),
+        likeness(F.col("own.set"), F.col("next_set")).alias("near_next"))

@@ -60,6 +60,22 @@ def test_signatures_of_special_texts(spark):
     assert len(sets[7]) == len(chains(texts[7])) == 2
 
 
+def runs(text):
+    w = re.findall(r"[^\W_]+", text.lower())
+    return {tuple(w[i:i + S.CHAIN]) for i in range(len(w) - S.CHAIN + 1)}
+
+
+def test_texts_without_anchors_count_whole(spark):
+    head = "alpha beta gamma "
+    texts = [head + " ".join(f"k{i}x" for i in range(90)), head + " ".join(f"k{i}x" for i in range(60)) + " other end", "two words"]
+    rows = sorted(S.edited_fingerprints(spark.createDataFrame([(i, t, "en", "a", 1) for i, t in enumerate(texts)], DOCS)).collect())
+    for i in range(2):
+        assert not chains(texts[i]) and not chains(edited(texts, i))
+        assert abs(rows[i].near_edited - jaccard(runs(texts[i]), runs(edited(texts, i)))) < 1e-12 and rows[i].near_edited < 1
+    assert abs(rows[0].near_next - jaccard(runs(texts[0]), runs(texts[1]))) < 1e-12
+    assert rows[0].fingerprint != rows[1].fingerprint and rows[1].near_next == 0
+
+
 def test_similar_pairs_equal_brute_force(spark):
     import random
 
