@@ -5,8 +5,9 @@ window of words: step j writes the current word and moves on or stays, decided b
 a random bit of (j, word).  Windows at a small edit distance walk apart only
 briefly, so their embeddings agree at most places (Hamming distance), and a few
 sampled places serve as a locality-sensitive key.  Keys repeat with fresh walks
-until simulated edits of the items are found with the target recall.  Candidates
-are then verified with exact edit distance.
+until simulated edits of the items are found with the target recall, in every class
+of item lengths on its own.  A class that the limit of repetitions ends short of the
+target is warned of.  Candidates are then verified with exact edit distance.
 
 Windows are as long as the item counted from one of its anchor words, and every
 key includes place 0 of the embedding, which is the window's first word.  So a
@@ -22,6 +23,7 @@ Null ids are kept as they are.  Repeated document rows are reported once each.
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -105,7 +107,8 @@ class Index:
     keys: np.ndarray  # sorted
     item: np.ndarray
     offset: np.ndarray
-    repeats: int
+    repeats: dict[int, int]  # steps → most repetitions of its windows
+    recall: dict[int, float]  # class of item lengths → simulated recall
 
 
 def _simulated(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -128,8 +131,10 @@ def build_index(texts: list[str], max_edits: float = MAX_EDITS, target: float =
                 trials: int = 400) -> Index:
     """Windows and keys of the items, with as many repetitions as the target recall takes.
 
-    Recall is simulated on ``trials`` edited items (a fixed number: it sets only
-    the number of repetitions), each with the most edits allowed.
+    Recall is simulated in every class of item lengths (``window_steps``) on
+    ``trials`` edited items (a fixed number: it sets only the number of
+    repetitions), each with the most edits allowed.  A trial is found by a key of
+    its own item and offset only, at a place that verification starts from.
     """
     items, windows = [], []
     for at, held in chunks(texts):
@@ -147,42 +152,60 @@ def build_index(texts: list[str], max_edits: float = MAX_EDITS, target: float =
     for a in held_anchors.values():
         bloom[a >> np.uint64(64 - _BLOOM_BITS)] = True
 
-    def keys_of(repeat):
-        out = np.zeros(len(windows), np.uint64)
-        for s in held_anchors:
-            own = [k for k, x in enumerate(windows) if x[2] == s]
-            flat = np.concatenate([items[windows[k][0]] for k in own])
-            base = np.cumsum([0, *(len(items[windows[k][0]]) for k in own)])
-            out[own] = walk_keys(flat, base[:-1] + [windows[k][1] for k in own], base[1:], s, repeat)
-        return out
-
-    rng = np.random.default_rng(11)
-    longest = [i for i, x in enumerate(items) if len(x)]
-    tries = [(i, _simulated(items[i], int(max_edits * len(items[i])), rng))
-             for i in (rng.choice(longest, trials) if longest else [])]
-    flat = np.concatenate([t for _, t in tries]) if tries else np.zeros(0, np.uint64)
-    ends = np.cumsum([len(t) for _, t in tries]) if tries else np.zeros(0, np.int64)
-    owner = np.repeat(np.arange(len(tries)), [len(t) for _, t in tries]) if tries else np.zeros(0, np.int64)
-    found = np.zeros(len(tries), bool)
-    keys, repeat = [], 0
-    while windows and repeat < MOST_REPEATS:
-        keys.append(keys_of(repeat))
-        for s, a in held_anchors.items():
-            start = np.flatnonzero(np.isin(flat, a))
-            hit = np.isin(walk_keys(flat, start, ends[owner[start]], s, repeat), keys[-1]) if len(start) else start > 0
-            found[owner[start[hit]]] = True
-        repeat += 1
-        if found.mean() >= target:
-            break
-    if not keys:
+    if not windows:
         none = np.zeros(0, np.int64)
-        return Index(items, {}, bloom, none.astype(np.uint64), none, none, 0)
-    flat_keys = np.concatenate(keys)
+        return Index(items, {}, bloom, none.astype(np.uint64), none, none, {}, {})
+    who, off, step = (np.array(x, np.int64) for x in zip(*windows))
+    kind = np.array([window_steps(len(items[i])) for i in who])
+    rng = np.random.default_rng(11)
+    keys, at, repeats, recall = [], [], {}, {}
+    for c in np.unique(kind).tolist():
+        mine = np.flatnonzero(kind == c)
+        tries = [(i, _simulated(items[i], int(max_edits * len(items[i])), rng)) for i in rng.choice(np.unique(who[mine]), trials)]
+        flat = np.concatenate([t for _, t in tries])
+        ends = np.cumsum([len(t) for _, t in tries])
+        parts = []
+        for s in np.unique(step[mine]).tolist():
+            own = mine[step[mine] == s]
+            words = np.concatenate([items[i] for i in who[own]])
+            base = np.cumsum([0, *(len(items[i]) for i in who[own])])
+            parts.append((s, own, words, base[:-1] + off[own], base[1:], *_meetings(tries, ends, items, own, who, off, max_edits)))
+        found = np.zeros(trials, bool)
+        repeat = 0
+        while repeat < MOST_REPEATS and found.mean() < target:
+            for s, own, words, start, end, place, trial, window in parts:
+                key = walk_keys(words, start, end, s, repeat)
+                keys.append(key)
+                at.append(own)
+                if len(place):
+                    found[trial[walk_keys(flat, place, ends[trial], s, repeat) == key[window]]] = True
+            repeat += 1
+        recall[c] = float(found.mean())
+        if recall[c] < target:
+            warnings.warn(f"items of {c} to {2 * c - 1} words: {MOST_REPEATS} repetitions reach recall {recall[c]:.4f}, "
+                          f"short of {target}", stacklevel=2)
+        for s, *_ in parts:
+            repeats[s] = max(repeats.get(s, 0), repeat)
+    flat_keys, at = np.concatenate(keys), np.concatenate(at)
     order = np.argsort(flat_keys, kind="stable")
-    who = np.array([x[0] for x in windows])
-    off = np.array([x[1] for x in windows])
-    return Index(items, held_anchors, bloom, flat_keys[order], np.tile(who, repeat)[order],
-                 np.tile(off, repeat)[order], repeat)
+    return Index(items, held_anchors, bloom, flat_keys[order], who[at][order], off[at][order], repeats, recall)
+
+
+def _meetings(tries: list, ends: np.ndarray, items: list[np.ndarray], own: np.ndarray, who: np.ndarray, off: np.ndarray,
+              max_edits: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, trial, index in ``own``) where a window's anchor word stands within the edits of its offset in a trial of its item."""
+    of: dict[int, list[int]] = {}
+    for k, w in enumerate(own.tolist()):
+        of.setdefault(int(who[w]), []).append(k)
+    out = []
+    for t, (i, words) in enumerate(tries):
+        edits = int(max_edits * len(items[i]))
+        for k in of.get(int(i), ()):
+            o = int(off[own[k]])
+            low = max(0, o - edits)
+            near = np.flatnonzero(words[low:o + edits + 1] == items[i][o]) + low
+            out += [(int(ends[t]) - len(words) + p, t, k) for p in near.tolist()]
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
 
 
 def candidates(words: Words, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,7 +223,7 @@ def candidates(words: Words, index: Index) -> tuple[np.ndarray, np.ndarray, np.n
         start, stop, of = maybe[own], end[own], text[own]
         if not len(start):
             continue
-        for repeat in range(index.repeats):
+        for repeat in range(index.repeats[steps]):
             key = walk_keys(h, start, stop, steps, repeat)
             low, high = np.searchsorted(index.keys, key), np.searchsorted(index.keys, key, "right")
             n = high - low

@@ -1,6 +1,7 @@
 import random
 import re
 
+import pytest
 from cohortveil.llm import decontaminate as D
 from tests.llm.conftest import words
 
@@ -65,6 +66,27 @@ def test_edited_items_are_found_and_nothing_else(spark):
     assert kept == set(texts) - {k[0] for k in got}
 
 
+def test_every_length_of_items_aims_at_the_target():
+    rng = random.Random(12)
+    shared = words(rng, 200)
+    items = [words(rng, rng.randrange(10, 60)) for _ in range(150)] + [shared + words(rng, 200) for _ in range(6)]
+    texts = [(i, " ".join(words(rng, 5) + edited(rng, items[i], int(0.2 * len(items[i]))) + words(rng, 5)))
+             for i in range(150, 156) for _ in range(30)]
+    with pytest.warns(UserWarning, match="256 to 511 words"):
+        index = D.build_index([" ".join(x) for x in items])
+    assert all(r >= D.TARGET_RECALL for c, r in index.recall.items() if c < 256) and index.repeats[256] == D.MOST_REPEATS
+    met = {(int(t), int(i)) for t, i, _ in zip(*D.candidates(D.Words([t for _, t in texts]), index))}
+    share = sum((k, i) in met for k, (i, _) in enumerate(texts)) / len(texts)
+    assert share >= 0.93 and abs(share - index.recall[256]) <= 0.04
+
+
+def test_a_missed_target_is_warned_of(monkeypatch):
+    monkeypatch.setattr(D, "MOST_REPEATS", 1)
+    with pytest.warns(UserWarning, match="short of"):
+        index = D.build_index([" ".join(words(random.Random(1), 300))])
+    assert index.recall[256] < D.TARGET_RECALL
+
+
 def test_exact_passages_of_the_tables_all_found(spark, sf):
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     got = {(r.doc_id, r.item_id) for r in D.find(docs, bench).where("distance = 0").collect()}
