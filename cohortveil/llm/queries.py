@@ -214,3 +214,40 @@ def line_dedup(spark, folder):
     from .line_spread import clean
 
     return clean(table(spark, folder, "documents"), removed_col="removed_lines").select("doc_id", "text", "removed_lines")
+
+
+def repeated_words(text: F.Column, doc_id: F.Column) -> F.Column:
+    """The text with its tail of words made periodic where the CRC-32 of the id ends in 0.
+
+    With g = floor(crc / 10), every word from a = g mod n on becomes one of the p words
+    from a on in turn, p = 1 + floor((n - a) / (3 + g mod 8)).  Null ids change nothing.
+    """
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    crc = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(crc / 10)
+    n = F.size(words)
+    a = F.pmod(g, n).cast("int")
+    times = (3 + g % 8).cast("int")
+    p = (1 + F.floor((n - a) / times)).cast("int")
+    turns = F.flatten(F.array_repeat(F.slice(words, a + 1, p), times + 1))
+    edited = F.concat_ws(" ", F.slice(words, F.lit(1), a), F.slice(turns, F.lit(1), n - a))
+    has = text.rlike(r"[^\x20\x09-\x0D]")
+    return F.when((crc % 10 == 0) & has, edited).otherwise(text)
+
+
+@query("op11_word_runs")
+def word_runs(spark, folder):
+    """Runs and collapsed text of every document, a tenth of them made periodic."""
+    from .word_runs import periodic_runs
+
+    documents = table(spark, folder, "documents")
+    edited = documents.select("doc_id", repeated_words(F.col("text"), F.col("doc_id")).alias("text"))
+    found = periodic_runs(edited)
+    longest = F.reduce("runs", F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>"),
+                       lambda best, r: F.when(best.isNull() | (r.length > best.length), r).otherwise(best))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")))
+    text = F.concat(F.array_join(listed, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", longest).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
