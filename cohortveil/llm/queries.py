@@ -251,3 +251,40 @@ def word_runs(spark, folder):
         "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+@query("op13_simhash")
+def simhash(spark, folder):
+    """Fingerprint and component of every document."""
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults drawn from the CRC-32 of ``conv_id:turn``; nulls are one blank.
+
+    Of twenty turns one each is dropped, emptied, stripped of ``.!?``, repeated, and given to the user.
+    """
+    draw = F.crc32(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn"))).cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    rows = turns.select(
+        "conv_id", "turn", draw.alias("draw"), F.when(draw == 4, "user").otherwise(role).alias("role"),
+        F.when(draw == 1, "").when(draw == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"))
+    return (rows.where("draw <> 0").withColumn("copy", F.explode(F.when(F.col("draw") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+            .select("conv_id", "turn", "role", "text"))
+
+
+@query("op12_turn_repair")
+def turn_repair(spark, folder):
+    """Faults, cheapest repair and repaired text of every conversation after damage."""
+    from .turn_repair import digests, repair
+
+    turns = table(spark, folder, "conversations")
+    summaries, pieces = repair(damaged(turns))
+    found = summaries.withColumnRenamed("conv_id", "s").join(digests(pieces), F.col("s").eqNullSafe(F.col("conv_id"))).drop("conv_id")
+    known = turns.select("conv_id").distinct()
+    counts = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return known.join(found, F.col("conv_id").eqNullSafe(F.col("s")), "left").select(
+        "conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
