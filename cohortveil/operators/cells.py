@@ -6,13 +6,12 @@ rows → (cell, person) → cell.  Both stages combine on the map side.
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..specs import Filter, Measure, QuerySpec
-from ..study import PERSON, StudyError, split_ref
+from ..study import PERSON, StudyError
+from .lattice import key_sets, sweep_persons
 from .measures import INFINITY, PROCEDURES, dominance, pearson, power
 from .predicates import conjunction
 from .views import Workspace
@@ -24,6 +23,8 @@ HELPERS = ("n_persons", "dominance", "influence")
 def contributions(ws: Workspace, spec: QuerySpec) -> DataFrame:
     """What each person adds to each cell (internal; never released)."""
     proc = PROCEDURES[spec.measure.fn]
+    if proc.witness == "influence":
+        return _deviations(ws, spec).drop("_ux", "_uy")
     pp = ws.per_person(spec.view, spec.keys, spec.filters, proc.guards(spec.measure),
                        lambda column: proc.parts(spec.measure, column))
     if proc.witness != "dominance":
@@ -36,9 +37,7 @@ def cells(ws: Workspace, spec: QuerySpec) -> DataFrame:
     spec.check(ws.study)
     proc, m, keys = PROCEDURES[spec.measure.fn], spec.measure, list(spec.keys)
     if proc.witness == "influence":
-        centre = {"x": _centre(ws, spec.view, m.x), "y": _centre(ws, spec.view, m.y)}
-        return _correlation_cells(ws.per_person(spec.view, keys, spec.filters, proc.guards(m),
-                                                lambda column: proc.parts(m, column, centre)), keys)
+        return _correlation_cells(_deviations(ws, spec), keys)
     pp = ws.per_person(spec.view, keys, spec.filters, proc.guards(m),
                        lambda column: proc.parts(m, column))
     size = [F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("n_persons")]
@@ -53,16 +52,33 @@ def cells(ws: Workspace, spec: QuerySpec) -> DataFrame:
     raise StudyError(f"no cells for witness {proc.witness!r}")
 
 
-def _centre(ws: Workspace, view: str, column: str) -> Column:
-    """A value near a column's values, as a scalar subquery.
+def _with_cell(rows: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the struct ``_t`` of their cell's totals."""
+    if not keys:
+        # one row of totals: read as a scalar subquery, not joined
+        return rows.withColumn("_t", totals.select(F.struct(*totals.columns)).scalar())
+    names = [c for c in totals.columns if c not in keys]
+    other = totals.select(*(F.col(k).alias("t_" + k) for k in keys), F.struct(*names).alias("_t"))
+    return rows.join(other, [F.col(k).eqNullSafe(F.col("t_" + k)) for k in keys]).drop(*("t_" + k for k in keys))
+
+
+def _deviations(ws: Workspace, spec: QuerySpec) -> DataFrame:
+    """Per person and cell, sums of deviations from the cell's own means (``_ux``, ``_uy``).
 
-    Any such value will do, so a plain column is averaged over its own table,
-    without filters or joins; a derived one over the view.
+    Rows are read into states of count, means and centred moments.  The means of a cell
+    come from those states, so values that lie far from zero, or from those of other
+    cells, lose nothing, and rows are not read again for a centre.
     """
-    v = ws.study.view(view)
-    source = {**v.columns, **v.unit_columns}[column]
-    rows, name = (ws.unit(view), column) if not isinstance(source, str) else (ws.tables[split_ref(source)[0]], split_ref(source)[1])
-    return rows.agg(F.coalesce(F.avg(F.col(name).cast("double")), F.lit(0.0))).scalar()
+    proc, m, keys = PROCEDURES[spec.measure.fn], spec.measure, list(spec.keys)
+    states, several = ws.leaves(spec.view, keys, spec.filters, proc.guards(m), lambda column: proc.states(m, column))
+    size = F.sum("_n")
+    means = states.groupBy(*keys).agg((F.sum(F.col("_n") * F.col("_mx")) / size).alias("ux"),
+                                      (F.sum(F.col("_n") * F.col("_my")) / size).alias("uy"))
+    rows = _with_cell(states, means, keys).withColumns({"_ux": F.col("_t.ux"), "_uy": F.col("_t.uy")})
+    parts = {"_n": F.col("_n"), **proc.about(F.col("_ux"), F.col("_uy"))}
+    if not several:
+        return rows.select(*keys, PERSON, "_ux", "_uy", *(c.alias(k) for k, c in parts.items()))
+    return rows.groupBy(*keys, PERSON, "_ux", "_uy").agg(*(F.sum(c).alias(k) for k, c in parts.items()))
 
 
 def share_terms(c: str) -> list[Column]:
@@ -82,21 +98,16 @@ def _correlation_cells(pp: DataFrame, keys: list[str]) -> DataFrame:
     witness come out of that one aggregate.
     """
     names = ["_n", "_x", "_y", "_xx", "_yy", "_xy"]
-    totals = pp.groupBy(*keys).agg(*(F.sum(c).alias("t" + c) for c in names))
-    full = pearson(*(F.col("t" + c) for c in names))
-    rest = pearson(*(F.col("t" + c) - F.col(c) for c in names))
-    moved = F.when(F.col("t_n") - F.col("_n") >= 3, F.abs(full - rest))
+    sums = pp.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in names), F.max("_ux").alias("_ux"), F.max("_uy").alias("_uy"))
+    t = lambda c: F.col("_t." + c)
+    scale = ((t("_xx"), t("_ux")), (t("_yy"), t("_uy")))
+    full = pearson(*(t(c) for c in names), scale)
+    rest = pearson(*(t(c) - F.col(c) for c in names), scale)
+    moved = F.when(t("_n") - F.col("_n") >= 3, F.abs(full - rest))
     moved = F.coalesce(F.when(~F.isnan(moved), moved), F.lit(INFINITY))
-    if keys:
-        other = totals.select(*(F.col(k).alias("t_" + k) for k in keys), *("t" + c for c in names))
-        joined = pp.join(other, [F.col(k).eqNullSafe(F.col("t_" + k)) for k in keys])
-    else:
-        # one row of totals: read as a scalar subquery, not joined
-        one = totals.select(F.struct(*("t" + c for c in names)).alias("t")).scalar()
-        joined = pp.withColumn("_t", one).select(*names, "_t.*")
-    out = joined.groupBy(*keys).agg(F.max(moved).alias("influence"), F.count(F.lit(1)).alias("n_persons"),
-                                    *(F.max("t" + c).alias("t" + c) for c in names))
-    return out.select(*keys, full.alias("value"), F.coalesce("t_n", F.lit(0)).alias("n"), "n_persons",
+    out = _with_cell(pp, sums, keys).groupBy(*keys).agg(
+        F.max(moved).alias("influence"), F.count(F.lit(1)).alias("n_persons"), F.any_value("_t").alias("_t"))
+    return out.select(*keys, full.alias("value"), F.coalesce(t("_n"), F.lit(0)).alias("n"), "n_persons",
                       F.coalesce("influence", F.lit(INFINITY)).alias("influence"))
 
 
@@ -173,53 +184,28 @@ def marginals(ws: Workspace, views=None) -> DataFrame:
 
 # -- sweeps over every group-by ---------------------------------------------------
 
-def key_sets(dims, widest: int = 3, narrowest: int = 0) -> list[tuple[str, ...]]:
-    """Every group-by of up to ``widest`` of the dimensions, in a fixed order."""
-    dims = sorted(dims)
-    return [c for k in range(narrowest, widest + 1) for c in combinations(dims, k)]
-
-
-def sweep_persons(ws: Workspace, view: str, column: str, dims=None, widest: int = 3,
-                  filters=(), degrees=(1,)) -> DataFrame:
-    """Per-person sums for every group-by: grouping, dims…, person, _n, _c1….
+def swept_cells(persons: DataFrame, dims) -> DataFrame:
+    """Cells of every group-by from :func:`sweep_persons`.
 
-    Rows are first summed per person and finest dimension combination, then
-    expanded into grouping sets, so the expansion never touches raw rows.
+    With counted hits: ``k`` of them, by ``k_persons``.
     """
-    dims = sorted(dims or ws.study.view(view).dims)
-    names = {k: f"_c{k}" for k in degrees}
-    # only shares are read off higher powers here, so those add up as doubles
-    term = lambda c, k: power(c.cast("double") if k > 1 else c, k)
-    finest = ws.per_person(view, dims, tuple(filters), (column,),
-                           lambda col: {names[k]: term(col(column), k) for k in degrees})
-    sets = key_sets(dims, widest)
-    persons = (finest.groupingSets([[F.col(d) for d in s] + [F.col(PERSON)] for s in sets],
-                                   *(F.col(d) for d in dims), F.col(PERSON))
-               .agg(F.grouping_id(*dims, PERSON).alias("_gid"), F.sum("_n").alias("_n"),
-                    *(F.sum(c).alias(c) for c in names.values())))
-    inside = lambda i: F.col("_gid").bitwiseAND(F.lit(1 << (len(dims) - i))) == 0
-    label = F.concat_ws("+", *(F.when(inside(i), F.lit(d)) for i, d in enumerate(dims)))
-    return persons.select(label.alias("grouping"), *dims, PERSON, "_n", *names.values())
-
-
-def swept_cells(persons: DataFrame, dims) -> DataFrame:
-    """Cells of every group-by from :func:`sweep_persons`."""
     dims = sorted(dims)
     names = [c for c in persons.columns if c.startswith("_c")]
+    hits = {"k": F.sum("_k"), "k_persons": F.count_if(F.col("_k") > 0)} if "_k" in persons.columns else {}
     out = persons.groupBy("grouping", *dims).agg(
         F.sum("_n").alias("n"), F.count(F.lit(1)).alias("n_persons"),
-        *(t for c in names for t in share_terms(c)))
+        *(t for c in names for t in share_terms(c)), *(c.alias(k) for k, c in hits.items()))
     return out.select("grouping", *dims, "n", "n_persons",
                       *(F.col(f"{c}_total").alias(f"s{c[2:]}") for c in names),
-                      *(share(c).alias(f"dominance{c[2:]}") for c in names))
+                      *(share(c).alias(f"dominance{c[2:]}") for c in names), *hits)
 
 
 def sweep_cells(ws: Workspace, view: str, column: str, dims=None, widest: int = 3,
-                filters=(), degrees=(1, 2)) -> DataFrame:
+                filters=(), degrees=(1, 2), hits: str | None = None) -> DataFrame:
     """All group-bys of a measure in one job: grouping (text), dims… (NULL outside
     the set), n, n_persons, s1…, dominance1…."""
     dims = sorted(dims or ws.study.view(view).dims)
-    return swept_cells(sweep_persons(ws, view, column, dims, widest, filters, degrees), dims)
+    return swept_cells(sweep_persons(ws, view, column, dims, widest, filters, degrees, hits), dims)
 
 
 def measure_configs(ws: Workspace) -> list[dict]:
@@ -232,5 +218,5 @@ def measure_configs(ws: Workspace) -> list[dict]:
     return out
 
 
-__all__ = ["Measure", "cells", "cohort_size", "contributions", "conjunction", "largest_cells",
-           "marginals", "moment_cells", "person_counts", "sweep_cells"]
+__all__ = ["Measure", "cells", "cohort_size", "contributions", "conjunction", "key_sets", "largest_cells",
+           "marginals", "moment_cells", "person_counts", "sweep_cells", "sweep_persons"]

@@ -6,6 +6,8 @@ the rows behind it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,21 +104,26 @@ def anova_released(groups: DataFrame, factor: str) -> tuple[DataFrame, DataFrame
 
 # -- normality -----------------------------------------------------------------------------
 
-def power_sum_cells(ws: Workspace, spec: FactorSpec, policy: Policy) -> DataFrame:
-    """Finalised n and the four power sums per level, plus ``withheld``."""
+POWER_SUMS = ("sum", "sum_sq", "sum_cube", "sum_quad")
+
+
+def power_sum_tables(ws: Workspace, spec: FactorSpec, policy: Policy) -> DataFrame:
+    """Finalised n and the four power sums per level, which of them each level fails, and its persons."""
     spec.check(ws.study)
     raw = moment_cells(ws, spec.view, spec.response, [spec.factor], spec.filters, degrees=(1, 2, 3, 4))
-    lost = rule_columns(["n", "n_persons"], [spec.factor], policy, ws.study)
-    bad = None
-    for c in lost.values():
-        bad = c if bad is None else bad | c
-    for k in (1, 2, 3, 4):
-        bound = policy.dominance_for(f"moment{k}")
-        bad = bad | unresolved_or_above(F.col(f"dominance{k}"), bound) | not_finite(F.col(f"s{k}"))
-    names = ("sum", "sum_sq", "sum_cube", "sum_quad")
+    shared = reduce(lambda a, b: a | b, rule_columns(["n", "n_persons"], [spec.factor], policy, ws.study).values())
+    bad = lambda k: (shared | not_finite(F.col(f"s{k}"))
+                     | unresolved_or_above(F.col(f"dominance{k}"), policy.dominance_for(f"moment{k}")))
     return raw.select(spec.factor, rounded(F.col("n"), policy.round_base).alias("n"),
-                      *(F.round(f"s{k}", 2).cast("double").alias(name) for k, name in enumerate(names, 1)),
-                      bad.alias("withheld"))
+                      *(F.round(f"s{k}", 2).cast("double").alias(name) for k, name in enumerate(POWER_SUMS, 1)),
+                      *(bad(k).alias(f"fails_{name}") for k, name in enumerate(POWER_SUMS, 1)),
+                      F.col("n_persons").alias("raw_persons"))
+
+
+def power_sum_cells(ws: Workspace, spec: FactorSpec, policy: Policy) -> DataFrame:
+    """Finalised n and the four power sums per level, plus ``withheld``."""
+    withheld = reduce(lambda a, b: a | b, (F.col(f"fails_{name}") for name in POWER_SUMS))
+    return power_sum_tables(ws, spec, policy).select(spec.factor, "n", *POWER_SUMS, withheld.alias("withheld"))
 
 
 def shape_columns() -> dict[str, Column]:
@@ -147,11 +154,16 @@ def normality(power_sums: DataFrame, factor: str) -> DataFrame:
 
 # -- series --------------------------------------------------------------------------------
 
-def series_windows(ws: Workspace, spec: SeriesSpec, policy: Policy) -> DataFrame:
-    """Released window table plus ``withheld``; any withheld window denies the series."""
+def judged_windows(ws: Workspace, spec: SeriesSpec, policy: Policy) -> DataFrame:
+    """Judged cells of the series, written once, plus ``withheld``."""
     spec.check(ws.study)
     request = QuerySpec(spec.view, Measure(spec.stat, spec.response), (spec.time,), spec.filters)
-    judged = judge(cells(ws, request), (spec.time,), policy, ws.study).withColumn("withheld", fails())
+    return cut(judge(cells(ws, request), (spec.time,), policy, ws.study).withColumn("withheld", fails()))
+
+
+def series_windows(ws: Workspace, spec: SeriesSpec, policy: Policy, judged: DataFrame | None = None) -> DataFrame:
+    """Released window table plus ``withheld``; any withheld window denies the series."""
+    judged = judged_windows(ws, spec, policy) if judged is None else judged
     return cut(shape(finalise(judged, (spec.time,), policy), spec.stat))
 
 

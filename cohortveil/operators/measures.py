@@ -91,13 +91,17 @@ class Correlation:
     def guards(self, m) -> tuple[str, ...]:
         return (m.x, m.y)
 
-    def parts(self, m, column, centre: Column | None = None) -> dict[str, Column]:
-        """Sums of deviations from ``centre`` (x, y): products of values far from
-        zero would lose the spread they are meant to show."""
+    def states(self, m, column) -> dict[str, Column]:
+        """Row count, means and centred second moments; Spark merges them pairwise."""
         x, y = column(m.x).cast("double"), column(m.y).cast("double")
-        if centre is not None:
-            x, y = x - centre["x"], y - centre["y"]
-        return {"_x": x, "_y": y, "_xx": x * x, "_yy": y * y, "_xy": x * y}
+        return {"_n": F.count(F.lit(1)), "_mx": F.avg(x), "_my": F.avg(y),
+                "_vx": F.var_pop(x), "_vy": F.var_pop(y), "_cxy": F.covar_pop(x, y)}
+
+    def about(self, x: Column, y: Column) -> dict[str, Column]:
+        """A state as sums of deviations from (x, y), which add up over states."""
+        n, dx, dy = F.col("_n"), F.col("_mx") - x, F.col("_my") - y
+        return {"_x": n * dx, "_y": n * dy, "_xx": n * (F.col("_vx") + dx * dx),
+                "_yy": n * (F.col("_vy") + dy * dy), "_xy": n * (F.col("_cxy") + dx * dy)}
 
     def configs(self, view: View):
         pool = sorted(set(view.measures) | set(view.internal_measures))
@@ -117,14 +121,20 @@ PROCEDURES = {p.fn: p for p in (
 )}
 
 
-# Fixed value: a variance below this share of the second moment is rounding noise.
-LOST = 1e-12
+# A variance below the first share of the whole cell's second moment, or a spread
+# below the second share of its mean, is rounding noise.
+LOST, NOISE = 1e-12, 1e-14
+
 
+def pearson(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column, scale) -> Column:
+    """Pearson r from sums of deviations; NULL when a variance is zero or lost in rounding.
 
-def pearson(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
-    """Pearson r from power sums; NULL when a variance is zero or lost in rounding."""
+    ``scale`` holds for x and y the second moment and the mean that bound the rounding noise.
+    """
     vx, vy = n * xx - x * x, n * yy - y * y
-    seen = (vx > LOST * n * xx) & (vy > LOST * n * yy)
+    seen = F.lit(True)
+    for v, (moment, mean) in ((vx, scale[0]), (vy, scale[1])):
+        seen = seen & (v > LOST * n * moment) & (v > F.pow(NOISE * n * mean, 2))
     r = (n * xy - x * y) / (F.sqrt(F.when(seen, vx)) * F.sqrt(F.when(seen, vy)))
     return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
 

@@ -55,7 +55,7 @@ def gaussian_tables(ws: Workspace, view: str, response: str, terms, filters=(),
     return raw.select(
         *terms, exact.alias("mean"), F.round("s2", 2).cast("double").alias("sum_sq"),
         rounded(F.col("n"), policy.round_base).alias("n"), F.col("n").alias("raw_n"),
-        mean.alias("raw_mean"), F.col("s2").cast("double").alias("raw_sum_sq"),
+        mean.alias("raw_mean"), F.col("s2").cast("double").alias("raw_sum_sq"), F.col("n_persons").alias("raw_persons"),
         (shared | not_finite(mean)
          | unresolved_or_above(F.col("dominance1"), policy.dominance)).alias("fails_mean"),
         (shared | not_finite(F.col("s2"))
@@ -81,6 +81,7 @@ def binomial_tables(ws: Workspace, view: str, response: str, terms, filters=(),
     return raw.select(*terms, rounded(F.col("k"), policy.round_base).alias("k"),
                       rounded(F.col("n"), policy.round_base).alias("n"),
                       F.col("k").alias("raw_k"), F.col("n").alias("raw_n"),
+                      F.col("n_persons").alias("raw_persons"), F.col("k_persons").alias("raw_k_persons"),
                       shared.alias("fails_trials"), few.alias("fails_successes"))
 
 
@@ -94,6 +95,7 @@ def poisson_tables(ws: Workspace, view: str, response: str, terms, filters=(),
     return raw.select(*terms, F.round("s1", 2).cast("double").alias("sum"),
                       rounded(F.col("n"), policy.round_base).alias("n"),
                       F.col("s1").cast("double").alias("raw_sum"), F.col("n").alias("raw_n"),
+                      F.col("n_persons").alias("raw_persons"),
                       fails.alias("fails_sum"))
 
 
@@ -357,10 +359,13 @@ def release_model(ws: Workspace, spec: GlmSpec, policy: Policy | None = None) ->
         return Model("denied", ("nothing released",))
     if verdict["k"] > policy.max_cells:
         return Model("review", ("too_granular",))
+    return fit_vetted(table, spec, ws.study, spec.family == "gaussian" and verdict["fails_sum_sq"])
+
+
+def fit_vetted(table: DataFrame, spec: GlmSpec, study: Study, partial: bool) -> Model:
+    """Fit from a planned table that passed; ``partial`` leaves out the sums of squares."""
     released = table.select(*[c for c in table.columns if not c.startswith(("fails_", "raw_"))])
-    if spec.family == "gaussian" and verdict["fails_sum_sq"]:
-        released = released.drop("sum_sq")
-    return fit_released(released, spec, ws.study)
+    return fit_released(released.drop("sum_sq") if partial else released, spec, study)
 
 
 def fit_released(released: DataFrame, spec: GlmSpec, study: Study) -> Model:

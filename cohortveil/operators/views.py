@@ -151,24 +151,38 @@ class Workspace:
         """Row count and additive parts per (cell key, person).
 
         ``parts(column)`` returns named Column expressions, where ``column`` maps
-        an output name to a Column.  If the base table carries the person key, rows are summed
-        on the base table before the dimension tables are joined, so a person
-        with very many rows is already collapsed on the map side and the joins
-        see one row per person and base-side key.
+        an output name to a Column.
+        """
+        parts = parts or (lambda column: {})
+        terms = lambda column: {"_n": F.count(F.lit(1)), **{k: F.sum(e) for k, e in parts(column).items()}}
+        rows, several = self.leaves(name, keys, filters, guards, terms)
+        if not several:
+            return rows
+        names = [c for c in rows.columns if c not in keys and c != PERSON]
+        return rows.groupBy(*keys, PERSON).agg(*(F.sum(c).alias(c) for c in names))
+
+    def leaves(self, name: str, keys=(), filters: tuple[Filter, ...] = (),
+               guards=(), terms=None) -> tuple[DataFrame, bool]:
+        """First aggregate of a person's rows in a cell, and whether a person can have several.
+
+        ``terms(column)`` returns named aggregates of columns.  If the base table carries
+        the person key, rows are aggregated on the base table before the dimension tables
+        are joined, so a person with very many rows is already collapsed on the map side
+        and the joins see one row per person and base-side key; those rows are still to be
+        merged.  States that do not add up as they are (means, centred moments) are merged
+        by the caller.
         """
         view = self.study.view(name)
         keys = list(keys)
-        parts = parts or (lambda column: {})
         source = {**view.columns, **view.unit_columns}
         on_base = lambda c: isinstance(source[c], str) and split_ref(source[c])[0] == view.base
-        touched = set(guards) | {c for c in self._part_columns(parts)}
+        touched = set(guards) | {c for c in self._part_columns(terms)}
         early = (not view.is_rollup and view.joins
                  and split_ref(view.person)[0] == view.base
                  and all(on_base(c) for c in touched))
         if not early:
             df = (self.unit(name).where(conjunction(filters)).where(not_null(guards)))
-            sums = [F.sum(e).alias(k) for k, e in parts(F.col).items()]
-            return df.groupBy(*keys, PERSON).agg(F.count(F.lit(1)).alias("_n"), *sums)
+            return df.groupBy(*keys, PERSON).agg(*(e.alias(k) for k, e in terms(F.col).items())), False
 
         base_keys = [k for k in keys if on_base(k)]
         refs = {view.person} | {source[c] for c in set(keys) | touched | {f.column for f in filters}}
@@ -179,17 +193,13 @@ class Workspace:
         later = [f for f in filters if not on_base(f.column)]
         links = {flat(j.left) for j in view.joins if split_ref(j.left)[0] == view.base}
         group = sorted(links | {flat(view.person)} | {flat(source[k]) for k in base_keys})
-        expressions = parts(named)
+        expressions = terms(named)
         df = (self._source(view.base, refs)
               .where(conjunction(first, named)).where(not_null(guards, named))
-              .groupBy(*group)
-              .agg(F.count(F.lit(1)).alias("_n"),
-                   *(F.sum(e).alias(k) for k, e in expressions.items())))
+              .groupBy(*group).agg(*(e.alias(k) for k, e in expressions.items())))
         df = self._join(df, view, refs).where(conjunction(later, named))
-        return (df.groupBy(*(F.col(flat(source[k])).alias(k) for k in keys),
-                           F.col(flat(view.person)).alias(PERSON))
-                .agg(F.sum("_n").alias("_n"),
-                     *(F.sum(k).alias(k) for k in expressions)))
+        return df.select(*(F.col(flat(source[k])).alias(k) for k in keys),
+                         F.col(flat(view.person)).alias(PERSON), *expressions), True
 
     @staticmethod
     def _part_columns(parts) -> set[str]:

@@ -73,6 +73,22 @@ def a7(spark, d):
     return df.select("n_name", F.round("value", 6).alias("value"), "n", "n_persons")
 
 
+B = "CAST(c_acctbal AS DOUBLE)"
+
+
+@query("A7_corr_far_groups", f"""WITH {CUSTOMER_SALES}, t AS (
+  SELECT n_name, CAST(COUNT(*) AS DOUBLE) AS n, SUM({X}) AS x, SUM({B}) AS y, SUM({X}*{X}) AS xx,
+         SUM({B}*{B}) AS yy, SUM({X}*{B}) AS xy FROM customer_sales GROUP BY n_name)
+SELECT n_name, round({CORR}, 6) AS value, CAST(n AS BIGINT) AS n FROM t""")
+def a7_far(spark, d):
+    """Balances of every other nation moved up by ten thousand million: r is that of the balances as they are."""
+    far = lambda t: t.withColumn("c_acctbal", (F.col("c_acctbal") + F.when(F.col("c_nationkey") % 2 == 0, 10 ** 10).otherwise(0))
+                                 .cast("decimal(16,2)"))
+    df = C.cells(shop.workspace(spark, d, customer=far),
+                 QuerySpec("customer_sales", Measure("corr", x="open_price", y="c_acctbal"), ("n_name",)))
+    return df.select("n_name", F.round("value", 6).alias("value"), "n")
+
+
 @query("A8_largest_cells", f"""WITH {SALES}
 SELECT r_name, o_orderpriority, order_year, COUNT(*) AS n FROM sales GROUP BY ALL
 ORDER BY n DESC, r_name, o_orderpriority, order_year LIMIT 50""")
@@ -123,29 +139,31 @@ def a12(spark, d):
     return C.marginals(shop.workspace(spark, d))
 
 
-SWEEP_DIMS = ("c_mktsegment", "n_name", "o_orderpriority", "o_orderstatus", "order_year")
+SWEEP_DIMS = tuple(sorted(shop.study().view("sales").dims))
 
 
-def sweep_sql(source: str, dims, column: str, widest: int = 3) -> str:
+def sweep_sql(source: str, dims, column: str, widest: int = 3, degrees=(1, 2)) -> str:
     parts = []
+    powers = [f"SUM(pow(CAST({column} AS DOUBLE), {p})) AS c{p}" if p > 2 else f"SUM({column}*{column}) AS c2" for p in degrees[1:]]
     for keys in C.key_sets(dims, widest):
         group = ", ".join(keys)
         lead = f"{group}, " if keys else ""
         shown = ", ".join(k if k in keys else f"NULL AS {k}" for k in sorted(dims))
         tail = f"GROUP BY {group}" if keys else ""
         parts.append(f"""SELECT '{'+'.join(keys)}' AS grouping, {shown}, CAST(SUM(k) AS BIGINT) AS n,
-  COUNT(*) AS n_persons, SUM(c1) AS s1, {share('c1')} AS dominance1, {share('c2')} AS dominance2
-  FROM (SELECT {lead}person, COUNT(*) AS k, SUM({column}) AS c1, SUM({column}*{column}) AS c2
+  COUNT(*) AS n_persons, SUM(c1) AS s1, {', '.join(f"{share(f'c{p}')} AS dominance{p}" for p in degrees)}
+  FROM (SELECT {lead}person, COUNT(*) AS k, SUM({column}) AS c1, {', '.join(powers)}
         FROM {source} GROUP BY {lead}person) {tail}""")
     return " UNION ALL ".join(parts)
 
 
-@query("A13_sweep_all_groupings", f"""WITH {SALES}, sweep AS ({sweep_sql('sales', SWEEP_DIMS, 'o_totalprice')})
-SELECT grouping, c_mktsegment, n_name, o_orderpriority, o_orderstatus, order_year, n, n_persons,
-       CAST(s1 AS DOUBLE) AS s1, round(dominance1, 9) AS dominance1 FROM sweep""")
+@query("A13_sweep_all_groupings", f"""WITH {SALES}, sweep AS ({sweep_sql('sales', SWEEP_DIMS, 'o_totalprice', degrees=(1, 2, 3, 4))})
+SELECT grouping, {', '.join(SWEEP_DIMS)}, n, n_persons, CAST(s1 AS DOUBLE) AS s1, round(dominance1, 8) AS dominance1,
+  round(dominance2, 8) AS dominance2, round(dominance3, 8) AS dominance3, round(dominance4, 8) AS dominance4 FROM sweep""")
 def a13(spark, d):
-    df = C.sweep_cells(shop.workspace(spark, d), "sales", "o_totalprice", SWEEP_DIMS)
-    return doubles(df.drop("s2", "dominance2"), "s1").withColumn("dominance1", F.round("dominance1", 9))
+    """Every group-by of up to three of the view's eight dimensions, for all measures of its column."""
+    df = C.sweep_cells(shop.workspace(spark, d), "sales", "o_totalprice", degrees=(1, 2, 3, 4))
+    return doubles(df.drop("s2", "s3", "s4"), "s1").withColumns({f"dominance{k}": F.round(f"dominance{k}", 8) for k in (1, 2, 3, 4)})
 
 
 # -- witnesses ----------------------------------------------------------------------

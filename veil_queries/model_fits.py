@@ -386,7 +386,7 @@ def m24(spark, d):
     return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("models"))
 
 
-M25_DIMS = ("c_mktsegment", "n_name", "o_orderstatus")
+M25_DIMS = SWEEP_DIMS
 
 
 def _boost_sweep_sql() -> str:
