@@ -138,13 +138,16 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(codes: DataFrame) -> DataFrame:
     """(a, b): links that join exactly the distinct ``code`` values within ``APART`` bits of each other into components."""
-    spark = codes.sparkSession
-    rows, found = codes.select("code", F.lit(0).alias("path")), None
-    levels = _levels()
+    levels, found = _levels(), None
+    first = F.array(*(F.lit(_signed(m)) for m in levels[0]))
+    masked = codes.select("code", F.posexplode(first).alias("key", "mask"))
     for depth, masks in enumerate(levels):
-        # a fixed number of masks: 20, 400, 8000
-        table = spark.createDataFrame([(k // 20, k, _signed(m)) for k, m in enumerate(masks)], "path int, key int, mask long")
-        keyed = rows.join(F.broadcast(table), "path").select("code", "key", F.col("code").bitwiseAND(F.col("mask")).alias("value"))
+        if depth:
+            # a fixed number of masks: 400, then 8000
+            table = codes.sparkSession.createDataFrame(
+                [(k // len(levels[0]), k, _signed(m)) for k, m in enumerate(masks)], "path int, key int, mask long")
+            masked = rows.join(F.broadcast(table), "path")
+        keyed = masked.select("code", "key", F.col("code").bitwiseAND(F.col("mask")).alias("value"))
         if depth == len(levels) - 1:
             groups = keyed.groupBy("key", "value").agg(F.collect_list("code").alias("codes")).where(F.size("codes") > 1)
             big = None
