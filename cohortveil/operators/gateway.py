@@ -202,7 +202,7 @@ def release_cells(cell_table: DataFrame, spec: QuerySpec, policy: Policy, study:
                                F.lit(False).alias("suppressable"), "n_cells")
         status = counted.select(F.lit("denied").alias("status"), F.lit("deny").alias("decision"),
                                 F.lit(0).cast("bigint").alias("n_cells"))
-        return Release(spec, vetted, vetted.where(F.lit(False)).drop(*HELPERS, "failed_rules", *study.identifier_columns(),
+        return Release(spec, vetted, vetted.where(F.lit(False)).drop(*HELPERS, "failed_rules", *study.having_role("DI"),
                                                                      *study.free_text), found, status, outcome_of(status))
     vetted = vet(cell_table, keys, policy, study, proc.value_class)
     leaving = vetted.where(~fails() & (kept_cells(vetted) <= policy.max_cells))

@@ -55,13 +55,13 @@ def egress(columns, study: Study) -> list[str]:
     names = set(columns)
     internal = {c for v in study.views.values() for c in (*v.internal_filters, *v.internal_measures)}
     out = []
-    if names & study.identifier_columns():
+    if names & study.having_role("DI"):
         out.append("identifier_egress")
     if names & internal:
         out.append("internal_variable_egress")
     if names & study.free_text:
         out.append("free_text_egress")
-    if (names & (study.sensitive_columns() - study.identifier_columns())) and not names & set(COUNT_COLUMNS):
+    if (names & (study.having_role("S") - study.having_role("DI"))) and not names & set(COUNT_COLUMNS):
         out.append("raw_sensitive")
     return out
 

@@ -82,9 +82,9 @@ def denial_reasons(columns, study: Study, has_counts: bool | None = None) -> lis
     names = set(columns)
     counts = bool(names & set(COUNT_COLUMNS)) if has_counts is None else has_counts
     out = []
-    if names & study.identifier_columns():
+    if names & study.having_role("DI"):
         out.append("identifier_egress")
-    if (names & (study.sensitive_columns() - study.identifier_columns())) and not counts:
+    if (names & (study.having_role("S") - study.having_role("DI"))) and not counts:
         out.append("raw_sensitive")
     if names & study.free_text:
         out.append("free_text_egress")

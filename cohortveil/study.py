@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 from typing import Any
 
 PERSON = "_person"
@@ -281,23 +282,24 @@ class Study:
         v = self.view(view)
         return v.population or split_ref(v.person)[1]
 
+    @cached_property
+    def _roles(self) -> dict[str, set[str]]:
+        """Column → every role it is declared with: that of the derived column, or those of the tables."""
+        index: dict[str, set[str]] = {}
+        for declared in (*self.tables.values(), self.derived_roles):
+            for column, role in declared.items():
+                index.setdefault(column, set()).add(role)
+        return index
+
     def role_of(self, column: str) -> str | None:
         if column in self.derived_roles:
             return self.derived_roles[column]
-        for columns in self.tables.values():
-            if column in columns:
-                return columns[column]
-        return None
-
-    def columns_with_role(self, role: str) -> set[str]:
-        found = {c for cols in self.tables.values() for c, r in cols.items() if r == role}
-        return found | {c for c, r in self.derived_roles.items() if r == role}
-
-    def identifier_columns(self) -> set[str]:
-        return self.columns_with_role("DI") | {PERSON}
+        return next((columns[column] for columns in self.tables.values() if column in columns), None)
 
-    def sensitive_columns(self) -> set[str]:
-        return self.columns_with_role("S")
+    def having_role(self, role: str) -> set[str]:
+        """Columns declared with a role; the person column of a view counts as an identifier."""
+        persons = {PERSON} if role == "DI" else set()
+        return persons | {column for column, roles in self._roles.items() if role in roles}
 
     def with_domains(self, **domains: tuple) -> "Study":
         return replace(self, domains={**self.domains, **domains})

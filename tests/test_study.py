@@ -88,8 +88,8 @@ def test_keys_and_roles():
     assert corr("o_totalprice", "c_acctbal") == corr("c_acctbal", "o_totalprice")
     assert STUDY.quantity_of("sales", "o_totalprice") == "order_value"
     assert STUDY.population_of("sales") == "customers"
-    assert "o_custkey" in STUDY.identifier_columns() and "o_totalprice" in STUDY.sensitive_columns()
-    assert STUDY.columns_with_role("R") >= {"n_nationkey"}
+    assert "o_custkey" in STUDY.having_role("DI") and "o_totalprice" in STUDY.having_role("S")
+    assert STUDY.having_role("R") >= {"n_nationkey"}
 
 
 def test_schema_level_denials():

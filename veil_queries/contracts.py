@@ -62,7 +62,7 @@ UNION ALL SELECT 'sensitive', 'props', COUNT(props) FROM events""")
 def v12(spark, d):
     """Identifier and sensitive columns with how many cells they fill."""
     ws, out = shop.workspace(spark, d), None
-    for role, columns in (("identifier", ws.study.identifier_columns()), ("sensitive", ws.study.sensitive_columns())):
+    for role, columns in (("identifier", ws.study.having_role("DI")), ("sensitive", ws.study.having_role("S"))):
         for table, declared in sorted(ws.study.tables.items()):
             mine = sorted(columns & set(declared))
             if mine:

@@ -97,3 +97,32 @@ cs{i} AS (SELECT * EXCLUDE (gone, pick), out OR (gone = 1 AND pick = 1 AND NOT o
 cn{i} AS (SELECT * EXCLUDE (out, out_next), out_next AS out FROM cs{i})""")
         prev = f"cn{i}"
     return ",".join(parts), prev
+
+
+def canon(x: str) -> str:
+    """A number's text as sign, digits and exponent, from whatever text SQL gives it."""
+    return (f"list_transform(list_transform(list_transform([CAST({x} AS VARCHAR)], "
+            "lambda t: {'m': replace(split_part(lower(t), 'e', 1), '-', ''), "
+            "'e': coalesce(TRY_CAST(replace(split_part(lower(t), 'e', 2), '+', '') AS INTEGER), 0), "
+            "'s': CASE WHEN starts_with(t, '-') THEN '-' ELSE '' END}), "
+            "lambda q: {'a': ltrim(replace(q.m, '.', ''), '0'), 'x': q.e - length(split_part(q.m, '.', 2)), 's': q.s}), "
+            "lambda r: CASE WHEN r.a = '' THEN '0e0' ELSE r.s || rtrim(r.a, '0') || 'e' || "
+            "CAST(r.x + length(r.a) - length(rtrim(r.a, '0')) AS VARCHAR) END)[1]")
+
+
+def field(text: str) -> str:
+    """Text with its length before it, or a tilde."""
+    return f"coalesce(CAST(length({text}) AS VARCHAR) || ':' || {text}, '~')"
+
+
+def row_text(columns: dict[str, str]) -> str:
+    """Names and values of a row: column → SQL of its canonical text."""
+    return " || ".join(f"'{len(c)}:{c}' || {field(columns[c])}" for c in sorted(columns))
+
+
+def digest_of(source: str, columns: dict[str, str], group: str = "") -> str:
+    """SELECT of a table's digest: group, rows, digest."""
+    lead, tail = (f"{group}, ", f"GROUP BY {group}") if group else ("", "")
+    parts = ", ".join(f"SUM(CAST('0x' || substr(d, {1 + 15 * i}, 15) AS BIGINT)) AS p{i}" for i in range(4))
+    return (f"SELECT {lead}rows, sha256(CAST(rows AS VARCHAR) || '|' || coalesce(p0, 0) || '|' || coalesce(p1, 0) || '|' || coalesce(p2, 0) || '|' "
+            f"|| coalesce(p3, 0)) AS digest FROM (SELECT {lead}COUNT(*) AS rows, {parts} FROM (SELECT {lead}sha256({row_text(columns)}) AS d FROM {source}) {tail})")

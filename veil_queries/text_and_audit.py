@@ -9,6 +9,7 @@ from cohortveil.operators import cells as C
 from cohortveil.operators import gateway as G
 from cohortveil.operators import release_audit as O
 from cohortveil.operators import textjobs as T
+from cohortveil.operators.figures import released_numbers, unsupported_figures
 from cohortveil.plans.staged import Plan, Stage, run_batch, run_plan
 from cohortveil.session import cut
 from cohortveil.specs import Filter, Measure, QuerySpec
@@ -17,7 +18,7 @@ from cohortveil.study import Policy
 
 from .gateway_checks import POLICY, SUM_CELLS, infinite, whale
 from .registry import query
-from .sqltext import CUSTOMER_SALES, SALES, cells, complementary, half_up, ring
+from .sqltext import CUSTOMER_SALES, SALES, canon, cells, complementary, digest_of, field, half_up, ring
 
 MEAN_REGION = QuerySpec("sales", Measure("mean", "o_totalprice"), ("r_name",))
 # Endings that turn conversation turns into requests.
@@ -99,9 +100,49 @@ def released_values(spark, d):
     return out.released
 
 
-@query("T4_unsupported_figures")
+_SPACES = "[ \u00a0\u202f]"
+_WORD = "\\p{L}\\p{N}_"
+YEAR_CELLS = cells("sales", "order_year", "o_totalprice", name="years")
+
+FIGURES_SQL = f"""words AS (
+  SELECT doc_id, string_split_regex(translate(text, '\u2010\u2011\u2013\u2212', '----'), '{_SPACES}') AS w FROM documents),
+joined AS (
+  SELECT doc_id, array_to_string([CASE WHEN i > 1 AND regexp_matches(w[i], '^[0-9]{{3}}([^{_WORD}]|$)') AND regexp_matches(w[i - 1], '[0-9]$')
+    THEN '' ELSE ' ' END || w[i] FOR i IN range(1, len(w) + 1)], '') AS text FROM words),
+pieces AS (
+  SELECT doc_id, unnest(list_distinct([rtrim(ltrim(p, ','), '.,') FOR p IN string_split_regex(regexp_replace(regexp_replace(text,
+    '([{_WORD}])[-+]', '\\1 ', 'g'), '([.][0-9]+),', '\\1 ', 'g'), '[^{_WORD}.,+-]+')])) AS figure FROM joined),
+numbers AS (
+  SELECT doc_id, figure, translate(figure, '+,', '') AS txt FROM pieces
+  WHERE regexp_matches(figure, '^[-+]?[0-9]') AND translate(figure, '0123456789.,+-', '') = ''),
+said AS (
+  SELECT *, TRY_CAST(txt AS DOUBLE) AS v, length(split_part(txt, '.', 2)) AS places,
+    greatest(1, length(rtrim(ltrim(translate(txt, '-.', ''), '0'), '0'))) AS digits FROM numbers WHERE TRY_CAST(txt AS DOUBLE) IS NOT NULL),
+asked AS (SELECT DISTINCT v, places, digits, abs(v) AS size, floor(log10(CASE WHEN v <> 0 THEN abs(v) END)) AS decade FROM said
+  WHERE NOT (v = floor(v) AND v BETWEEN 0 AND 12) AND v NOT IN (0.05, 0.01, 0.001)),
+spans AS (SELECT *, 0.5 * pow(10.0, -places) AS half, pow(10.0, decade - digits + 1) AS unit FROM asked),
+sides AS (SELECT *, greatest(half, coalesce(unit / 2, half)) AS away, greatest(half, coalesce(CASE WHEN size = pow(10.0, decade) THEN unit / 20
+  ELSE unit / 2 END, half)) AS toward, 1e-9 * greatest(1.0, size) AS slack FROM spans),
+ranges AS (SELECT v, places, digits, v - CASE WHEN v < 0 THEN away ELSE toward END - slack AS low,
+  v + CASE WHEN v < 0 THEN toward ELSE away END + slack AS high FROM sides)"""
+
+
+def released_tables(spark, d):
+    """Means by nation and sums by year, as released, with their keys."""
+    ws = shop.workspace(spark, d)
+    years = G.release(ws, QuerySpec("sales", Measure("sum", "o_totalprice"), ("order_year",))).released
+    return (released_values(spark, d), ("n_name",)), (years, ("order_year",))
+
+
+@query("T4_unsupported_figures", f"""WITH {SALES}, {cells('sales', 'n_name', 'o_totalprice', value='mean')}, {YEAR_CELLS}, {FIGURES_SQL},
+known AS (SELECT CAST(value AS DOUBLE) AS x FROM cells UNION SELECT CAST({ring('n')} AS DOUBLE) FROM cells
+  UNION SELECT CAST(round(value, 2) AS DOUBLE) FROM years UNION SELECT CAST({ring('n')} AS DOUBLE) FROM years UNION SELECT CAST(order_year AS DOUBLE) FROM years),
+held AS (SELECT x FROM known WHERE x IS NOT NULL UNION SELECT x * 100 FROM known WHERE x BETWEEN 0 AND 1)
+SELECT doc_id, figure FROM said JOIN ranges USING (v, places, digits)
+WHERE NOT EXISTS (SELECT 1 FROM held WHERE x BETWEEN low AND high)""")
 def t4(spark, d):
-    return T.unsupported_figures(read(spark, d, "documents"), "doc_id", released_values(spark, d).select("value"))
+    """Figures of every document against values, counts and keys of two released tables."""
+    return unsupported_figures(read(spark, d, "documents"), "doc_id", released_numbers(*released_tables(spark, d)))
 
 
 @query("T5_grounded_claims", """WITH steps AS (SELECT event_id AS step FROM events WHERE event_type IN ('view', 'click')),
@@ -120,36 +161,62 @@ def t5(spark, d):
 
 
 REGION_CELLS = cells("sales", "r_name", "o_totalprice", value="mean")
-_num = lambda c: f"rtrim(rtrim(CAST(CAST({c} AS DECIMAL(38,10)) AS VARCHAR), '0'), '.')"
+_EVIDENCE = " || ".join(field(x) for x in ("'group_statistic'", "'s1'", "'mean'", "'6:r_name' || " + field("r_name"), "name", "txt",
+                                           "CAST(prec AS VARCHAR)", "CAST(NULL AS VARCHAR)"))
 
 
 @query("T6_evidence", f"""WITH {SALES}, {REGION_CELLS}, r AS (SELECT r_name, CAST(value AS DOUBLE) AS value, CAST({ring('n')} AS DOUBLE) AS n FROM cells),
 l AS (SELECT r_name, 'value' AS name, value AS v FROM r UNION ALL SELECT r_name, 'n', n FROM r),
-p AS (SELECT *, {_num('v')} AS txt FROM l),
-q AS (SELECT *, CASE WHEN contains(txt, '.') THEN length(txt) - strpos(txt, '.') ELSE 0 END AS prec FROM p)
-SELECT 'ev-' || substr(sha256('group_statistic|s1|mean|' || r_name || '|' || name || '|' || txt || '|' || CAST(prec AS VARCHAR) || '|'), 1, 16) AS evidence_id,
- r_name, name, v AS value, CAST(prec AS INTEGER) AS precision FROM q""")
+p AS (SELECT *, {canon('v')} AS txt FROM l),
+q AS (SELECT *, greatest(0, -CAST(split_part(txt, 'e', 2) AS INTEGER)) AS prec FROM p)
+SELECT 'ev-' || substr(sha256({_EVIDENCE}), 1, 16) AS evidence_id, r_name, name, v AS value, CAST(prec AS INTEGER) AS precision FROM q""")
 def t6(spark, d):
     out = G.release(shop.workspace(spark, d), MEAN_REGION).released
     items = T.evidence(out, "s1", "mean", ("r_name",), ("value", "n"), measure="o_totalprice")
     return items.select("evidence_id", F.col("keys")["r_name"].alias("r_name"), "name", "value", "precision")
 
 
-@query("T7_table_digests", f"WITH {SALES} SELECT r_name, COUNT(*) AS rows FROM sales GROUP BY r_name")
-def t7(spark, d):
-    return T.table_digest(shop.workspace(spark, d).public("sales"), ("r_name",)).drop("digest")
+_SALES_TEXT = {"c_mktsegment": "c_mktsegment", "is_urgent": "CAST(is_urgent AS VARCHAR)", "n_name": "n_name", "o_orderpriority": "o_orderpriority",
+              "o_orderstatus": "o_orderstatus", "o_totalprice": canon("o_totalprice"), "order_month": "CAST(order_month AS VARCHAR)",
+              "order_year": "CAST(order_year AS VARCHAR)"}
 
 
-@query("T8_snapshot_manifest")
+@query("T7_table_digests", f"WITH {SALES} {digest_of('sales', _SALES_TEXT, 'r_name')}")
+def t7(spark, d):
+    return T.table_digest(shop.workspace(spark, d).public("sales"), ("r_name",))
+
+
+_text = lambda *names: {n: f"CAST({n} AS VARCHAR)" for n in names}
+_money = lambda *names: {n: canon(f"CAST({n} AS DECIMAL(12,2))") for n in names}
+_TABLE_TEXTS = {
+    "orders": {**_text("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"), **_money("o_totalprice"),
+               "order_year": "CAST(year(o_orderdate) AS VARCHAR)", "order_month": "CAST(month(o_orderdate) AS VARCHAR)",
+               "is_urgent": "CAST(o_orderpriority = '1-URGENT' AS VARCHAR)"},
+    "customer": {**_text("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), **_money("c_acctbal"),
+                 "balance": "CAST(CAST(floor(c_acctbal) AS INTEGER) AS VARCHAR)"},
+    "nation": _text("n_nationkey", "n_name", "n_regionkey"),
+    "region": _text("r_regionkey", "r_name"),
+    "lineitem": {**_text("l_orderkey", "l_returnflag", "l_linestatus"), **_money("l_quantity", "l_extendedprice", "l_discount"),
+                 "ship_year": "CAST(year(l_shipdate) AS VARCHAR)"},
+    "events": {**_text("event_id", "user_id", "event_type", "props"), **_money("value"),
+               "hour_band": "CAST(CAST(floor(hour(ts) / 6) AS INTEGER) AS VARCHAR)",
+               "day": "CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS VARCHAR)"},
+}
+
+
+@query("T8_snapshot_manifest", " UNION ALL ".join(
+    f"SELECT '{name}' AS \"table\", rows, '{','.join(sorted(columns))}' AS columns, digest FROM ({digest_of(name, columns)})"
+    for name, columns in _TABLE_TEXTS.items()))
 def t8(spark, d):
-    return T.snapshot_manifest({n: shop.workspace(spark, d).tables[n] for n in shop.TABLES})
+    manifest = T.snapshot_manifest({n: shop.workspace(spark, d).tables[n] for n in shop.TABLES})
+    return manifest.withColumn("columns", F.array_join("columns", ","))
 
 
 @query("T8_snapshot_shape", """SELECT 'orders' AS "table", COUNT(*) AS rows, 8 AS n_columns FROM orders UNION ALL SELECT 'customer', COUNT(*), 6 FROM customer
 UNION ALL SELECT 'nation', COUNT(*), 3 FROM nation UNION ALL SELECT 'region', COUNT(*), 2 FROM region
 UNION ALL SELECT 'lineitem', COUNT(*), 7 FROM lineitem UNION ALL SELECT 'events', COUNT(*), 7 FROM events""")
 def t8_shape(spark, d):
-    return t8(spark, d).select("table", "rows", F.size("columns").alias("n_columns"))
+    return t8(spark, d).select("table", "rows", F.size(F.split("columns", ",")).alias("n_columns"))
 
 
 KEY = b"audit key of the example study"
@@ -222,18 +289,39 @@ def t10_verdict(spark, d):
     return T.chain_verdict(checked, rows, marks, CHAIN)
 
 
-@query("T11_replay_compare", f"WITH {SALES} SELECT DISTINCT n_name, n_name NOT IN ('NATION_3', 'NATION_8') AS reproduced FROM sales")
-def t11(spark, d):
-    """Digests of every nation's released cells, before and after two nations change."""
+# some orders of the snapshot changed after the releases were recorded
+_CHANGED = "CASE WHEN person % 300 = 3 THEN o_totalprice + 1 ELSE o_totalprice END"
+_OWN_CELLS = """SELECT n_name, o_orderstatus, SUM({x}) AS v, COUNT(*) AS k FROM sales GROUP BY ALL"""
+
+
+def _replayed(spark, d):
     spec = QuerySpec("sales", Measure("sum", "o_totalprice"), ("n_name", "o_orderstatus"))
     changed = lambda t: t.withColumn("o_totalprice", F.when(
-        F.col("o_custkey") % 10 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).cast("decimal(12,2)"))
-    before = T.table_digest(C.cells(shop.workspace(spark, d), spec).select("n_name", "o_orderstatus", "value", "n"), ("n_name",))
-    again = C.cells(shop.workspace(spark, d, orders=changed), spec).select("n_name", "o_orderstatus", "value", "n")
-    after = T.table_digest(again, ("n_name",))
-    keep = F.col("n_name").isin("NATION_3", "NATION_8")
-    mixed = after.where(keep).unionByName(before.where(~keep))
-    return T.replay_compare(before, mixed, ("n_name",)).select("n_name", "reproduced")
+        F.col("o_custkey") % 300 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")).cast("decimal(12,2)"))
+    then, now = ({}, {"orders": changed})
+    return [C.cells(shop.workspace(spark, d, **tables), spec).select("n_name", "o_orderstatus", F.col("value").cast("double").alias("value"), "n")
+            for tables in (then, now)]
+
+
+@query("T11_replay_compare", f"""WITH {SALES}, a AS ({_OWN_CELLS.format(x='o_totalprice')}), b AS ({_OWN_CELLS.format(x=_CHANGED)})
+SELECT a.n_name, bool_and(a.v = b.v AND a.k = b.k) AS reproduced FROM a JOIN b ON a.n_name = b.n_name AND a.o_orderstatus = b.o_orderstatus GROUP BY a.n_name""")
+def t11(spark, d):
+    """Digests of every nation's cells, recomputed whole after some orders changed."""
+    before, after = (T.table_digest(t, ("n_name",)) for t in _replayed(spark, d))
+    return T.replay_compare(before, after, ("n_name",)).select("n_name", "reproduced")
+
+
+@query("T11_replay_releases", f"""WITH {SALES}, a AS ({_OWN_CELLS.format(x='o_totalprice')}), b AS ({_OWN_CELLS.format(x=_CHANGED)})
+SELECT a.n_name, CASE WHEN a.n_name IN ('NATION_2', 'NATION_9') THEN 'refused' WHEN bool_and(a.v = b.v) THEN 'reproduced' ELSE 'digest_differs' END AS status,
+  CASE WHEN a.n_name NOT IN ('NATION_2', 'NATION_9') THEN CAST(SUM(CASE WHEN a.v <> b.v THEN 1 ELSE 0 END) AS INTEGER) END AS lost_evidence
+FROM a JOIN b ON a.n_name = b.n_name AND a.o_orderstatus = b.o_orderstatus GROUP BY a.n_name""")
+def t11_releases(spark, d):
+    """Every nation's release replayed: digests, evidence ids and the semantics it was recorded under."""
+    before, after = _replayed(spark, d)
+    record = lambda t, semantics: T.release_record(t, ("n_name",), ("value", "n"), "s1", "sum", semantics)
+    old = F.col("n_name").isin("NATION_2", "NATION_9")
+    committed = record(before.where(old), "1").unionByName(record(before.where(~old), "2"))
+    return T.replay_releases(committed, record(after, "2"), ("n_name",))
 
 
 def plan_log(spark, d):
