@@ -401,6 +401,45 @@ def successes_filter(spec: GlmSpec) -> Filter:
 
 # -- sweeps over many models ----------------------------------------------------------------
 
+def lattice_models(sweep: DataFrame, dims, study: Study, policy: Policy, response: str, family: str) -> DataFrame:
+    """Cells of every releasable model over the group-bys of a sweep, finalised and raw.
+
+    One model per grouping set that does not hold the response and whose cells all pass the
+    rules of the family's required tables: ``model_id`` is family:response:grouping:raw
+    or …:released.  What makes a model inestimable is left to the fit.
+    """
+    dims = sorted(dims)
+    terms = F.split("grouping", "\\+")
+    inside = sweep.where((F.col("grouping") != "") & ~F.array_contains(terms, response))
+    shared = _shared_rules(study, dims, policy)
+    n, k = F.col("n"), F.col("k") if family == "binomial" else None
+    if family == "binomial":
+        few = (k > 0) & ((k < policy.min_persons) | (F.col("k_persons") < policy.min_persons))
+        bad = shared | few
+    else:
+        bad = shared | not_finite(F.col("s1")) | unresolved_or_above(F.col("dominance1"), policy.dominance)
+    lost = inside.groupBy("grouping").agg(F.bool_or(bad).alias("bad")).where("bad").select("grouping")
+    kept = inside.join(lost, "grouping", "left_anti")
+    used = F.array(*(F.struct(F.lit(d).alias("d"), F.col(d).cast("string").alias("v")) for d in dims))
+    levels = F.transform(F.filter(used, lambda x: F.array_contains(terms, x["d"])), lambda x: x["v"])
+    count = lambda c: rounded(c, policy.round_base)
+    forms = {
+        "gaussian": {"released": (F.round(F.col("s1") / n, 2), count(n)), "raw": (ratio(F.col("s1"), n), n)},
+        "poisson": {"released": (F.round("s1", 2), count(n)), "raw": (F.col("s1"), n)},
+        "binomial": {"released": (ratio(count(k), count(n)), count(n)), "raw": (ratio(k, n), n)} if family == "binomial" else {},
+    }[family]
+    sides = []
+    for side, (y, size) in forms.items():
+        weight = F.lit(1.0) if family == "poisson" else size.cast("double")
+        offset = F.log(F.when(size > 0, size.cast("double"))) if family == "poisson" else F.lit(0.0)
+        sides.append(F.struct(F.lit(side).alias("side"), y.cast("double").alias("y"), weight.alias("w"), offset.alias("off"),
+                              size.cast("double").alias("n")))
+    rows = kept.select("grouping", terms.alias("terms"), levels.alias("levels"), F.inline(F.array(*sides)))
+    return rows.select(
+        F.concat_ws(":", F.lit(family), F.lit(response), "grouping", "side").alias("model_id"), F.lit(family).alias("family"),
+        F.to_json("levels").alias("cell"), "terms", "levels", "y", "w", "off", F.lit(None).cast("double").alias("ss"), "n")
+
+
 def outcome_of_groupings(sweep: DataFrame, dims, policy: Policy) -> DataFrame:
     """What a gaussian model over each group-by of a sweep would release.
 

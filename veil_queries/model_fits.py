@@ -316,36 +316,61 @@ def m21(spark, d):
         "changed", changed.agg(F.count(F.lit(1)).alias("n")).scalar())
 
 
-def _many_models(spark, d):
-    """Cells of every gaussian and poisson model over one and two terms, finalised and raw."""
-    ws = shop.workspace(spark, d)
-    out = None
-    for view, response, family, groups in (
-            ("sales", "o_totalprice", "gaussian", (("r_name",), ("o_orderpriority",), ("r_name", "o_orderpriority"),
-                                                   ("c_mktsegment", "o_orderstatus"))),
-            ("customer_sales", "open_orders", "poisson", (("r_name",), ("c_mktsegment",), ("r_name", "c_mktsegment")))):
-        for terms in groups:
-            table = M.PLANS[family](ws, view, response, list(terms))
-            for raw in (False, True):
-                name = f"{family}:{'+'.join(terms)}:{'raw' if raw else 'released'}"
-                part = M.as_model_cells(table, name, family, terms, raw)
-                out = part if out is None else out.unionByName(part)
+def releasable_models(spark, d):
+    """Cells of every releasable model of two views without filters, finalised and raw."""
+    ws, out = shop.workspace(spark, d), None
+    for view, response, family, column in (
+            ("sales", "o_totalprice", "gaussian", "o_totalprice"), ("sales", "is_urgent", "binomial", "o_totalprice"),
+            ("customer_sales", "total_price", "gaussian", "total_price"), ("customer_sales", "open_orders", "gaussian", "open_orders"),
+            ("customer_sales", "open_orders", "poisson", "open_orders"), ("customer_sales", "urgent_orders", "poisson", "urgent_orders")):
+        dims = sorted(ws.study.view(view).dims)
+        sweep = cut(C.sweep_cells(ws, view, column, degrees=(1,), hits=response if family == "binomial" else None))
+        part = M.lattice_models(sweep, dims, ws.study, POLICY, response, family)
+        out = part if out is None else out.unionByName(part)
     return ws, cut(out)
 
 
+def _model_sql(view: str, response: str, family: str, dims) -> str:
+    """Names of the releasable models of one response: every cell passes."""
+    parts = []
+    for keys in C.key_sets([x for x in dims if x != response], 3, 1):
+        group = ", ".join(keys)
+        c = f"CASE WHEN {response} THEN 1 ELSE 0 END" if family == "binomial" else response
+        bad = ("bool_or(p < 10 OR n < 10 OR (s > 0 AND (s < 10 OR hit < 10)))" if family == "binomial"
+               else "bool_or(p < 10 OR n < 10 OR dominance > 0.5)")
+        parts.append(f"SELECT '{family}:{response}:{'+'.join(keys)}' AS model FROM (SELECT COUNT(*) AS p, SUM(k) AS n, SUM(c) AS s, "
+                     f"SUM(CASE WHEN c > 0 THEN 1 ELSE 0 END) AS hit, {share('c')} AS dominance FROM (SELECT {group}, person, COUNT(*) AS k, SUM({c}) AS c "
+                     f"FROM {view} GROUP BY {group}, person) GROUP BY {group}) HAVING NOT {bad}")
+    return " UNION ALL ".join(parts)
+
+
+_SMALL_DIMS = ("c_mktsegment", "n_name", "r_name")
+
+
+@query("M22_releasable_models", f"WITH {SALES}, {CUSTOMER_SALES} " + " UNION ALL ".join(
+    _model_sql(*m) for m in (("sales", "o_totalprice", "gaussian", SWEEP_DIMS), ("sales", "is_urgent", "binomial", SWEEP_DIMS),
+                             ("customer_sales", "total_price", "gaussian", _SMALL_DIMS), ("customer_sales", "open_orders", "gaussian", _SMALL_DIMS),
+                             ("customer_sales", "open_orders", "poisson", _SMALL_DIMS), ("customer_sales", "urgent_orders", "poisson", _SMALL_DIMS))))
+def m22_models(spark, d):
+    """Every model over up to three dimensions whose cell tables pass the rules whole."""
+    _, long = releasable_models(spark, d)
+    return long.where(F.col("model_id").endswith(":raw")).select(F.regexp_replace("model_id", ":raw$", "").alias("model")).distinct()
+
+
 @query("M22_rounding_distortion")
 def m22(spark, d):
-    ws, long = _many_models(spark, d)
+    """How far counts rounded for release move the coefficients of all releasable models, by family."""
+    ws, long = releasable_models(spark, d)
     fitted, solved = M.fit(long, ws.study)
-    coefs = cut(M.coefficients(M.level_positions(long, ws.study), solved, M.summaries(fitted)))
+    coefs = cut(M.coefficients(M.level_positions(long, ws.study), solved, M.summaries(fitted, False)))
     name = F.regexp_replace("model_id", ":(raw|released)$", "")
     side = lambda s: coefs.where(F.col("model_id").endswith(":" + s)).select(
         name.alias("model"), "term", "level", F.col("estimate").alias(s))
     both = side("raw").join(side("released"), ["model", "term", "level"])
     delta = both.where("raw <> 0").select(
         F.split("model", ":")[0].alias("family"), F.abs((F.col("released") - F.col("raw")) / F.col("raw")).alias("change"))
-    out = None
-    for family in ("gaussian", "poisson"):
+    delta, out = cut(delta), None
+    for family in ("binomial", "gaussian", "poisson"):
         part = quantile_summary(delta.where(F.col("family") == family), "change").withColumn("family", F.lit(family))
         out = part if out is None else out.unionByName(part)
     return out
