@@ -9,6 +9,7 @@ only on the filterable dimensions, so rows are first reduced to distinct
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -160,6 +161,18 @@ class CohortIndex:
                  .distinct().groupBy("cohort_id").agg(F.count(F.lit(1)).alias("n_persons")))
         return most.where(F.col("n_persons") >= enough).unionByName(exact)
 
+    def classes(self, cohorts: DataFrame) -> DataFrame:
+        """cohort_id, class_id: cohorts of the same combinations are one class, named by the least of them.
+
+        Every combination has persons, so two cohorts select the same rows exactly if they
+        are one class; they are compared by two 64-bit sums over their combinations.
+        """
+        marks = (self.members.join(cohorts.select("cohort_id"), "cohort_id", "left_semi").groupBy("cohort_id")
+                 .agg(F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("combo")).alias("x"),
+                      F.bit_xor(F.xxhash64("combo", F.lit(1))).alias("y")))
+        named = marks.groupBy("k", "x", "y").agg(F.min("cohort_id").alias("class_id"))
+        return cut(marks.join(named, ["k", "x", "y"]).select("cohort_id", "class_id"))
+
     def releasable(self, delta: int, min_persons: int) -> DataFrame:
         """Cohorts of at least ``min_persons``; sizes are exact below 2 · ``delta``."""
         return cut(self.cohort_sizes(max(2 * delta, min_persons)).where(F.col("n_persons") >= min_persons))
@@ -254,17 +267,64 @@ def filtered_dims(cohorts: DataFrame, ws: Workspace, view: str) -> list[str]:
     return [d for d in sorted(kinds) if row[d]]
 
 
+def close_classes(ws: Workspace, view: str, cohorts: DataFrame, delta: int,
+                  min_persons: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Classes of equal releasable cohorts, and the close pairs of classes.
+
+    cohort_id, class_id; and class_a, class_b, n_persons for classes that differ over
+    fewer than ``delta`` persons.  Cohorts of one class differ over nobody.  However many
+    cohorts select the same rows, they are compared once.
+    """
+    min_persons = delta if min_persons is None else min_persons
+    index = CohortIndex(ws, view, cohorts, filtered_dims(cohorts, ws, view))
+    return _close_classes(index, index.releasable(delta, min_persons), delta, min_persons)
+
+
+def _close_classes(index: CohortIndex, sizes: DataFrame, delta: int, min_persons: int) -> tuple[DataFrame, DataFrame]:
+    classes = index.classes(sizes)
+    heads = sizes.join(classes.where("cohort_id = class_id").select("cohort_id"), "cohort_id", "left_semi")
+    pairs = exact_differences(index, candidate_pairs(index, heads, delta, min_persons), delta)
+    return classes, pairs.withColumnsRenamed({"cohort_a": "class_a", "cohort_b": "class_b"})
+
+
+def expand_classes(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """cohort_a, cohort_b, n_persons of every pair of cohorts behind classes and their close pairs."""
+    one = classes.select(F.col("cohort_id").alias("one"), F.col("class_id").alias("class_a"))
+    two = classes.select(F.col("cohort_id").alias("two"), F.col("class_id").alias("class_b"))
+    within = one.join(two, one.class_a == two.class_b).where("one < two").select(
+        "one", "two", F.lit(0).cast("bigint").alias("n_persons"))
+    across = pairs.join(one, "class_a").join(two, "class_b").select("one", "two", "n_persons")
+    return within.unionByName(across).select(
+        F.least("one", "two").alias("cohort_a"), F.greatest("one", "two").alias("cohort_b"), "n_persons")
+
+
 def close_pairs(ws: Workspace, view: str, cohorts: DataFrame, delta: int,
                 min_persons: int | None = None) -> DataFrame:
     """All pairs of releasable cohorts of one view that differ over fewer than
     ``delta`` persons: cohort_a, cohort_b, n_persons.
 
     A cohort is releasable from ``min_persons`` on; without it, one bound serves
-    both purposes.
+    both purposes.  Where many cohorts are equal, :func:`close_classes` says the same in
+    rows that do not multiply.
     """
-    min_persons = delta if min_persons is None else min_persons
-    index = CohortIndex(ws, view, cohorts, filtered_dims(cohorts, ws, view))
-    return exact_differences(index, candidate_pairs(index, index.releasable(delta, min_persons), delta, min_persons), delta)
+    return expand_classes(*close_classes(ws, view, cohorts, delta, min_persons))
+
+
+def enumerated_cohorts(ws: Workspace, view: str, widest: int = 2) -> DataFrame:
+    """Every cohort of up to ``widest`` equalities over the declared category lists of a view.
+
+    cohort_id, view, predicates.  Its size follows from the study's declarations alone.
+    """
+    kinds = ws.study.view(view).dims
+    listed = {d: ws.study.domain(d) for d in sorted(kinds) if kinds[d] == "cat" and ws.study.domain(d)}
+    rows = []
+    for k in range(widest + 1):
+        for dims in combinations(listed, k):
+            for values in product(*(listed[d] for d in dims)):
+                rows.append(("&".join(f"{d}={v}" for d, v in zip(dims, values)), view,
+                             [(d, "==", [str(v)]) for d, v in zip(dims, values)]))
+    return ws.spark(view).createDataFrame(
+        rows, "cohort_id string, view string, predicates array<struct<column:string,op:string,values:array<string>>>")
 
 
 def survey(ws: Workspace, view: str, cohorts: DataFrame, marginal_table: DataFrame,
@@ -276,7 +336,7 @@ def survey(ws: Workspace, view: str, cohorts: DataFrame, marginal_table: DataFra
     min_persons = delta if min_persons is None else min_persons
     index = CohortIndex(ws, view, cohorts, filtered_dims(cohorts, ws, view))
     large = index.releasable(delta, min_persons)
-    close = cut(exact_differences(index, candidate_pairs(index, large, delta, min_persons), delta))
+    close = cut(expand_classes(*_close_classes(index, large, delta, min_persons)))
     bounds = marginal_bounds(close, cohorts, marginal_table)
     total = large.agg(F.count(F.lit(1)).alias("n")).scalar()
     cheap = F.coalesce(F.sum(F.when(F.col("bound") < delta, 1).otherwise(0)), F.lit(0)).cast("bigint")

@@ -189,6 +189,46 @@ def d9_survey(spark, d):
     return D.survey(ws, "sales", cohorts(spark, d), sales_marginals(ws), DELTA)
 
 
+# -- every cohort of up to two declared values -------------------------------------------
+
+NATIONS = tuple(f"NATION_{k}" for k in range(25))
+_LISTED = {"c_mktsegment": shop.SEGMENTS, "n_name": NATIONS, "o_orderpriority": shop.PRIORITIES, "o_orderstatus": shop.STATUSES, "r_name": shop.REGIONS}
+
+
+def _enumerated_sql() -> str:
+    """Names and members of the cohorts: per person a sum that tells its selected combinations."""
+    dims, code = sorted(_LISTED), "bit_xor(hash(c_mktsegment, n_name, o_orderpriority, o_orderstatus, r_name))"
+    parts = [f"SELECT '' AS cohort_id, person, {code} AS code FROM combos GROUP BY person"]
+    for k, one in enumerate(dims):
+        parts.append(f"SELECT '{one}=' || {one}, person, {code} FROM combos GROUP BY {one}, person")
+        parts += [f"SELECT '{one}=' || {one} || '&{two}=' || {two}, person, {code} FROM combos GROUP BY {one}, {two}, person" for two in dims[k + 1:]]
+    return f"""combos AS (SELECT DISTINCT person, {', '.join(dims)} FROM sales),
+members AS ({' UNION ALL '.join(parts)}),
+sizes AS (SELECT cohort_id, COUNT(*) AS k FROM members GROUP BY cohort_id),
+large AS (SELECT * FROM sizes WHERE k >= {DELTA}),
+kept AS (SELECT m.* FROM members m JOIN large USING (cohort_id)),
+common AS (SELECT a.cohort_id AS cohort_a, b.cohort_id AS cohort_b, COUNT(*) AS shared, SUM(CASE WHEN a.code = b.code THEN 1 ELSE 0 END) AS same
+  FROM kept a JOIN kept b ON a.person = b.person AND a.cohort_id < b.cohort_id GROUP BY ALL),
+diffs AS (SELECT cohort_a, cohort_b, CAST(a.k + b.k - shared - same AS BIGINT) AS n_persons
+  FROM common JOIN large a ON a.cohort_id = cohort_a JOIN large b ON b.cohort_id = cohort_b)"""
+
+
+@query("D9_enumerated_close_pairs", f"WITH {SALES}, {_enumerated_sql()} SELECT * FROM diffs WHERE n_persons < {DELTA}")
+def d9_enumerated(spark, d):
+    """Close pairs among all cohorts of up to two declared values of five dimensions."""
+    ws = shop.workspace(spark, d, shop.study(n_name=NATIONS))
+    return D.close_pairs(ws, "sales", D.enumerated_cohorts(ws, "sales"), DELTA)
+
+
+@query("D9_enumerated_classes", f"""WITH {SALES}, {_enumerated_sql()},
+equal AS (SELECT cohort_a, cohort_b FROM diffs WHERE n_persons = 0)
+SELECT cohort_id, least(cohort_id, coalesce((SELECT MIN(cohort_a) FROM equal WHERE cohort_b = cohort_id), cohort_id)) AS class_id FROM large""")
+def d9_classes(spark, d):
+    """Which of the enumerated cohorts select the same rows."""
+    ws = shop.workspace(spark, d, shop.study(n_name=NATIONS))
+    return D.close_classes(ws, "sales", D.enumerated_cohorts(ws, "sales"), DELTA)[0]
+
+
 # -- a log of releases derived from orders: who asked, when, over which cohort -----------
 
 def release_log(spark, d):
