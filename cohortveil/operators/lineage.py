@@ -11,10 +11,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations, product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scans import running_sum
 from ..session import cut
 from ..specs import Filter
 from ..study import PERSON
@@ -68,44 +69,105 @@ def contribution_difference(ws: Workspace, quantity: str, view_a: str, a: tuple[
 
 # -- tables of cohorts ---------------------------------------------------------------
 
+def selections(cohorts: DataFrame, kinds: DataFrame) -> DataFrame:
+    """What a cohort selects of each dimension it filters: cohort_id, view, dim, lo, hi, inc, exc.
+
+    A whole-number range, the values listed for inclusion (NULL: all) and those excluded;
+    all predicates on one dimension hold together.  ``kinds``: view, dim, kind.
+    """
+    p = cohorts.select("cohort_id", "view", F.explode("predicates").alias("p")).select(
+        "cohort_id", "view", F.col("p.column").alias("dim"), F.col("p.op").alias("op"), F.col("p.values").alias("values"))
+    is_int = F.col("kind") == "int"
+    values = F.when(is_int, F.transform("values", lambda v: v.try_cast("bigint").cast("string"))).otherwise(F.col("values"))
+    op, bound = F.col("op"), F.when(is_int, F.element_at("values", 1).try_cast("bigint"))
+    ranged = op.isin("<", "<=", ">", ">=")
+    none = F.array().cast("array<string>")
+    # an order that the kind does not have, or a bound that is no number, selects nothing
+    inc = F.when(op.isin("==", "in"), F.array_compact(values)).when(ranged & bound.isNull(), none)
+    rows = p.join(kinds, ["view", "dim"]).select(
+        "cohort_id", "view", "dim", inc.alias("inc"), F.when(op == "!=", F.array_compact(values)).alias("exc"),
+        F.when(op == ">", bound + 1).when(op == ">=", bound).alias("lo"), F.when(op == "<", bound - 1).when(op == "<=", bound).alias("hi"))
+    both = lambda lists: F.reduce(F.slice(lists, 2, F.greatest(F.size(lists) - 1, F.lit(0))), F.get(lists, F.lit(0)),
+                                  lambda x, y: F.array_intersect(x, y))
+    grouped = rows.groupBy("cohort_id", "view", "dim").agg(
+        F.max("lo").alias("lo"), F.min("hi").alias("hi"), F.collect_list("inc").alias("incs"), F.flatten(F.collect_list("exc")).alias("exc"))
+    return grouped.select("cohort_id", "view", "dim", "lo", "hi", F.when(F.size("incs") > 0, F.array_sort(F.array_distinct(both(F.col("incs"))))).alias("inc"),
+                          F.array_sort(F.array_distinct("exc")).alias("exc"))
+
+
+_SELECTION = ("lo", "hi", "inc", "exc")
+
+
+def _selection_key(*columns: str) -> Column:
+    return F.to_json(F.struct(*(F.col(c).alias(k) for c, k in zip(columns, _SELECTION))), {"ignoreNullFields": "false"})
+
+
+def selection_sizes(chosen: DataFrame, marginal_table: DataFrame) -> DataFrame:
+    """view, dim, key, size: marginals added up over each distinct selection.
+
+    A range is two look-ups in the running total of its dimension; a listed or excluded value is
+    one look-up.  No selection meets the values it does not name.
+    """
+    distinct = cut(chosen.select("view", "dim", *_SELECTION, _selection_key(*_SELECTION).alias("key")).distinct())
+    inside = lambda v: (F.coalesce(v.try_cast("bigint") >= F.col("lo"), F.col("lo").isNull())
+                        & F.coalesce(v.try_cast("bigint") <= F.col("hi"), F.col("hi").isNull()))
+    named = F.when(F.col("inc").isNotNull(), F.filter("inc", lambda v: inside(v) & ~F.array_contains("exc", v))).otherwise(F.filter("exc", inside))
+    points = distinct.select("view", "dim", "key", F.when(F.col("inc").isNull(), -1).otherwise(1).alias("sign"), F.explode(named).alias("value")).join(
+        marginal_table.select("view", "dim", "value", "n_persons"), ["view", "dim", "value"]).select(
+        "view", "dim", "key", (F.col("sign") * F.col("n_persons")).alias("part"))
+    ranges = distinct.where("inc is null")
+    ends = ranges.select("view", "dim", "key", F.inline(F.array(
+        F.struct(F.lit(1).alias("sign"), F.col("hi").alias("at")), F.struct(F.lit(-1).alias("sign"), (F.col("lo") - 1).alias("at")))))
+    # without an upper end a range takes the whole total of values present, without a lower end nothing off
+    present = marginal_table.where("value is not null").groupBy("view", "dim").agg(F.sum("n_persons").alias("total"))
+    open_ = ends.where("at is null and sign = 1").join(present, ["view", "dim"]).select("view", "dim", "key", F.col("total").alias("part"))
+    asked = ends.where("at is not null").select("view", "dim", "at").distinct()
+    held = marginal_table.where("kind = 'int' and value is not null").select(
+        "view", "dim", F.col("value").try_cast("bigint").alias("at"), F.lit(0).alias("asked"), "n_persons")
+    line = running_sum(held.unionByName(asked.select("*", F.lit(1).alias("asked"), F.lit(0).cast("bigint").alias("n_persons"))),
+                       ["view", "dim"], ["at", "asked"], F.col("n_persons"), "upto").where("asked = 1").select("view", "dim", "at", "upto")
+    bounds = ends.join(line, ["view", "dim", "at"]).select("view", "dim", "key", (F.col("sign") * F.col("upto")).alias("part"))
+    # crossed ends select nothing
+    parts = points.unionByName(open_).unionByName(bounds).groupBy("view", "dim", "key").agg(F.sum("part").alias("size"))
+    crossed = F.coalesce(F.col("lo") > F.col("hi"), F.lit(False)) & F.col("inc").isNull()
+    return distinct.join(parts, ["view", "dim", "key"], "left").select(
+        "view", "dim", "key", F.when(crossed, 0).otherwise(F.coalesce("size", F.lit(0))).alias("size"))
+
+
 def marginal_bounds(pairs: DataFrame, cohorts: DataFrame, marginal_table: DataFrame) -> DataFrame:
     """Upper bound on the difference of every listed pair from marginals alone.
 
     ``pairs``: cohort_a, cohort_b on one view.  Per dimension filtered by either
-    side, the marginals of the values exactly one side selects are added.
+    side, the marginals of the values exactly one side selects are added:
+    those of one and of the other, less twice those of what both select.
     """
-    marginal_table, key = cut(marginal_table), pairs.select("cohort_a", "cohort_b")
-    chosen = selected_values(cohorts, marginal_table).where("chosen").select(
-        "cohort_id", "view", "dim", "value")
-    dims = cohorts.select("cohort_id", "view", F.explode("predicates.column").alias("dim")).distinct()
-    # values selected by a side that filters the dimension, with their sizes
-    # a missing value satisfies no predicate, so chosen values are never NULL
-    sized = cut(chosen.join(marginal_table.select("view", "dim", "value", "n_persons"),
-                            ["view", "dim", "value"]).select("cohort_id", "dim", "value", "n_persons"))
+    marginal_table, key = cut(marginal_table), ["cohort_a", "cohort_b"]
+    kinds = marginal_table.select("view", "dim", "kind").distinct()
+    chosen = cut(selections(cohorts, kinds))
+    side = lambda p: pairs.select(*key).join(
+        chosen.select(F.col("cohort_id").alias(f"cohort_{p}"), "view", "dim", *(F.col(c).alias(f"{c}_{p}") for c in _SELECTION), F.lit(True).alias(f"has_{p}")),
+        f"cohort_{p}")
+    # at most one row per pair and filtered dimension
+    both = (side("a").unionByName(side("b"), allowMissingColumns=True).groupBy(*key, "view", "dim")
+            .agg(*(F.max(f"{c}_{p}").alias(f"{c}_{p}") for p in "ab" for c in (*_SELECTION, "has"))))
+    whole = F.col("has_a") & F.col("has_b")
+    meet = (F.when(F.col("inc_a").isNull(), F.col("inc_b")).when(F.col("inc_b").isNull(), F.col("inc_a"))
+            .otherwise(F.array_sort(F.array_intersect("inc_a", "inc_b"))))
+    both = cut(both.withColumns({
+        "lo_m": F.when(whole, F.greatest("lo_a", "lo_b")), "hi_m": F.when(whole, F.least("hi_a", "hi_b")), "inc_m": F.when(whole, meet),
+        "exc_m": F.when(whole, F.array_sort(F.array_union("exc_a", "exc_b")))}))
+    of = lambda p: both.where(whole if p == "m" else F.col(f"has_{p}")).select("view", "dim", *(F.col(f"{c}_{p}").alias(c) for c in _SELECTION))
+    sizes = cut(selection_sizes(of("a").unionByName(of("b")).unionByName(of("m")), marginal_table))
+    for p in "abm":
+        named = sizes.select("view", "dim", F.col("key").alias(f"key_{p}"), F.col("size").alias(f"size_{p}"))
+        both = both.withColumn(f"key_{p}", F.when(whole if p == "m" else F.col(f"has_{p}"), _selection_key(*(f"{c}_{p}" for c in _SELECTION)))).join(
+            named, ["view", "dim", f"key_{p}"], "left")
     totals = marginal_table.groupBy("view", "dim").agg(F.sum("n_persons").alias("total"))
-    size = cut(dims.join(totals, ["view", "dim"]).join(
-        sized.groupBy("cohort_id", "dim").agg(F.sum("n_persons").alias("mine")),
-        ["cohort_id", "dim"], "left")
-        .select("cohort_id", "dim", "total", F.coalesce("mine", F.lit(0)).alias("mine")))
-
-    def side(p):
-        return key.join(size.withColumnRenamed("cohort_id", f"cohort_{p}"), f"cohort_{p}").select(
-            "cohort_a", "cohort_b", "dim", "total", F.col("mine").alias(f"m_{p}"))
-
-    both = (side("a").unionByName(side("b"), allowMissingColumns=True)
-            .groupBy("cohort_a", "cohort_b", "dim")
-            .agg(F.max("total").alias("total"), F.max("m_a").alias("m_a"), F.max("m_b").alias("m_b")))
-    common = (key.join(sized.select(F.col("cohort_id").alias("cohort_a"), "dim", "value", "n_persons"), "cohort_a")
-              .join(sized.select(F.col("cohort_id").alias("cohort_b"), "dim", "value"),
-                    ["cohort_b", "dim", "value"])
-              .groupBy("cohort_a", "cohort_b", "dim").agg(F.sum("n_persons").alias("shared")))
-    # |A| + |B| − 2|A∩B| per dimension; a side without a filter selects everything
-    part = (F.when(F.col("m_a").isNull(), F.col("total") - F.col("m_b"))
-            .when(F.col("m_b").isNull(), F.col("total") - F.col("m_a"))
-            .otherwise(F.col("m_a") + F.col("m_b") - 2 * F.coalesce("shared", F.lit(0))))
-    summed = (both.join(common, ["cohort_a", "cohort_b", "dim"], "left")
-              .groupBy("cohort_a", "cohort_b").agg(F.sum(part).alias("bound")))
-    return pairs.join(summed, ["cohort_a", "cohort_b"], "left").select(
+    # a side without a filter selects everything
+    part = (F.when(F.col("has_a").isNull(), F.col("total") - F.col("size_b")).when(F.col("has_b").isNull(), F.col("total") - F.col("size_a"))
+            .otherwise(F.col("size_a") + F.col("size_b") - 2 * F.col("size_m")))
+    summed = both.join(totals, ["view", "dim"]).groupBy(*key).agg(F.sum(part).alias("bound"))
+    return pairs.join(summed, key, "left").select(
         *pairs.columns, F.coalesce("bound", F.lit(0)).cast("bigint").alias("bound"))
 
 
