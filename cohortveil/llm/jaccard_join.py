@@ -296,4 +296,4 @@ def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     columns = [F.col(f"`{c}`") for c in documents.columns]
     rows = documents.select(F.struct(*columns).alias("row"), F.col(id_col).alias("own_id"), _whole(text_col).alias("own_whole"))
     rows = rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")) & (F.col("own_whole") == F.col("kept_whole")), "left_semi")
-    return rows.groupBy("own_id", "own_whole").agg(F.min("row").alias("row")).select("row.*")
+    return rows.groupBy("own_id", "own_whole").agg(F.first("row").alias("row")).select("row.*")

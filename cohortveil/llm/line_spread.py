@@ -3,21 +3,23 @@
 A line that stands on many distinct sites is boilerplate.  Sites per line are
 counted with HyperLogLog sketches that merge by aggregation; lines whose estimate
 is near the threshold get an exact distinct count.  A boilerplate line stays once,
-where it comes first (least document id, then line number); elsewhere it goes.
+where it comes first (least document id, then the hash of the text, then line number);
+elsewhere it goes.
 
 DataFrame functions only.  Sketches and minima combine before the shuffle, so a
-line that stands in a third of all documents is one row per task.
+line that stands in a third of all documents is one row per task; where lines meet what
+was found out about them, they are dealt over ``SALT`` tasks each.
 
 Edge cases: lines are compared without blanks at their ends; blank lines are never
 boilerplate.  A null site is a site of its own.  A null text stays null, an empty
-one empty.  Null ids come last in the order.  Equal rows keep or lose the same
-lines.  Repeats of a line inside one document all go, but for the first place.
+one empty.  Ids are of any type; null ids come last in the order, told apart by their texts.
+Rows equal in id and text keep or lose the same lines.  Repeats of a line inside one document all go, but for the first place.
 All columns of the documents are kept.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -28,7 +30,8 @@ LEAST_SITES = 10
 #: errors of the sketch, inside which lines are counted exactly.
 SKETCH_BITS, BAND_ERRORS = 11, 5.0
 _ERROR = 1.04 / 2 ** (SKETCH_BITS / 2)
-_LAST = (1 << 63) - 1
+#: Parts of a line in joins; what is joined to it stands there as often.
+SALT = 8
 
 
 def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source") -> DataFrame:
@@ -41,16 +44,28 @@ def lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.where(line != "").select("id", "body", "site", "place", F.xxhash64(line).alias("line"))
 
 
+def _first() -> Column:
+    """Order of the places of a line."""
+    return F.struct(F.col("id").isNull().alias("late"), "id", "body", "place")
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("part", F.pmod(F.xxhash64("body", "place"), F.lit(SALT)))
+
+
+def _everywhere(few: DataFrame) -> DataFrame:
+    return few.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+
+
 def boilerplate(found: DataFrame, least_sites: int = LEAST_SITES) -> DataFrame:
-    """(line, keep) for lines on at least ``least_sites`` sites; ``keep`` is the (id, place) that stays."""
-    order = F.struct(F.coalesce(F.col("id"), F.lit(_LAST)).alias("id"), "place")
+    """(line, keep) for lines on at least ``least_sites`` sites; ``keep`` is the place that stays."""
     spread = found.groupBy("line").agg(F.hll_sketch_agg("site", F.lit(SKETCH_BITS)).alias("sketch"),
-                                       F.min(order).alias("keep"))
+                                       F.min(_first()).alias("keep"))
     band = least_sites * _ERROR * BAND_ERRORS + 1
     spread = cut(spread.select("line", "keep", F.hll_sketch_estimate("sketch").alias("sites"))
                  .where(F.col("sites") >= least_sites - band))
     near = spread.where(F.col("sites") <= least_sites + band).select("line")
-    exact = (found.join(near, "line", "left_semi").select("line", "site").distinct()
+    exact = (_dealt(found).join(_everywhere(near), ["line", "part"], "left_semi").select("line", "site").distinct()
              .groupBy("line").agg(F.count("*").alias("exact")))
     return (spread.join(exact, "line", "left").where(F.coalesce("exact", "sites") >= least_sites)
             .select("line", "keep"))
@@ -64,8 +79,7 @@ def clean(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     found = cut(lines(documents, id_col, text_col, site_col))
     marks = boilerplate(found, least_sites)
-    here = F.struct(F.coalesce(F.col("id"), F.lit(_LAST)).alias("id"), "place")
-    drops = (found.join(marks, "line").where(here != F.col("keep")).groupBy("id", "body")
+    drops = (_dealt(found).join(_everywhere(marks), ["line", "part"]).where(~_first().eqNullSafe(F.col("keep"))).groupBy("id", "body")
              .agg(F.collect_set("place").alias("drop")))
     names = documents.columns
     left = documents.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)])

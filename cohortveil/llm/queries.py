@@ -190,21 +190,18 @@ def language(spark, folder):
 
 _LINES_SQL = """
 WITH parts AS (
-  SELECT doc_id, coalesce(source, '') AS site, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+  SELECT doc_id, md5(text) AS body, coalesce(source, '') AS site, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
 lines AS (
-  SELECT doc_id, site, unnest(range(len(lines))) AS place, trim(unnest(lines), ' ' || chr(9) || chr(13)) AS line FROM parts),
-marks AS (
-  SELECT line, min((coalesce(doc_id, 9223372036854775807), place)) AS keep
-  FROM lines WHERE line <> '' GROUP BY line HAVING count(DISTINCT site) >= 10),
-drops AS (
-  SELECT doc_id, list(place) AS gone FROM lines JOIN marks USING (line)
-  WHERE (coalesce(doc_id, 9223372036854775807), place) <> keep GROUP BY doc_id)
+  SELECT doc_id, body, site, unnest(range(len(lines))) AS place, trim(unnest(lines), ' ' || chr(9) || chr(13)) AS line FROM parts),
+placed AS (SELECT *, (doc_id IS NULL, coalesce(doc_id, 0), body, place) AS here FROM lines WHERE line <> ''),
+marks AS (SELECT line, min(here) AS keep FROM placed GROUP BY line HAVING count(DISTINCT site) >= 10),
+drops AS (SELECT doc_id, body, list(DISTINCT place) AS gone FROM placed JOIN marks USING (line) WHERE here <> keep GROUP BY doc_id, body)
 SELECT d.doc_id,
   CASE WHEN gone IS NULL THEN text
        ELSE array_to_string([x[1] FOR x IN list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10)))))
                              IF NOT list_contains(gone, x[2])], chr(10)) END AS text,
   coalesce(len(gone), 0)::INT AS removed_lines
-FROM documents d LEFT JOIN drops ON d.doc_id = drops.doc_id
+FROM documents d LEFT JOIN drops ON d.doc_id IS NOT DISTINCT FROM drops.doc_id AND md5(d.text) = drops.body
 """
 
 

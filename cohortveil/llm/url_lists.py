@@ -11,8 +11,10 @@ days; verdicts return to the captures by an equality join that Spark may split.
 
 Edge cases: a URL that is null or has no host, and a capture without a date, is
 judged by nothing: verdict ``none``.  Entries with a null rule, list, action or date
-are ignored.  The host of a rule is read in lower case, its path as it stands.  Of several entries of one rule on one day a removal wins; adding an
-active rule again starts a new interval.  Ties between rules go to allowing ones,
+are ignored.  A rule is read as a URL is, before its entries are grouped: blanks around it go, its
+host is in lower case without a final dot, its path has its own case, single slashes and one at the
+end; a host with a bare slash is the host.  Of several entries of one rule on one day a removal
+wins; adding an active rule again starts a new interval.  Ties between rules go to allowing ones,
 then to the last list by name.  Repeated captures are judged each.
 """
 
@@ -28,7 +30,7 @@ FOREVER = "9999-12-31"
 
 def host_of(url: Column) -> Column:
     """Host in lower case, without user, port and a final dot; null if there is none."""
-    place = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)
+    place = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1)
     return F.nullif(F.regexp_replace(F.lower(place), r"\.$", ""), F.lit(""))
 
 
@@ -47,16 +49,23 @@ def rule_keys(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(hosts, paths))
 
 
+def rule_of(rule: Column) -> Column:
+    """A rule in the form of ``rule_keys``; null if it has no host."""
+    bare = F.btrim(rule, F.lit(" \t\r\n"))
+    parts = F.filter(F.split(bare, "/"), lambda s: s != "")
+    host = F.when(~F.startswith(bare, F.lit("/")), F.regexp_replace(F.lower(F.get(parts, F.lit(0))), r"\.$", ""))
+    path = F.array_join(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), "/")
+    return F.nullif(F.concat(host, F.when(path != "", F.concat(F.lit("/"), path, F.lit("/"))).otherwise("")), F.lit(""))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, rule, effect, valid_from, valid_until): until is the first day it no longer holds.
 
     ``entries`` has list, rule, effect (block or allow), action (add or remove) and
     day.  A rule has at most one entry per day once reduced, which bounds the window.
     """
-    place = F.split("rule", "/", 2)
-    folded = F.concat_ws("/", F.lower(F.get(place, F.lit(0))), F.get(place, F.lit(1)))
-    daily = (entries.where("list is not null and rule is not null and action is not null and day is not null")
-             .withColumn("rule", folded).groupBy("list", "rule", "day")
+    daily = (entries.withColumn("rule", rule_of(F.col("rule")))
+             .where("list is not null and rule is not null and action is not null and day is not null").groupBy("list", "rule", "day")
              .agg(F.max("action").alias("action"), F.max("effect").alias("effect")))
     following = F.lead("day").over(W.partitionBy("list", "rule").orderBy("day"))
     return (daily.withColumn("valid_until", F.coalesce(following, F.to_date(F.lit(FOREVER)))).where("action = 'add'")

@@ -120,3 +120,10 @@ def test_components_of_long_chains(spark):
     chain = [(f"{i:04d}", f"{i + 1:04d}") for i in range(0, 60)] + [("a", "b"), ("c", "b"), ("z", "z"), (None, "q")]
     out = {r.node: r.label for r in components(spark.createDataFrame(chain, "a string, b string")).collect()}
     assert set(out.values()) == {"0000", "a"} and len(out) == 64
+
+
+def test_columns_of_any_type_are_kept(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, {"a": 1}), (1, text, {"a": 1}), (2, text.upper(), {"b": 2}), (3, "other words", None)],
+                                 "doc_id long, text string, tags map<string, int>")
+    assert sorted((r.doc_id, str(r.tags)) for r in J.keep_one(docs).collect()) == [(1, "{'a': 1}"), (3, "None")]

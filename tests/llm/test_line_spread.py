@@ -53,3 +53,13 @@ def test_odd_documents_and_none(spark, odd_documents, no_documents):
 def test_no_python_on_executors(spark, sf):
     df = S.clean(spark.read.parquet(f"{sf}/documents.parquet"))
     assert "Python" not in df._jdf.queryExecution().toString() and "Arrow" not in df._jdf.queryExecution().toString()
+
+
+def test_null_and_string_ids_keep_a_line_once(spark):
+    rows = [(None, f"shared\nown {k}", f"site{k}") for k in range(12)]
+    docs = spark.createDataFrame([(a, b, None, c, None) for a, b, c in rows], DOCS)
+    kept = [r.text for r in S.clean(docs, removed_col="gone").collect()]
+    assert sum(t.startswith("shared") for t in kept) == 1 and len(kept) == 12
+    named = spark.createDataFrame([(f"d{k:02d}", f"shared\nown {k}", f"site{k}") for k in range(12)], "doc_id string, text string, source string")
+    out = {r.doc_id: r.text for r in S.clean(named).collect()}
+    assert out["d00"] == "shared\nown 0" and all(out[f"d{k:02d}"] == f"own {k}" for k in range(1, 12))

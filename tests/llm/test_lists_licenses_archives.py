@@ -51,6 +51,17 @@ def test_rules_keep_the_case_of_paths_only(spark):
     assert all(r.verdict == r.want for r in U.judge(frame, rules).collect())
 
 
+def test_rules_in_other_spellings(spark):
+    rules = ["example.com/docs", "c.com/", "e.com.", " D.com ", "f.com//a///b/", "[::1]", "/nothing", "", "G.org./X"]
+    entries = spark.createDataFrame([("l", r, "block", "add", day(1)) for r in rules], "list string, rule string, effect string, action string, day date")
+    urls = [("https://example.com/docs", "block"), ("https://example.com/docs/x?q", "block"), ("https://example.com/docsx", "none"),
+            ("http://c.com/any", "block"), ("http://sub.e.com./", "block"), ("http://d.com", "block"), ("http://f.com/a/b", "block"),
+            ("http://f.com/a", "none"), ("http://[::1]:8080/x", "block"), ("http://[::2]/", "none"), ("http://g.org/X/y", "block"), ("http://g.org/x/y", "none")]
+    frame = spark.createDataFrame([(u, day(2), w) for u, w in urls], "url string, fetched_on date, want string")
+    got = U.judge(frame, U.intervals(entries)).collect()
+    assert all(r.verdict == r.want for r in got) and len(got) == len(urls), [r for r in got if r.verdict != r.want]
+
+
 def plain_lcs(a, b):
     line = [0] * (len(b) + 1)
     for x in a:
