@@ -78,14 +78,19 @@ def separability(samples: DataFrame, group: str, value: str, pairs: DataFrame) -
     """For pairs (a, b) of groups: samples needed to tell their medians apart.
 
     (2·sd/gap)² with the gap of the medians and the population deviation of
-    both groups together; infinite without a gap, 1 without spread.
+    both groups together; infinite without a gap, 1 without spread.  Medians are read off
+    counts of distinct values, so a value that most rows share is one row.
     """
-    ranked = rank_rows(samples.select(group, F.col(value).cast("double").alias(value)), [value], [group])
+    counts = samples.where(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias(value)).agg(
+        F.count(F.lit(1)).alias("w"))
+    upto = running_sum(counts, [group], [value], F.col("w"), "upto")
     size = samples.groupBy(group).agg(
         F.count(value).cast("double").alias("k"), F.avg(value).cast("double").alias("mean"),
         F.var_pop(value).alias("var"))
-    middle = (ranked.join(size, group)
-              .where(F.col("rank").isin(F.floor((F.col("k") + 1) / 2), F.ceil((F.col("k") + 1) / 2))))
+    # the one or two middle places, each held by one distinct value
+    places = F.array(F.floor((F.col("k") + 1) / 2), F.ceil((F.col("k") + 1) / 2))
+    middle = (upto.join(size, group).withColumn("place", F.explode(places))
+              .where((F.col("place") <= F.col("upto")) & (F.col("place") > F.col("upto") - F.col("w"))))
     medians = middle.groupBy(group).agg(
         F.avg(value).alias("med"), F.max("k").alias("k"), F.max("mean").alias("mean"),
         F.max("var").alias("var"))
