@@ -6,6 +6,11 @@ look up the index; hits of one template near one diagonal make a candidate.  A
 banded alignment of the template's words with the document's then gives matched
 coverage and span.
 
+A match needs its share of the template's words (coverage) and of all words from its first
+to its last, those of the template that are missing among them (identity).  A replaced word counts
+against identity twice: at identity 0.8 a match with replaced words covers 0.89 of its template;
+one with words left out needs its coverage only.
+
 The shortest run that is sure to share a fingerprint has WINDOW + GRAM - 1 words,
 the length of the shortest template.
 
@@ -32,6 +37,8 @@ GRAM, WINDOW = 2, 2
 #: Least share of a template's words that a match covers, and of its fingerprints that
 #: a candidate hits.
 COVERAGE, CANDIDATE_SHARE = 0.8, 0.4
+#: Least share of matched words among all words of the template and the span.
+IDENTITY = 0.8
 #: Words that may be added or missing along a match, as a share of the template.
 BAND = 0.2
 
@@ -170,7 +177,7 @@ def align(template: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best[:, -1], begin[:, -1], end
 
 
-def matches(words: Words, index: Index, found: np.ndarray, coverage: float) -> list[tuple]:
+def matches(words: Words, index: Index, found: np.ndarray, coverage: float, least: float = IDENTITY) -> list[tuple]:
     """(text, template, coverage, identity, first word, word after the last) of the aligned candidates.
 
     Coverage is the matched share of the template; identity also counts the words
@@ -191,7 +198,7 @@ def matches(words: Words, index: Index, found: np.ndarray, coverage: float) -> l
             back = back.reshape(-1)
             share = length / size
             identity = length / np.maximum(size + (end - begin) - length, 1)
-            good = (share >= coverage) & (identity >= coverage)
+            good = (share >= coverage) & (identity >= least)
             for i in np.flatnonzero(good[back]):
                 k = back[i]
                 out.append((int(part[i, 0]), int(t), float(share[k]), float(identity[k]), int(at[i, 0] + begin[k]),
@@ -207,7 +214,7 @@ def matches(words: Words, index: Index, found: np.ndarray, coverage: float) -> l
 
 
 def scan(documents: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id",
-         text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+         text_col: str = "text", coverage: float = COVERAGE, identity: float = IDENTITY) -> DataFrame:
     """One row per match: document id, license, coverage, identity, start and length (code points).
 
     Templates are the caller's argument and travel with the tasks; they are a list
@@ -224,7 +231,7 @@ def scan(documents: DataFrame, templates: dict[str, str] | None = None, id_col:
             rows = []
             for at, texts in chunks(batch.column(1).to_pylist()):
                 w = Words(texts)
-                for t, k, share, same, a, b in matches(w, held, candidates(w, held), coverage):
+                for t, k, share, same, a, b in matches(w, held, candidates(w, held), coverage, identity):
                     lo = int(w.begin[a] - w.base[t])
                     rows.append((at + t, held.names[k], share, same, lo, int(w.end[b - 1] - w.base[t]) - lo))
             columns = list(zip(*rows)) if rows else [[]] * 6

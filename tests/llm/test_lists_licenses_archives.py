@@ -148,3 +148,16 @@ def test_offsets_are_those_of_the_written_archive(spark, tmp_path):
         piece = data[r.offset:r.offset + r.length]
         assert piece.startswith(b"WARC/1.0\r\n") and piece.endswith(b"\r\n\r\n")
         assert int(re.search(rb"Content-Length: (\d+)", piece)[1]) == len(piece.split(b"\r\n\r\n", 1)[1]) - 4
+
+
+def test_bounds_of_coverage_and_identity(spark):
+    template = " ".join(f"word{k}" for k in range(40))
+    w = template.split()
+    replaced = lambda n: " ".join("other" if 3 < k <= 3 + n else x for k, x in enumerate(w))
+    missing = lambda n: " ".join(x for k, x in enumerate(w) if not 3 < k <= 3 + n)
+    texts = [replaced(4), replaced(5), missing(8), missing(9)]
+    docs = spark.createDataFrame([(i, "before " + t + " after") for i, t in enumerate(texts)], "doc_id int, text string")
+    ids = lambda **bounds: sorted(r.doc_id for r in C.scan(docs, {"t": template}, **bounds).collect())
+    assert ids() == [0, 2]              # 4 of 40 replaced: 36 of 44 words alike; 8 of 40 missing: 32 of 40
+    assert ids(identity=0.77) == [0, 1, 2]
+    assert ids(coverage=0.7, identity=0.7) == [0, 1, 2, 3]
