@@ -31,6 +31,8 @@ from ..session import cut
 
 #: Content words of a chain, and the least similarity of a pair.
 CHAIN, THRESHOLD = 3, 0.8
+#: Control character between an anchor and the word after it.
+MARK = "\u0001"
 #: Hexadecimal digits of a signature in a fingerprint: hashes have 32 bits.
 DIGITS = 8
 # Anchor words of English, German, French and Spanish.
@@ -55,20 +57,22 @@ def signatures(text: Column) -> Column:
 def marked_signatures(text: Column) -> Column:
     """The struct (set, anchored): a text's signatures, and whether they are anchored chains.
 
-    Anchors are folded into the content word that follows: "the house of the big"
-    becomes "the~house", "of~the~big", and a chain starts at every marked word.
+    Anchors are folded into the content word that follows, behind a mark that texts lose
+    first: "the house of the big" becomes "the+house", "of+the+big", and a chain starts at
+    every marked word.
     """
     whole = F.coalesce(text, F.lit(""))
+    bare = F.translate(F.lower(whole), MARK, " ")
     names = "|".join(sorted(set(ANCHORS)))
     # an anchor glues itself to the word after it
     glued = F.regexp_replace(
-        F.lower(whole), rf"(?<![\p{{L}}\p{{N}}])({names})(?![\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}]+(?=[\p{{L}}\p{{N}}])", "$1~")
-    words = F.filter(F.split(glued, r"[^\p{L}\p{N}~]+", -1), lambda w: F.regexp_replace(w, "~", "") != "")
+        bare, rf"(?<![\p{{L}}\p{{N}}])({names})(?![\p{{L}}\p{{N}}])[^\p{{L}}\p{{N}}]+(?=[\p{{L}}\p{{N}}])", "$1" + MARK)
+    words = F.filter(F.split(glued, rf"[^\p{{L}}\p{{N}}{MARK}]+", -1), lambda w: F.translate(w, MARK, "") != "")
 
     def sets(held: Column) -> Column:
         def chain(w: Column, i: Column) -> Column:
-            following = [F.substring_index(F.get(held, i + k), "~", -1) for k in range(1, CHAIN)]
-            return F.when(w.contains("~"), F.hash(w, *following))
+            following = [F.substring_index(F.get(held, i + k), MARK, -1) for k in range(1, CHAIN)]
+            return F.when(w.contains(MARK), F.hash(w, *following))
 
         found = F.array_sort(F.array_distinct(F.array_compact(F.transform(held, chain))))
         short = F.when(F.size(held) > 0, F.hash(F.lit("start"), F.array_join(held, " "))).otherwise(
@@ -132,53 +136,53 @@ def classes(sets: DataFrame) -> DataFrame:
     return sets.join(first, "signatures").select("member", "first")
 
 
-def successors(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, body, size, next_id, next_body) of the distinct (id, text): who comes next, the last wraps around.
-
-    Only ids and hashes are ordered: range partitions, with the first row of each
-    partition handed to the one before it.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    slim = rows.groupBy(F.col(id_col).alias("id"), F.xxhash64(text).alias("body")).agg(F.max(F.length(text)).alias("size"))
-    order = [F.col("id").asc_nulls_last(), F.col("body")]
-    parts = _ranged(slim, (), order)
-    # one row per partition, as many as shuffle partitions
-    heads = parts.groupBy("_part").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "body")).alias("head"))
-    every = W.orderBy("_part").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    heads = heads.select("_part", F.last("head").over(W.orderBy(F.desc("_part")).rowsBetween(-1, -1)).alias("following"),
-                         F.first("head").over(every).alias("very_first"))
-    inside = W.partitionBy("_part").orderBy(*order)
-    placed = parts.withColumn("next", F.lead(F.struct(F.col("id").isNull().alias("late"), "id", "body")).over(inside))
-    met = placed.join(heads, "_part").withColumn("next", F.coalesce("next", "following", "very_first"))
-    return met.select("id", "body", "size", F.col("next.id").alias("next_id"), F.col("next.body").alias("next_body"))
-
-
 def edited_fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of every text and of its edited text, with likenesses.
 
     The edited text replaces the last floor(n / 2) code points by the first as many
-    (or all) of the next document's.  Whole texts are shuffled by id once, for both
-    joins; a next document sends only the head that is asked for, and its own set.
+    (or all) of the next document's.  Ids and hashes alone are ranged first; then whole
+    texts are shuffled once, each to the range of its id, and every text meets the next one
+    and its set there.  Only the first text of every range travels besides, to the last
+    one of the range before.
     """
-    # a key that is never null, so that both joins and the step between share one partitioning
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     texts = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.select("id", "text", name("id").alias("name"), F.xxhash64("text").alias("body"))
-    chain = cut(successors(documents, id_col, text_col))
-    # what each document asks of its successor
-    asked = chain.select(name("next_id").alias("name"), F.col("next_body").alias("body"), name("id").alias("for_name"),
-                         F.col("body").alias("for_body"), F.floor(F.col("size") / 2).cast("int").alias("half"))
-    sent = texts.join(asked, ["name", "body"]).select(
-        F.col("for_name").alias("name"), F.col("for_body").alias("body"), F.expr("substring(text, 1, half)").alias("head"),
-        signatures(F.col("text")).alias("next_set"))
-    # a successor that stands in several equal rows answers once
-    met = texts.join(sent.dropDuplicates(["name", "body"]), ["name", "body"])
-    kept = F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))")
-    rows = met.select("id", "text", F.concat(kept, "head").alias("edited"), "next_set")
-    sets = rows.select("id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                       marked_signatures(F.col("text")).alias("own"), marked_signatures(F.col("edited")).alias("changed"), "next_set")
-    return sets.select(
+    texts = texts.select(F.col("id").isNull().alias("late"), "id", F.xxhash64("text").alias("body"), "text")
+    order = ["late", "id", "body"]
+    slim = _ranged(texts.groupBy(*order).agg(F.count("*").alias("n")), (), order)
+    # one row per range, as many as shuffle partitions
+    heads = cut(slim.groupBy("_part").agg(F.min(F.struct(*order)).alias("head")).select("head"))
+    begins = heads.agg(F.sort_array(F.collect_list("head"))).scalar()
+    # rows that are wholly repeated stand for each other; few tables have any
+    repeated = cut(slim.where("n > 1").select(*order, "n"))
+    same = lambda left, right: [left[c].eqNullSafe(right[c]) for c in order]
+    once = texts.join(repeated, same(texts, repeated), "left_anti").unionByName(
+        texts.join(repeated, same(texts, repeated), "left_semi").dropDuplicates(order))
+    at = F.size(F.filter("begins", lambda b: b <= F.struct(*order)))
+    ranged = once.withColumn("begins", begins).select(*order, "text", at.alias("range")).repartition("range")
+    held = ranged.withColumn("own", marked_signatures(F.col("text")))
+    inside = W.partitionBy("range").orderBy(*order)
+    nothing = F.struct(F.col("text"), F.col("own.set").alias("set"))
+    placed = held.withColumn("next", F.lead(nothing).over(inside))
+    # the first text of each range, for the range before it and, of the first one, for the last
+    first = heads.select("head.*").withColumn("range", F.row_number().over(W.orderBy(*order)))
+    most = first.agg(F.max("range")).scalar()
+    opening = texts.join(
+        first.withColumnsRenamed({c: "f_" + c for c in order}), [F.col(c).eqNullSafe(F.col("f_" + c)) for c in order])
+    opening = opening.groupBy("range").agg(F.first("text").alias("text")).select(
+        F.when(F.col("range") == 1, most).otherwise(F.col("range") - 1).alias("range"),
+        F.struct("text", signatures(F.col("text")).alias("set")).alias("following"))
+    met = placed.join(opening, "range").withColumn("next", F.coalesce("next", "following"))
+    again = repeated.withColumnsRenamed({c: "r_" + c for c in order})
+    met = met.join(again, [F.col(c).eqNullSafe(F.col("r_" + c)) for c in order], "left")
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next.text", F.lit(1), half))
+    rows = met.select("id", F.length("text").cast("bigint").alias("n_chars"), edited.alias("edited"), "own",
+                      F.col("next.set").alias("next_set"), F.coalesce("n", F.lit(1)).cast("int").alias("n"))
+    sets = rows.select("id", "n_chars", "n", F.sha2("edited", 256).alias("edited_sha256"), "own",
+                       marked_signatures(F.col("edited")).alias("changed"), "next_set")
+    out = sets.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", fingerprint(F.col("own.set"), F.col("own.anchored")).alias("fingerprint"),
         fingerprint(F.col("changed.set"), F.col("changed.anchored")).alias("edited_fingerprint"),
         likeness(F.col("own.set"), F.col("changed.set")).alias("near_edited"),
-        likeness(F.col("own.set"), F.col("next_set")).alias("near_next"))
+        likeness(F.col("own.set"), F.col("next_set")).alias("near_next"), F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    return out.drop("copy")

@@ -111,3 +111,18 @@ def test_odd_documents_and_none(odd_documents, no_documents):
 def test_one_document_follows_itself(spark):
     row, = S.edited_fingerprints(spark.createDataFrame([(1, "The cat and the dog", "en", "a", 1)], DOCS)).collect()
     assert row.near_next == 1.0 and row.edited_sha256 == hashlib.sha256(b"The cat anThe cat a").hexdigest()
+
+
+def test_marks_in_texts_are_no_anchors(spark):
+    texts = ["alpha~beta gamma delta", "alpha beta gamma delta", "alpha\u0001beta gamma delta", "the~alpha beta gamma", "the alpha beta gamma"]
+    sets = [tuple(r.s) for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select(
+        "i", S.signatures(F.col("text")).alias("s")).orderBy("i").collect()]
+    assert sets[0] == sets[1] == sets[2] and len(sets[0]) == 2 and sets[3] == sets[4] and len(sets[3]) == 1
+
+
+def test_every_text_meets_the_next_one_across_ranges(spark):
+    texts = {k: f"the word{k} of the end{k} " * (1 + k % 3) for k in range(97)}
+    rows = [(k, t, "en", "a", 1) for k, t in texts.items()] + [(5, texts[5], "en", "b", 2)] * 2
+    got = sorted((r.doc_id, r.edited_sha256) for r in S.edited_fingerprints(spark.createDataFrame(rows, DOCS).repartition(5)).collect())
+    want = [(k, hashlib.sha256((t[:len(t) - len(t) // 2] + texts[(k + 1) % 97][:len(t) // 2]).encode()).hexdigest()) for k, t in texts.items()]
+    assert got == sorted(want + [want[5]] * 2)
