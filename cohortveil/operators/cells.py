@@ -99,15 +99,16 @@ def _correlation_cells(pp: DataFrame, keys: list[str]) -> DataFrame:
     """
     names = ["_n", "_x", "_y", "_xx", "_yy", "_xy"]
     sums = pp.groupBy(*keys).agg(*(F.sum(c).alias(c) for c in names), F.max("_ux").alias("_ux"), F.max("_uy").alias("_uy"))
+    noise = lambda of: ((of("_xx"), of("_ux")), (of("_yy"), of("_uy")))
+    # r of the whole cell is one per cell, not one per person
+    sums = sums.withColumn("r", pearson(*(F.col(c) for c in names), noise(F.col)))
     t = lambda c: F.col("_t." + c)
-    scale = ((t("_xx"), t("_ux")), (t("_yy"), t("_uy")))
-    full = pearson(*(t(c) for c in names), scale)
-    rest = pearson(*(t(c) - F.col(c) for c in names), scale)
-    moved = F.when(t("_n") - F.col("_n") >= 3, F.abs(full - rest))
-    moved = F.coalesce(F.when(~F.isnan(moved), moved), F.lit(INFINITY))
+    rest = pearson(*(t(c) - F.col(c) for c in names), noise(t))
+    moved = F.when(t("_n") - F.col("_n") >= 3, F.nanvl(F.abs(t("r") - rest), F.lit(INFINITY)))
     out = _with_cell(pp, sums, keys).groupBy(*keys).agg(
-        F.max(moved).alias("influence"), F.count(F.lit(1)).alias("n_persons"), F.any_value("_t").alias("_t"))
-    return out.select(*keys, full.alias("value"), F.coalesce(t("_n"), F.lit(0)).alias("n"), "n_persons",
+        F.max(F.coalesce(moved, F.lit(INFINITY))).alias("influence"), F.count(F.lit(1)).alias("n_persons"), F.any_value("_t").alias("_t"))
+    inside = F.when(t("r") > 1, 1.0).when(t("r") < -1, -1.0).otherwise(t("r"))
+    return out.select(*keys, inside.alias("value"), F.coalesce(t("_n"), F.lit(0)).alias("n"), "n_persons",
                       F.coalesce("influence", F.lit(INFINITY)).alias("influence"))
 
 

@@ -127,7 +127,7 @@ LOST, NOISE = 1e-12, 1e-14
 
 
 def pearson(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column, scale) -> Column:
-    """Pearson r from sums of deviations; NULL when a variance is zero or lost in rounding.
+    """Pearson r from sums of deviations, up to rounding; NULL when a variance is zero or lost in rounding.
 
     ``scale`` holds for x and y the second moment and the mean that bound the rounding noise.
     """
@@ -135,8 +135,7 @@ def pearson(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column,
     seen = F.lit(True)
     for v, (moment, mean) in ((vx, scale[0]), (vy, scale[1])):
         seen = seen & (v > LOST * n * moment) & (v > F.pow(NOISE * n * mean, 2))
-    r = (n * xy - x * y) / (F.sqrt(F.when(seen, vx)) * F.sqrt(F.when(seen, vy)))
-    return F.when(r > 1, 1.0).when(r < -1, -1.0).otherwise(r)
+    return (n * xy - x * y) / F.sqrt(F.when(seen, vx)) / F.sqrt(vy)
 
 
 def dominance(largest: Column, magnitude: Column, total: Column) -> Column:
