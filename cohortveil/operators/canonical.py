@@ -8,6 +8,9 @@ step is plain text work that any SQL engine can repeat.
 
 from __future__ import annotations
 
+from decimal import Decimal
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +30,19 @@ def canonical_number(c: Column) -> Column:
             .when(digits == "", "0e0").otherwise(written))
 
 
+#: Digits of a decimal that fits into a long.
+LONG_DIGITS = 18
+
+
+def _long_decimal(c: Column, kind: T.DecimalType) -> Column:
+    """:func:`canonical_number` of a decimal of few digits, by whole numbers instead of text."""
+    whole = (c * F.lit(Decimal(10 ** kind.scale))).cast("bigint")
+    zeros = reduce(lambda a, b: a + b, ((whole % F.lit(10 ** k) == 0).cast("int") for k in range(1, kind.precision + 1)))
+    power = F.get(F.array(*(F.lit(10 ** k).cast("bigint") for k in range(kind.precision + 1))), zeros)
+    exponent = (zeros - kind.scale) * (whole != 0).cast("int")
+    return F.concat(F.call_function("div", whole, power).cast("string"), F.lit("e"), exponent.cast("string"))
+
+
 def decimals(c: Column) -> Column:
     """Places after the point that a number needs."""
     exponent = F.split_part(canonical_number(c), F.lit("e"), F.lit(2)).try_cast("int")
@@ -34,6 +50,8 @@ def decimals(c: Column) -> Column:
 
 
 def value_text(c: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DecimalType) and 0 <= kind.scale <= kind.precision <= LONG_DIGITS:
+        return _long_decimal(c, kind)
     if isinstance(kind, (T.DecimalType, T.DoubleType, T.FloatType)):
         return canonical_number(c)
     if isinstance(kind, (T.ArrayType, T.StructType, T.MapType)):
@@ -60,10 +78,13 @@ def table_digest(df: DataFrame, group=()) -> DataFrame:
     order does not, and nothing is collected.
     """
     columns = [c for c in df.columns if c not in group]
-    parts = [F.sum(F.conv(F.substring("_d", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).alias(f"_p{i}")
-             for i in range(4)]
+    part = lambda i: F.conv(F.substring("_d", 1 + 15 * i, 15), 16, 10).cast("bigint")
+    # each part adds up as two longs of 30 bits, which hold 2^33 rows
+    halves = [s for i in range(4) for s in (F.sum(F.shiftright(part(i), 30)).alias(f"_h{i}"),
+                                            F.sum(part(i).bitwiseAND(F.lit((1 << 30) - 1))).alias(f"_l{i}"))]
+    total = lambda i: (F.col(f"_h{i}").cast("decimal(20,0)") * F.lit(1 << 30) + F.col(f"_l{i}")).cast("decimal(30,0)")
     digest = F.sha2(row_text(df, columns), 256) if columns else F.sha2(F.lit(""), 256)
-    out = df.withColumn("_d", digest).groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), *parts)
+    out = df.withColumn("_d", digest).groupBy(*group).agg(F.count(F.lit(1)).alias("rows"), *halves)
     text = F.concat_ws("|", F.col("rows").cast("string"), *(
-        F.coalesce(F.col(f"_p{i}"), F.lit(0)).cast("string") for i in range(4)))
+        F.coalesce(total(i), F.lit(0)).cast("string") for i in range(4)))
     return out.select(*group, "rows", F.sha2(text, 256).alias("digest"))
