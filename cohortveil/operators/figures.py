@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scans import following_min
+from ..session import cut
 
 # Characters read as a minus, blanks between groups of three digits,
 # whole numbers and significance levels that need no support.
@@ -45,7 +46,9 @@ def figures(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     follows a word and after a comma that follows a fraction; the pieces that read as
     numbers are its figures.
     """
-    plain = _grouped(F.translate(F.col(text), MINUS_SIGNS, "-" * len(MINUS_SIGNS)))
+    plain = F.translate(F.col(text), MINUS_SIGNS, "-" * len(MINUS_SIGNS))
+    # most texts have no group of three digits after a digit and a blank: those need no list of words
+    plain = F.when(plain.rlike(f"[0-9][{GROUP_SPACES}][0-9]{{3}}"), _grouped(plain)).otherwise(plain)
     plain = F.regexp_replace(plain, "([\\p{L}\\p{N}_])[-+]", "$1 ")
     plain = F.regexp_replace(plain, "([.][0-9]+),", "$1 ")
     pieces = F.transform(F.split(plain, "[^\\p{L}\\p{N}_.,+-]+"),
@@ -99,7 +102,8 @@ def unsupported_figures(texts: DataFrame, key: str, released: DataFrame, text: s
         "at is not null").distinct()
     said = figures(texts, key, text)
     small = (F.col("value") == F.floor("value")) & F.col("value").between(0, LARGEST_ORDINAL)
-    said = said.where(~small & ~F.col("value").isin(*CONVENTIONAL))
+    # texts are read for their figures once, not again for the join at the end
+    said = cut(said.where(~small & ~F.col("value").isin(*CONVENTIONAL)))
     low, high = interval()
     # few distinct figures recur in many texts: each is decided once
     asked = said.select("value", "decimals", "digits").distinct()

@@ -219,3 +219,33 @@ def test_stream_budget_accepts_until_spent(spark, tmp_path):
     q.awaitTermination(120)
     got = {r["request_id"]: r["accepted"] for r in spark.table("budgeted").collect()}
     assert got == {**{f"r{i}": i < 3 for i in range(6)}, **{f"s{i}": True for i in range(3)}}
+
+
+def test_private_sweep_hashes_a_bounded_piece_at_a_time(spark):
+    """A batch of many or long texts was hashed at once; a string across two pieces is still found."""
+    size = T.WINDOW_CHARS
+    held = ["a" * (3 * size), "b" * 10, "", "c" * (size + 3)]
+    pieces = list(T._pieces(held))
+    assert max(sum(len(p) for _, _, p in part) for part in pieces) <= 2 * size + 7
+    starts = {(t, i) for part in pieces for t, start, p in part for i in range(start, start + len(p) - 7)}
+    assert starts == {(t, i) for t, x in enumerate(held) for i in range(len(x) - 7)}
+    docs = texts(spark, "x" * (size - 5) + "secret-name-1" + "y" * size + "secret-name-22")
+    private = spark.createDataFrame([("secret-name-1",), ("secret-name-22",)], "private string")
+    assert {tuple(r) for r in T.sweep_private(docs, "id", private).collect()} == {(0, "secret-name-1"), (0, "secret-name-22")}
+
+
+def test_decimals_by_whole_numbers_read_as_by_text(spark):
+    from decimal import Decimal
+    from pyspark.sql import functions as F
+    from cohortveil.operators.canonical import _long_decimal, canonical_number
+    values = ("0", "-0.10", "12", "-4500.05", "9999999999999999.99", "-9999999999999999.99", "100", "0.01", "1000000")
+    df = spark.createDataFrame([(Decimal(v),) for v in values] + [(None,)], "a decimal(18,2)")
+    kind = df.schema["a"].dataType
+    rows = df.select(_long_decimal(F.col("a"), kind).alias("n"), canonical_number(F.col("a")).alias("o")).collect()
+    assert [r["n"] for r in rows] == [r["o"] for r in rows] and rows[0]["n"] == "0e0" and rows[-1]["n"] is None
+
+
+def test_blanks_between_words_need_no_support(spark):
+    df = texts(spark, "3 apples,\u00a0then 12 000 or 4\u202f500.5 but 7 00 and 1 2345", "plain 45 words")
+    found = {(r["id"], r["figure"]) for r in figures(df, "id").collect()}
+    assert found == {(0, "3"), (0, "12000"), (0, "4500.5"), (0, "7"), (0, "00"), (0, "1"), (0, "2345"), (1, "45")}
