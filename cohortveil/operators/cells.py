@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..specs import Filter, Measure, QuerySpec
 from ..study import PERSON, StudyError
-from .lattice import key_sets, sweep_persons
+from .lattice import by_person, grouping_text, key_sets, sweep_persons
 from .measures import INFINITY, PROCEDURES, dominance, pearson, power
 from .predicates import conjunction
 from .views import Workspace
@@ -167,12 +167,13 @@ def marginals(ws: Workspace, views=None) -> DataFrame:
 
     view, dim, kind, value, n_persons.  Rows collapse to distinct dimension
     combinations per person before they are unpivoted; the unpivoted rows name
-    their dimension by number until they are counted.
+    their dimension by number until they are counted.  They stay with their person, so
+    what is shuffled once they are unpivoted is one row per value and task.
     """
     out = None
     for name in sorted(views or ws.study.views):
         kinds = sorted(ws.study.view(name).filter_kinds().items())
-        rows = combination_persons(ws, name, [d for d, _ in kinds])
+        rows = by_person(combination_persons(ws, name, [d for d, _ in kinds]), len(kinds))
         values = F.array(*(F.col(d).cast("string") for d, _ in kinds))
         counted = (rows.select(PERSON, F.posexplode(values).alias("_d", "value")).distinct()
                    .groupBy("_d", "value").agg(F.count(F.lit(1)).alias("n_persons")))
@@ -206,7 +207,9 @@ def sweep_cells(ws: Workspace, view: str, column: str, dims=None, widest: int =
     """All group-bys of a measure in one job: grouping (text), dims… (NULL outside
     the set), n, n_persons, s1…, dominance1…."""
     dims = sorted(dims or ws.study.view(view).dims)
-    return swept_cells(sweep_persons(ws, view, column, dims, widest, filters, degrees, hits), dims)
+    persons = sweep_persons(ws, view, column, dims, widest, filters, degrees, hits, named=False)
+    # a set's name is spelled out once per cell, not once per person
+    return swept_cells(persons, dims).withColumn("grouping", grouping_text(F.col("grouping"), dims))
 
 
 def measure_configs(ws: Workspace) -> list[dict]:
@@ -219,5 +222,5 @@ def measure_configs(ws: Workspace) -> list[dict]:
     return out
 
 
-__all__ = ["Measure", "cells", "cohort_size", "contributions", "conjunction", "key_sets", "largest_cells",
+__all__ = ["Measure", "cells", "cohort_size", "contributions", "conjunction", "grouping_text", "key_sets", "largest_cells",
            "marginals", "moment_cells", "person_counts", "sweep_cells", "sweep_persons"]

@@ -10,17 +10,21 @@ side, however many grouping sets there are.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..study import PERSON, Study
 from .measures import power
 from .views import Workspace
 
 #: Levels of a dimension without a declared list, for the plan only.
 UNKNOWN_LEVELS = 20
+#: Rows per person and grouping set, or dimension, that one task makes; its hash tables hold that many without spilling.
+ROWS_PER_TASK = 2_000_000
 
 
 def key_sets(dims, widest: int = 3, narrowest: int = 0) -> list[tuple[str, ...]]:
@@ -71,11 +75,28 @@ def _masked(rows: DataFrame, dims: list[str], keep: list[str]) -> DataFrame:
     return rows.select(*keep, *(F.when(inside(i), F.col(d)).alias(d) for i, d in enumerate(dims)))
 
 
+def by_person(rows: DataFrame, times: int) -> DataFrame:
+    """Rows partitioned by person, for a step that makes ``times`` as many of each task's rows.
+
+    The rows are small beside what is made of them, so the number of tasks follows the
+    latter; Spark would choose it by the size of what it shuffles.
+    """
+    held = cut(rows)
+    tasks = math.ceil(held.count() * times / ROWS_PER_TASK)
+    return held.repartition(max(tasks, held.sparkSession.sparkContext.defaultParallelism), F.col(PERSON))
+
+
+def grouping_text(mask: Column, dims) -> Column:
+    """Names of the dimensions in a grouping set."""
+    return F.concat_ws("+", *(F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, F.lit(d)) for i, d in enumerate(sorted(dims))))
+
+
 def sweep_persons(ws: Workspace, view: str, column: str, dims=None, widest: int = 3,
-                  filters=(), degrees=(1,), hits: str | None = None) -> DataFrame:
+                  filters=(), degrees=(1,), hits: str | None = None, named: bool = True) -> DataFrame:
     """Per-person sums for every group-by: grouping, dims…, person, _n, _c1….
 
-    ``hits`` names a boolean column whose true rows are counted as ``_k``.
+    ``hits`` names a boolean column whose true rows are counted as ``_k``.  Unless
+    ``named``, grouping is the set's number, for :func:`grouping_text`.
     """
     dims = sorted(dims or ws.study.view(view).dims)
     # only shares are read off higher powers here, so those add up as doubles
@@ -89,7 +110,7 @@ def sweep_persons(ws: Workspace, view: str, column: str, dims=None, widest: int
     names = ["_n", *(f"_c{k}" for k in degrees), *(["_k"] if hits else [])]
     summed = lambda df, *keys: df.groupBy(*keys, *dims, PERSON).agg(*(F.sum(c).alias(c) for c in names))
     # the one exchange; what follows groups by the person as well
-    held = summed(rows.select(*dims, PERSON, *names).repartition(F.col(PERSON)))
+    held = summed(by_person(rows.select(*dims, PERSON, *names), len(key_sets(dims, widest))))
     plan = list(parents(dims, widest, level_counts(ws.study, dims)).items())
     keep = [PERSON, *names]
     if len(plan) > 1:
@@ -101,5 +122,5 @@ def sweep_persons(ws: Workspace, view: str, column: str, dims=None, widest: int
     children = F.array(*(F.array(*(F.lit(_mask(dims, s)) for s in sets)) for _, sets in plan))
     held = held.select(*dims, *keep, F.explode(F.get(children, F.col("_wide"))).alias("_mask"))
     persons = summed(_masked(held, dims, ["_mask", *keep]), "_mask")
-    label = F.concat_ws("+", *(F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) != 0, F.lit(d)) for i, d in enumerate(dims)))
+    label = grouping_text(F.col("_mask"), dims) if named else F.col("_mask")
     return persons.select(label.alias("grouping"), *dims, PERSON, *names)

@@ -163,3 +163,16 @@ def test_sessions_come_from_sealed_states_and_open_rows(spark):
     for bad in ({"states": sealed.states.withColumn("number", F.lit(0).cast("bigint"))}, {"states": sealed.states.where("segment <> 2")},
                 {"marks": sealed.marks.withColumn("last_ts", F.col("last_ts") + F.expr("interval 9 hours"))}):
         assert sound(read(log, **bad)) == [False]
+
+
+def test_tasks_of_a_sweep_and_of_marginals_follow_their_rows(spark, ws, monkeypatch):
+    """Small shuffles were merged into a few tasks, each of which then made many times their rows."""
+    from cohortveil.operators import lattice
+    orders = spark.createDataFrame([(i, i % 50, "F", 1.0 + i, "1-URGENT", 1995, 1, True) for i in range(200)],
+                                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+                                   "o_orderpriority string, order_year int, order_month int, is_urgent boolean")
+    before = lattice.by_person(orders.withColumnRenamed("o_custkey", "_person"), 10).rdd.getNumPartitions()
+    monkeypatch.setattr(lattice, "ROWS_PER_TASK", 40)
+    held = lattice.by_person(orders.withColumnRenamed("o_custkey", "_person"), 10)
+    assert held.rdd.getNumPartitions() == 50 > before
+    assert held.count() == 200
