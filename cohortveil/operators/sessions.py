@@ -19,6 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .canonical import field, table_digest
 from .textjobs import keyed_mac
 
@@ -47,15 +48,18 @@ def state_rows(rows: DataFrame, *by: str) -> DataFrame:
     """by…, user, kind, name, number: what rows add to the sessions of their users."""
     live = rows.where((F.col("status") != "config") & (F.col("user") != "")).withColumn("a", F.from_json("accounting", ACCOUNTING))
     key = [*by, "user"]
-    number = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
-    sums = live.groupBy(*key).agg(number("a.cost").alias("units"), number("a.selection_bits").alias("bits"),
-                                  F.count(F.lit(1)).alias("records"))
-    out = sums.select(*key, F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(None).cast("string").alias("name"),
-                                                        F.col(k).alias("number")) for k in SUMS))))
-    totals = live.select(*key, F.lit("total").alias("kind"), F.inline("a.totals").alias("name", "number"))
-    cohorts = live.select(*key, F.explode("a.cohorts").alias("c")).select(
-        *key, F.lit("cohort").alias("kind"), F.to_json("c", {"ignoreNullFields": "false"}).alias("name"), F.lit(None).cast("bigint").alias("number"))
-    return out.unionByName(totals.unionByName(cohorts).distinct())
+    part = lambda kind, name, fact, add: F.struct(
+        F.lit(kind).alias("kind"), name.cast("string").alias("name"), fact.cast("bigint").alias("fact"), add.cast("bigint").alias("add"))
+    none = F.lit(None)
+    listed = lambda items, then: F.coalesce(F.transform(items, then), F.array().cast(
+        "array<struct<kind:string,name:string,fact:bigint,add:bigint>>"))
+    # every part of a row is read from its text once, and sums and facts meet in one grouping
+    parts = F.concat(
+        F.array(*(part(kind, none, none, add) for kind, add in zip(SUMS, (F.col("a.cost"), F.col("a.selection_bits"), F.lit(1))))),
+        listed(F.col("a.totals"), lambda t: part("total", t["measure"], t["total"], none)),
+        listed(F.col("a.cohorts"), lambda c: part("cohort", F.to_json(c, {"ignoreNullFields": "false"}), none, none)))
+    return live.select(*key, F.inline(parts)).groupBy(*key, "kind", "name", "fact").agg(F.sum("add").alias("add")).select(
+        *key, "kind", "name", F.when(F.col("kind").isin(*SUMS), F.coalesce("add", F.lit(0))).otherwise(F.col("fact")).alias("number"))
 
 
 def merge_states(states: DataFrame, *by: str) -> DataFrame:
@@ -70,15 +74,20 @@ def _segment(size: int) -> Column:
 
 
 def _checked(rows: DataFrame, ends: DataFrame | None, key: bytes, size: int) -> DataFrame:
-    """Rows with ``sound``: the MAC recomputes and links to the row, or sealed end, before."""
+    """chain, id, ts, prev_mac, mac, sound: whether the MAC recomputes and links to the row, or sealed end, before.
+
+    A row's own MAC is recomputed where the row is read, so that texts do not travel.
+    """
+    own = F.coalesce(F.col("mac") == keyed_mac(row_body(), key), F.lit(False))
+    slim = rows.select("chain", "id", "ts", "prev_mac", "mac", own.alias("own"))
     before = rows.select("chain", (F.col("id") + 1).alias("id"), F.col("mac").alias("before"))
     if ends is not None:
         before = before.unionByName(ends.select("chain", ((F.col("segment") + 1) * size).alias("id"), F.col("last_mac").alias("before")))
     before = before.groupBy("chain", "id").agg(F.max("before").alias("before"), F.min("before").alias("least"))
-    joined = rows.join(before, ["chain", "id"], "left")
+    joined = slim.join(before, ["chain", "id"], "left")
     same = (F.col("before") == F.col("least")) & (F.col("prev_mac") == F.col("before"))
     link = F.when(F.col("id") == 0, F.col("prev_mac") == GENESIS).otherwise(F.coalesce(same, F.lit(False)))
-    return joined.withColumn("sound", link & F.coalesce(F.col("mac") == keyed_mac(row_body(), key), F.lit(False))).drop("before", "least")
+    return joined.withColumn("sound", link & F.col("own")).drop("own", "before", "least")
 
 
 def _seal(key: bytes) -> Column:
@@ -87,13 +96,14 @@ def _seal(key: bytes) -> Column:
 
 
 def seal(log: DataFrame, key: bytes, size: int) -> Sealed:
-    """Seal every full segment of a log whose rows are sound."""
+    """Seal every full segment of a log whose rows are sound; states and ends are written once."""
     rows = _checked(log, None, key, size).withColumn("segment", _segment(size))
-    full = rows.groupBy("chain", "segment").agg(
+    full = cut(rows.groupBy("chain", "segment").agg(
         F.count(F.lit(1)).alias("rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
         F.min_by("prev_mac", "id").alias("first_prev"), F.max_by("mac", "id").alias("last_mac"),
-        F.bool_and("sound").alias("sound")).where((F.col("rows") == size) & F.col("sound")).drop("sound")
-    states = state_rows(rows.join(full.select("chain", "segment"), ["chain", "segment"], "left_semi"), "chain", "segment")
+        F.bool_and("sound").alias("sound")).where((F.col("rows") == size) & F.col("sound")).drop("sound"))
+    states = state_rows(log.withColumn("segment", _segment(size)), "chain", "segment")
+    states = cut(states.join(full.select("chain", "segment"), ["chain", "segment"], "left_semi"))
     digests = table_digest(states, ("chain", "segment")).select("chain", "segment", F.col("digest").alias("state_digest"))
     marks = full.join(digests, ["chain", "segment"], "left").withColumn("seal", _seal(key))
     return Sealed(marks, states)
@@ -116,9 +126,9 @@ def rebuild(log: DataFrame, sealed: Sealed, heads: DataFrame, key: bytes, size:
 
     rows = log.withColumn("segment", _segment(size)).join(shut, ["chain", "segment"], "left_anti")
     # within a sealed segment that is read again, its rows come before its mark's word on the next one
-    rows = _checked(rows, marks, key, size)
-    again = rows.groupBy("chain", "segment").agg(F.count(F.lit(1)).alias("_rows"), F.max_by("mac", "id").alias("_last"),
-                                                 F.bool_and("sound").alias("_sound"))
+    checked = _checked(rows, marks, key, size).withColumn("segment", _segment(size))
+    again = cut(checked.groupBy("chain", "segment").agg(F.count(F.lit(1)).alias("_rows"), F.max_by("mac", "id").alias("_last"),
+                                                        F.bool_and("sound").alias("_sound")))
     reread = marks.where(across).select("chain", "segment", "rows", "last_mac").join(again, ["chain", "segment"], "left").select(
         "chain", F.coalesce((F.col("rows") == F.col("_rows")) & (F.col("last_mac") == F.col("_last")), F.lit(False)).alias("sound"))
     ends = rows.select("chain", F.col("mac").alias("head")).unionByName(marks.select("chain", F.col("last_mac").alias("head")))

@@ -165,6 +165,41 @@ def test_sessions_come_from_sealed_states_and_open_rows(spark):
         assert sound(read(log, **bad)) == [False]
 
 
+def test_sealing_writes_states_once_and_moves_no_texts(spark):
+    """Every look at the marks parsed and verified the whole log again, and its texts met in joins."""
+    log = cut(spark.createDataFrame(chain_rows(1, 18), SCHEMA))
+    sealed = S.seal(log, KEY, SIZE)
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "from_json" not in plan(sealed.states) + plan(sealed.marks) and sealed.states.inputFiles()
+    checked = S._checked(log, None, KEY, SIZE)
+    assert "accounting" not in checked.columns
+    # an empty list, no list and a list that holds null, in one grouping with the sums
+    odd = spark.createDataFrame(
+        [("released", "u", '{"cost":2,"totals":[],"cohorts":[null]}'), ("released", "u", '{"totals":[{"measure":"m"}]}'), ("released", "u", "x"),
+         ("config", "u", '{"cost":1}'), ("released", "", '{"cost":1}'), ("released", None, '{"cost":1}')], "status string, user string, accounting string")
+    rows = sorted(tuple(r) for r in S.state_rows(odd.union(odd)).na.fill("-", ["name"]).na.fill(-1, ["number"]).collect())
+    assert rows == [("u", "bits", "-", 0), ("u", "cohort", "-", -1), ("u", "records", "-", 6), ("u", "total", "m", -1), ("u", "units", "-", 4)]
+
+
+def test_a_log_of_events_is_folded_without_lists_of_macs(spark, tmp_path):
+    """The fold copied every MAC before a row, text by text, for that row."""
+    from veil_queries import session_rebuild as R
+    events = spark.createDataFrame([(i, START + timedelta(minutes=7 * (i % 40)), i % 9 if i % 11 else None, "error" if i % 5 == 0 else "view")
+                                    for i in range(130)], "event_id long, ts timestamp, user_id long, event_type string")
+    events.withColumn("value", F.lit(1.0)).withColumn("props", F.lit("")).write.parquet(f"{tmp_path}/events.parquet")
+    log = R.audit_log(spark, str(tmp_path))
+    plan = log._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_append" not in plan and "array_insert" not in plan
+    rows = log.withColumn("at", F.col("ts").cast("string")).orderBy("id").collect()
+    assert [r["id"] for r in rows] == list(range(130)) and [r["ts"] for r in rows] == sorted(r["ts"] for r in rows)
+    before = S.GENESIS
+    for r in rows:
+        parts = (str(r["id"]), r["at"], r["user"], r["status"], r["accounting"], before)
+        body = "".join("~" if p is None else f"{len(p)}:{p}" for p in parts)
+        assert r["prev_mac"] == before and r["mac"] == hmac.new(R.KEY, body.encode(), hashlib.sha256).hexdigest()
+        before = r["mac"]
+
+
 def test_tasks_of_a_sweep_and_of_marginals_follow_their_rows(spark, ws, monkeypatch):
     """Small shuffles were merged into a few tasks, each of which then made many times their rows."""
     from cohortveil.operators import lattice

@@ -28,20 +28,22 @@ def audit_log(spark, d):
         F.floor(F.col("event_id") / 1000).alias("chain"), "event_id", F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("a"), (F.col("user_id") % 30).cast("string")).alias("user"),
         F.when(F.col("event_type") == "error", "config").otherwise("released").alias("status"), accounting.alias("accounting"))
-    # a chain holds a thousand rows at most: MACs are folded in their order
-    listed = rows.groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "user", "status", "accounting"))).alias("r"))
-    start = F.struct(F.lit(S.GENESIS).alias("mac"), F.array().cast(
-        "array<struct<id:bigint,ts:timestamp,user:string,status:string,accounting:string,prev_mac:string,mac:string>>").alias("out"))
+    # a chain holds a thousand rows at most: MACs are folded in their order, and rows meet theirs afterwards
+    listed = rows.groupBy("chain").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "user", "status", "accounting"))).alias("r"))
 
-    def step(s, r):
-        place = F.size(s["out"]).cast("bigint")
-        body = F.concat(*(S.field(c) for c in (place.cast("string"), r["ts"].cast("string"), r["user"], r["status"], r["accounting"], s["mac"])))
-        mac = keyed_mac(body, KEY)
-        row = F.struct(place.alias("id"), r["ts"].alias("ts"), r["user"].alias("user"), r["status"].alias("status"),
-                       r["accounting"].alias("accounting"), s["mac"].alias("prev_mac"), mac.alias("mac"))
-        return F.struct(mac.alias("mac"), F.array_append(s["out"], row).alias("out"))
+    # MACs so far as one binary: a list would be copied text by text at every step
+    mac_of = lambda macs, k: F.when(k == 0, S.GENESIS).otherwise(F.substring(macs, (k - 1) * 64 + 1, F.lit(64)).cast("string"))
 
-    return listed.select("chain", F.inline(F.aggregate("r", start, step)["out"]))
+    def step(macs, r):
+        place = F.floor(F.octet_length(macs) / 64).cast("int")
+        body = F.concat(*(S.field(c) for c in (place.cast("string"), r["ts"].cast("string"), r["user"], r["status"], r["accounting"],
+                                               mac_of(macs, place))))
+        return F.concat(macs, keyed_mac(body, KEY).cast("binary"))
+
+    folded = listed.withColumn("macs", F.aggregate("r", F.lit(b""), step))
+    return folded.select("chain", F.inline(F.transform("r", lambda r, i: F.struct(
+        i.cast("bigint").alias("id"), r["ts"].alias("ts"), r["user"].alias("user"), r["status"].alias("status"),
+        r["accounting"].alias("accounting"), mac_of(F.col("macs"), i).alias("prev_mac"), mac_of(F.col("macs"), i + 1).alias("mac")))))
 
 
 def tampered(spark, d):
@@ -49,7 +51,7 @@ def tampered(spark, d):
     log = cut(audit_log(spark, d))
     heads = log.groupBy("chain").agg(F.max_by("mac", "id").alias("head"))
     sealed = S.seal(log, KEY, SIZE)
-    marks, states = cut(sealed.marks), cut(sealed.states)
+    marks, states = cut(sealed.marks), sealed.states
     chain = F.col("chain")
     ends = log.groupBy("chain").agg(F.max("id").alias("_last"))
     held = log.join(ends, "chain")
@@ -62,7 +64,7 @@ def tampered(spark, d):
     held = held.where(~((chain == BEHEADED) & (F.col("id") == F.col("_last")))).drop("_last")
     # rows of sealed segments far from the cutoff may be archived
     shut = marks.where(F.col("last_ts") < F.lit(CUTOFF)).select("chain", "segment")
-    held = held.withColumn("segment", F.floor(F.col("id") / SIZE)).join(shut, ["chain", "segment"], "left_anti").drop("segment")
+    held = cut(held.withColumn("segment", F.floor(F.col("id") / SIZE)).join(shut, ["chain", "segment"], "left_anti").drop("segment"))
     states = states.withColumn("number", F.when((chain == FORGED) & (F.col("kind") == "units"), 0).otherwise(F.col("number")))
     marks = marks.withColumn("last_ts", F.when(chain == MOVED, F.col("last_ts") + F.expr("interval 1 day")).otherwise(F.col("last_ts")))
     return held, S.Sealed(marks, states), heads
