@@ -38,8 +38,8 @@ from ..session import cut
 
 #: Tokens of a sequence, and the id that ends a document.
 CAPACITY, END = 1024, 2
-#: Parts of a text that a worker remembers the ids of, at most.
-REMEMBERED = 400_000
+#: Parts of a text that a worker remembers the ids of, at most, and their longest length.
+REMEMBERED, LONGEST = 400_000, 64
 # White space other than the plain space and the line feed; next to it, or where two
 # meet, a text is not split at its spaces before it is tokenised.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
@@ -99,10 +99,11 @@ class _Remembered(dict):
         self.encode = encoding.encode_ordinary
 
     def __missing__(self, part: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.clear()
         ids = _bytes(self.encode(" " + part))
-        self[part] = ids
+        if len(part) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[part] = ids
         return ids
 
 

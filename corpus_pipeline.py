@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortveil.llm import decontaminate, jaccard_join, line_spread, packing, toxicity
 from cohortveil.llm.queries import fold, table
-from cohortveil.session import cut, tune
+from cohortveil.session import cut, small_batches, tune
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document at or over this score is rejected.
@@ -48,8 +48,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_copies", keep_one_of_near_copies),
-          ("decontamination", drop_benchmark_leaks), ("packing", pack)]
+def _staged(stage):
+    """The stage in a session that hands texts to Python workers in small batches."""
+    return lambda spark, docs, sf_dir: stage(small_batches(spark), docs, sf_dir)
+
+
+STAGES = [(name, _staged(stage)) for name, stage in (
+    ("toxicity", drop_toxic), ("line_dedup", drop_repeated_lines), ("near_copies", keep_one_of_near_copies),
+    ("decontamination", drop_benchmark_leaks), ("packing", pack))]
 
 #: Training, edit distance and packing are not expressible in SQL; tests compare with brute force.
 ORACLE_SQL = None

@@ -117,3 +117,13 @@ def test_odd_documents_and_none(odd_documents, no_documents):
         found.setdefault(r.doc_id, []).append(r.length)
     assert found[2] == [1] and found[3] == [1] and len(found[6]) == 2 and None in found and len(found[5]) > 10
     assert P.pack(no_documents).count() == 0
+
+
+def test_only_short_parts_are_remembered():
+    """Parts were bounded in number but not in length: a worker held every long one."""
+    path = P.tokenizer_path()
+    long = "ab" * 5000
+    ids = P.token_bytes(f"one {long} word {long}", path)
+    assert ids == P._bytes(P._encoding(path).encode_ordinary(f"one {long} word {long}"))
+    held = P._memory(path)
+    assert "word" in held and long not in held and max(map(len, held)) <= P.LONGEST

@@ -30,3 +30,27 @@ def test_written_tables_are_removed(spark):
     assert session.drop_cuts(spark, mark) == 1
     with pytest.raises(Exception):
         kept.count()
+
+
+def test_python_workers_get_small_batches(spark):
+    """A batch held 10,000 whole texts, however long."""
+    from pyspark.sql import functions as F
+    import pyarrow as pa
+
+    import corpus_pipeline
+
+    for name in session.BATCH_SETTINGS:
+        spark.conf.unset(name)
+    name, stage = corpus_pipeline.STAGES[1]
+    docs = spark.createDataFrame([(1, "a", "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    stage(spark, docs, "")
+    assert all(spark.conf.get(k) == v for k, v in session.BATCH_SETTINGS.items())
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    rows = spark.range(0, 5000, 1, 1).withColumn("text", F.when(F.col("id") < 100, F.repeat(F.lit("x"), 1_000_000)).otherwise("y"))
+    held = rows.mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in held) == 5000 and max(r.n for r in held) <= 1000
+    assert max(r["size"] for r in held) <= 10_000_000
