@@ -191,15 +191,11 @@ def swept_cells(persons: DataFrame, dims) -> DataFrame:
 
     With counted hits: ``k`` of them, by ``k_persons``.
     """
-    dims = sorted(dims)
-    names = [c for c in persons.columns if c.startswith("_c")]
-    hits = {"k": F.sum("_k"), "k_persons": F.count_if(F.col("_k") > 0)} if "_k" in persons.columns else {}
-    out = persons.groupBy("grouping", *dims).agg(
-        F.sum("_n").alias("n"), F.count(F.lit(1)).alias("n_persons"),
-        *(t for c in names for t in share_terms(c)), *(c.alias(k) for k, c in hits.items()))
-    return out.select("grouping", *dims, "n", "n_persons",
-                      *(F.col(f"{c}_total").alias(f"s{c[2:]}") for c in names),
-                      *(share(c).alias(f"dominance{c[2:]}") for c in names), *hits)
+    names = [c.removesuffix("_total") for c in persons.columns if c.startswith("_c") and c.endswith("_total")]
+    hits = [F.col("_k").alias("k"), F.col("_k_persons").alias("k_persons")] if "_k" in persons.columns else []
+    return persons.select("grouping", *sorted(dims), F.col("_n").alias("n"), F.col("_persons").alias("n_persons"),
+                          *(F.col(f"{c}_total").alias(f"s{c[2:]}") for c in names),
+                          *(share(c).alias(f"dominance{c[2:]}") for c in names), *hits)
 
 
 def sweep_cells(ws: Workspace, view: str, column: str, dims=None, widest: int = 3,

@@ -97,9 +97,14 @@ def top_two(contrib: DataFrame, keys, c: str = "contribution") -> DataFrame:
     """Per cell: persons, total, largest and second largest contribution.
 
     The two largest come from a ranking whose limit Spark applies before the
-    shuffle, so a cell that holds most persons sends two rows per task.
+    shuffle, so a cell that holds most persons sends two rows per task.  Contributions
+    that a sweep has added up to cells hold them (``two``).
     """
     keys = list(keys)
+    if c + "_two" in contrib.columns:
+        place = lambda i: F.get(c + "_two", F.lit(i))
+        return contrib.select(*keys, F.col("_persons").alias("persons"), F.col(c + "_total").alias("total"),
+                              place(0).alias("largest"), place(1).alias("second"))
     place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc_nulls_last(c)))
     best = (contrib.select(*keys, c).withColumn("_r", place).where(F.col("_r") <= 2).groupBy(*keys).agg(
         F.max(F.when(F.col("_r") == 1, F.col(c))).alias("largest"),
