@@ -110,3 +110,16 @@ def test_many_levels_are_numbered_within_64_bits():
     codes = [rng.integers(0, 2 ** 20, 500) for _ in range(5)]
     got = lattice._joint(codes, 500)
     assert got.max() < 2 ** 31 and len(np.unique(got)) == len({c for c in zip(*codes)})
+
+
+def test_models_of_one_column_share_a_sweep(spark, monkeypatch):
+    """Each response and family swept the view anew."""
+    from tests.conftest import SF
+    from veil_queries import model_fits
+    seen, sweep = [], C.sweep_cells
+    monkeypatch.setattr(C, "sweep_cells", lambda ws, view, column, **k: seen.append((view, column)) or sweep(ws, view, column, **k))
+    _, long = model_fits.releasable_models(spark, SF)
+    assert len(seen) == len(set(seen)) == 4
+    kinds = {":".join(r["model_id"].split(":")[:2]) for r in long.select("model_id").distinct().collect()}
+    assert kinds <= {"gaussian:o_totalprice", "binomial:is_urgent", "gaussian:total_price", "gaussian:open_orders",
+                     "poisson:open_orders", "poisson:urgent_orders"} and len(kinds) > 3

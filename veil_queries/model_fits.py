@@ -319,14 +319,17 @@ def m21(spark, d):
 def releasable_models(spark, d):
     """Cells of every releasable model of two views without filters, finalised and raw."""
     ws, out = shop.workspace(spark, d), None
-    for view, response, family, column in (
-            ("sales", "o_totalprice", "gaussian", "o_totalprice"), ("sales", "is_urgent", "binomial", "o_totalprice"),
-            ("customer_sales", "total_price", "gaussian", "total_price"), ("customer_sales", "open_orders", "gaussian", "open_orders"),
-            ("customer_sales", "open_orders", "poisson", "open_orders"), ("customer_sales", "urgent_orders", "poisson", "urgent_orders")):
+    # models of one column read the same cells
+    for view, column, hits, models in (
+            ("sales", "o_totalprice", "is_urgent", (("o_totalprice", "gaussian"), ("is_urgent", "binomial"))),
+            ("customer_sales", "total_price", None, (("total_price", "gaussian"),)),
+            ("customer_sales", "open_orders", None, (("open_orders", "gaussian"), ("open_orders", "poisson"))),
+            ("customer_sales", "urgent_orders", None, (("urgent_orders", "poisson"),))):
         dims = sorted(ws.study.view(view).dims)
-        sweep = cut(C.sweep_cells(ws, view, column, degrees=(1,), hits=response if family == "binomial" else None))
-        part = M.lattice_models(sweep, dims, ws.study, POLICY, response, family)
-        out = part if out is None else out.unionByName(part)
+        sweep = cut(C.sweep_cells(ws, view, column, degrees=(1,), hits=hits))
+        for response, family in models:
+            part = M.lattice_models(sweep, dims, ws.study, POLICY, response, family)
+            out = part if out is None else out.unionByName(part)
     return ws, cut(out)
 
 
