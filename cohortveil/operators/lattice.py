@@ -24,17 +24,15 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import cut
-from ..study import PERSON, Study, split_ref
+from ..study import PERSON, split_ref
 from .measures import power
 from .views import Workspace
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Levels of a dimension without a declared list, for the plan only.
-UNKNOWN_LEVELS = 20
 #: Rows per person and grouping set, or dimension, that one task makes; its hash tables hold that many without spilling.
 ROWS_PER_TASK = 2_000_000
-#: A sweep's tasks hold their rows as arrays, of about a hundred bytes a row, and get one in so many of those.
+#: A sweep's tasks hold their rows as arrays in Python and get one in so many of those.
 SWEEP_SHARE = 4
 
 
@@ -44,10 +42,6 @@ def key_sets(dims, widest: int = 3, narrowest: int = 0) -> list[tuple[str, ...]]
     return [c for k in range(narrowest, widest + 1) for c in combinations(dims, k)]
 
 
-def level_counts(study: Study, dims) -> dict[str, int]:
-    return {d: len(study.domain(d) or ()) or UNKNOWN_LEVELS for d in dims}
-
-
 def parents(dims, widest: int, levels: dict[str, int]) -> dict[tuple[str, ...], list[tuple[str, ...]]]:
     """Wide set → the grouping sets summed from it.
 
